@@ -1,0 +1,123 @@
+"""The planner's recurring rules, laid over a fixed calendar.
+
+A rule is live from its start date through its maturity date, both inclusive; without a maturity date it never
+ends, without a start date it never begins. Rules stepping by a number of days other than 14 are not planned.
+"""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cashplan.functions import cells
+from cashplan.functions.dates import expand, on_or_after, with_calendar_parts
+from cashplan.schemas import BIWEEKLY, MONTHLY, ONCELY, YEARLY
+
+# The planner's calendar.
+CALENDAR_START = date(2000, 1, 1)
+CALENDAR_END = date(2100, 12, 31)
+
+CALENDAR_COLUMNS = ["Date", "Year", "Month_of_Year", "Day_of_Month", "Day_of_Week"]
+_VALIDITY = ["Start_Date", "Maturity_Date", "Amount"]
+
+
+def calendar(spark: SparkSession, first: date = CALENDAR_START, last: date = CALENDAR_END) -> DataFrame:
+    """One row per day in [first, last]."""
+    span = spark.range(1).select(F.lit(first).alias("First"), F.lit(last).alias("Last"))
+    return calendar_of(span)
+
+
+def calendar_of(spans: DataFrame) -> DataFrame:
+    """One row per day of each span ``First`` .. ``Last``."""
+    days = spans.select(F.explode(F.sequence("First", "Last")).alias("Date"))
+    return with_calendar_parts(days).select(*CALENDAR_COLUMNS)
+
+
+def monthly_rules(rules: DataFrame) -> DataFrame:
+    return rules.where(F.col("Type") == MONTHLY).select(
+        "Type", "Account_Name", F.col("When").cast("int").alias("Day_of_Month"), *_VALIDITY
+    )
+
+
+def yearly_rules(rules: DataFrame) -> DataFrame:
+    day = F.to_date("When", cells.DAY_OF_YEAR_FORMAT)
+    return rules.where(F.col("Type") == YEARLY).select(
+        "Type",
+        "Account_Name",
+        F.month(day).alias("Month_of_Year"),
+        F.dayofmonth(day).alias("Day_of_Month"),
+        *_VALIDITY,
+    )
+
+
+def one_time_rules(rules: DataFrame) -> DataFrame:
+    return rules.where(F.col("Type") == ONCELY).select(
+        "Type", "Account_Name", cells.day("When").alias("Date"), *_VALIDITY
+    )
+
+
+def biweekly_rules(rules: DataFrame) -> DataFrame:
+    return rules.where(F.col("Type") == BIWEEKLY).select(
+        "Type", "Account_Name", cells.day("When").alias("Occur_Date"), *_VALIDITY
+    )
+
+
+def _biweekly_start(given_day: Column) -> Column:
+    """Every second week is counted from the calendar's first day, or from an earlier given day."""
+    return F.when(given_day.isNotNull(), F.least(given_day, F.lit(CALENDAR_START)))
+
+
+def biweekly_occurrences(rules: DataFrame) -> DataFrame:
+    """Every fourteenth day of each biweekly rule to the end of the calendar, whether or not the rule is live."""
+    start = _biweekly_start(F.col("Occur_Date"))
+    days = F.sequence(start, F.lit(CALENDAR_END), F.expr("interval 14 days"))
+    return (
+        biweekly_rules(rules)
+        .withColumn("Date", F.explode(days))
+        .select("Type", "Account_Name", "Date", *_VALIDITY)
+    )
+
+
+def planned_budget(
+    rules: DataFrame,
+    first: date = CALENDAR_START,
+    last: date = CALENDAR_END,
+    keep_phase: bool = False,
+) -> DataFrame:
+    """Calendar days within [first, last] with every rule due and live on them.
+
+    ``keep_phase`` counts the fortnights of a rule from its own given day even if that lies after the start of
+    the calendar. Rows come unordered; see :func:`in_plan_order`.
+    """
+    kind = F.col("Type")
+    range_first = F.greatest(F.lit(max(first, CALENDAR_START)), F.col("Start_Date"))
+    range_last = F.least(F.lit(min(last, CALENDAR_END)), F.col("Maturity_Date"))
+    given_day = cells.day("When")
+    day_of_year = F.to_date("When", cells.DAY_OF_YEAR_FORMAT)
+
+    day_step = F.when(kind == BIWEEKLY, F.lit(14))
+    month_step = F.when(kind == MONTHLY, F.lit(1)).when(kind == YEARLY, F.lit(12))
+    phase = given_day if keep_phase else _biweekly_start(given_day)
+    start = (
+        F.when(kind == ONCELY, given_day)
+        .when(kind == YEARLY, F.make_date(F.year(range_first), F.month(day_of_year), F.lit(1)))
+        .when(kind == MONTHLY, F.trunc(range_first, "month"))
+        .otherwise(on_or_after(range_first, phase, day_step))
+    )
+    day_of_month = F.when(kind == MONTHLY, F.col("When").cast("int")).when(
+        kind == YEARLY, F.dayofmonth(day_of_year)
+    )
+    live = rules.where(
+        kind.isin(ONCELY, YEARLY, MONTHLY, BIWEEKLY)
+        & F.col("Start_Date").isNotNull()
+        & F.col("Amount").isNotNull()
+    )
+    due = expand(live, range_first, range_last, start, day_step, month_step, day_of_month)
+    return with_calendar_parts(due).select(*CALENDAR_COLUMNS, "Type", "Account_Name", *_VALIDITY)
+
+
+def in_plan_order(plan: DataFrame) -> DataFrame:
+    """By date, larger amounts first."""
+    return plan.orderBy(F.asc_nulls_last("Date"), F.desc_nulls_last("Amount"))
