@@ -39,12 +39,13 @@ def expand(
     ``start`` alone. Each row is expanded where it lies: no join, no shuffle, work in proportion to the output.
     """
     months = (F.year("_last") - F.year("_start")) * 12 + F.month("_last") - F.month("_start")
-    slots = (
+    steps = (
         F.when(F.col("_month_step").isNotNull(), F.floor(months / F.col("_month_step")))
         .when(F.col("_day_step").isNotNull(), F.floor(F.date_diff("_last", "_start") / F.col("_day_step")))
         .otherwise(F.lit(0))
         .cast("int")
     )
+    slots = F.when(F.col("_steps") >= 0, F.sequence(F.lit(0), F.col("_steps")))
     stepped = F.date_add("_start", F.col("_slot") * F.coalesce("_day_step", F.lit(0)))
     in_month = F.date_add(F.add_months("_start", F.col("_slot") * F.col("_month_step")), F.col("_day") - 1)
     return (
@@ -58,11 +59,10 @@ def expand(
                 "_day": day_of_month,
             }
         )
-        .withColumn("_slots", slots)
-        .where(F.col("_slots") >= 0)
-        .withColumn("_slot", F.explode(F.sequence(F.lit(0), F.greatest("_slots", F.lit(0)))))
+        .withColumn("_steps", steps)
+        .withColumn("_slot", F.explode(slots))
         .withColumn("Date", F.when(F.col("_month_step").isNull(), stepped).otherwise(in_month))
         .where(F.col("Date").between(F.col("_first"), F.col("_last")))
         .where(F.col("_day").isNull() | (F.dayofmonth("Date") == F.col("_day")))
-        .drop("_first", "_last", "_start", "_day_step", "_month_step", "_day", "_slots", "_slot")
+        .drop("_first", "_last", "_start", "_day_step", "_month_step", "_day", "_steps", "_slot")
     )

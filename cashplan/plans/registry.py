@@ -126,8 +126,8 @@ def _detailed(view: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 
 _QUERIES: dict[str, Query] = {
-    "typed_schedule": views.schedule,
-    "typed_planner_schedule": views.planner_schedule,
+    "typed_schedule": lambda s, sf: typed.schedule(views.income_expense(s, sf)),
+    "typed_planner_schedule": lambda s, sf: typed.planner_schedule(views.income_expense(s, sf)),
     "typed_balances": lambda s, sf: typed.account_balances(views.balances_text(s, sf)),
     "typed_details": lambda s, sf: typed.account_details(views.details_text(s, sf)),
     "typed_ledger": lambda s, sf: typed.ledger(views.ledger_text(s, sf)),

@@ -28,13 +28,12 @@ def _pay_account() -> Column:
     return F.concat(F.lit("acct_"), (F.col("p_partkey") % 10).cast("string"))
 
 
-def income_expense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The schedule, all cells text."""
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as recurring rules, typed except for ``When``."""
     part = _table(spark, sf_dir, "part")
     kind, size = _kind("p_partkey"), F.col("p_size")
     price = F.col("p_retailprice").cast(MONEY)
     anchor = F.date_add(F.lit("1998-01-01").cast("date"), (F.col("p_partkey") * 37 % 1460).cast("int"))
-    maturity = F.date_format(F.date_add(anchor, 365 + 10 * size), US_DAY)
     when = (
         F.when(kind == YEARLY, F.date_format(anchor, "dd-MMM"))
         .when(kind == MONTHLY, F.dayofmonth(anchor).cast("string"))
@@ -47,29 +46,47 @@ def income_expense(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.alias("Type"),
         when.alias("When"),
         F.col("p_name").alias("Account_Name"),
-        F.when(size % 3 == 0, price).otherwise(-price).cast("string").alias("Amount"),
+        F.when(size % 3 == 0, price).otherwise(-price).alias("Amount"),
         _pay_account().alias("Auto_Pay_Account"),
         F.when(size % 2 == 0, "full").otherwise("minimum").alias("Auto_Pay_Amount"),
-        (size % 10).cast("string").alias("AfterDays"),
-        price.cast("string").alias("AverageMonthlyCost"),
-        _blank_if(size % 2 == 0, price).alias("Balance"),
-        _blank_if(size % 5 == 0, size * 100).alias("Limit"),
-        _blank_if(size % 7 == 0, price).alias("Available Credit"),
-        _blank_if(size % 4 == 0, F.concat(size.cast("string"), F.lit("%"))).alias("Interest Rate"),
-        _blank_if(size % 6 == 0, size).alias("Monthly Interest Incurred"),
-        _blank_if(size % 3 == 0, size % 7).alias("Payoff Order"),
-        F.date_format(F.date_sub(anchor, size), US_DAY).alias("Start_Date"),
-        _blank_if(F.col("p_partkey") % 7 == 0, maturity).alias("Maturity Date"),
-        (1 + F.col("p_partkey") % 4).cast("string").alias("Priority"),
+        (size % 10).alias("AfterDays"),
+        price.alias("AverageMonthlyCost"),
+        (1 + F.col("p_partkey") % 4).cast("int").alias("Priority"),
+        F.date_sub(anchor, size).alias("Start_Date"),
+        F.when(F.col("p_partkey") % 7 != 0, F.date_add(anchor, 365 + 10 * size)).alias("Maturity"),
+        size.alias("_Size"),
     )
 
 
 def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return typed.schedule(income_expense(spark, sf_dir))
+    """The schedule as the forecaster has it once typed."""
+    return _rules(spark, sf_dir).withColumnRenamed("Maturity", "Maturity Date").drop("_Size")
 
 
 def planner_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return typed.planner_schedule(income_expense(spark, sf_dir))
+    """The schedule as the planner has it once typed."""
+    rules = _rules(spark, sf_dir).withColumnRenamed("Maturity", "Maturity_Date")
+    return rules.select("Row_Id", *typed.PLANNER_COLUMNS)
+
+
+def income_expense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule as it arrives: all cells text, some blank."""
+    size, cost = F.col("_Size"), F.col("AverageMonthlyCost")
+    rules = _rules(spark, sf_dir)
+    as_text = ["Amount", "AfterDays", "AverageMonthlyCost", "Priority"]
+    return rules.withColumns(
+        {name: F.col(name).cast("string") for name in as_text}
+        | {
+            "Balance": _blank_if(size % 2 == 0, cost),
+            "Limit": _blank_if(size % 5 == 0, size * 100),
+            "Available Credit": _blank_if(size % 7 == 0, cost),
+            "Interest Rate": _blank_if(size % 4 == 0, F.concat(size.cast("string"), F.lit("%"))),
+            "Monthly Interest Incurred": _blank_if(size % 6 == 0, size),
+            "Payoff Order": _blank_if(size % 3 == 0, size % 7),
+            "Start_Date": F.date_format("Start_Date", US_DAY),
+            "Maturity Date": F.coalesce(F.date_format("Maturity", US_DAY), F.lit("")),
+        }
+    ).drop("Maturity", "_Size")
 
 
 def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
