@@ -2,67 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
 def with_calendar_parts(df: DataFrame) -> DataFrame:
     """Add year, month, day of month and day of week (Monday = 0) of ``Date``."""
-    return df.withColumns(
-        {
-            "Year": F.year("Date"),
-            "Month_of_Year": F.month("Date"),
-            "Day_of_Month": F.dayofmonth("Date"),
-            "Day_of_Week": F.weekday("Date"),
-        }
+    return df.selectExpr(
+        "*",
+        "year(Date) AS Year",
+        "month(Date) AS Month_of_Year",
+        "dayofmonth(Date) AS Day_of_Month",
+        "weekday(Date) AS Day_of_Week",
     )
 
 
-def on_or_after(first: Column, anchor: Column, step: Column) -> Column:
-    """The first date >= ``first`` that lies a whole number of steps before or after ``anchor``."""
-    return F.date_add(first, F.pmod(F.date_diff(anchor, first), step))
+def on_or_after(first: str, anchor: str, step: str) -> str:
+    """The first date >= ``first`` that lies a whole number of steps before or after ``anchor``, as SQL."""
+    return f"date_add({first}, pmod(date_diff({anchor}, {first}), {step}))"
+
+
+def spread(rules: DataFrame) -> DataFrame:
+    """Deal the rules out evenly before they multiply: a file split of rules may hold far more dates."""
+    partitions = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rules.repartition(partitions, "Row_Id")
 
 
 def expand(
-    rules: DataFrame,
-    first: Column,
-    last: Column,
-    start: Column,
-    day_step: Column,
-    month_step: Column,
-    day_of_month: Column,
+    rules: DataFrame, first: str, last: str, start: str, day_step: str, month_step: str, day_of_month: str
 ) -> DataFrame:
-    """One row per rule and date within [first, last], in column ``Date``.
+    """One row per rule and date within [first, last], in column ``Date``. The arguments are SQL expressions.
 
     A rule either steps by days from ``start``, or by months from the first of the month ``start`` and then
     falls on ``day_of_month`` (a month too short for it is skipped), or, with both steps null, falls on
-    ``start`` alone. Each row is expanded where it lies: no join, no shuffle, work in proportion to the output.
+    ``start`` alone. Each row is expanded where it lies: no join, and work in proportion to the output.
     """
-    months = (F.year("_last") - F.year("_start")) * 12 + F.month("_last") - F.month("_start")
-    steps = (
-        F.when(F.col("_month_step").isNotNull(), F.floor(months / F.col("_month_step")))
-        .when(F.col("_day_step").isNotNull(), F.floor(F.date_diff("_last", "_start") / F.col("_day_step")))
-        .otherwise(F.lit(0))
-        .cast("int")
-    )
-    slots = F.when(F.col("_steps") >= 0, F.sequence(F.lit(0), F.col("_steps")))
-    stepped = F.date_add("_start", F.col("_slot") * F.coalesce("_day_step", F.lit(0)))
-    in_month = F.date_add(F.add_months("_start", F.col("_slot") * F.col("_month_step")), F.col("_day") - 1)
+    months = "(year(_last) - year(_start)) * 12 + month(_last) - month(_start)"
     return (
-        rules.withColumns(
-            {
-                "_first": first,
-                "_last": last,
-                "_start": start,
-                "_day_step": day_step,
-                "_month_step": month_step,
-                "_day": day_of_month,
-            }
+        rules.selectExpr(
+            "*",
+            f"{first} AS _first",
+            f"{last} AS _last",
+            f"{start} AS _start",
+            f"{day_step} AS _day_step",
+            f"{month_step} AS _month_step",
+            f"{day_of_month} AS _day",
+        )
+        .selectExpr(
+            "*",
+            f"""CAST(CASE WHEN _month_step IS NOT NULL THEN ({months}) DIV _month_step
+                     WHEN _day_step IS NOT NULL THEN date_diff(_last, _start) DIV _day_step
+                     ELSE 0 END AS INT) AS _steps""",
+        )
+        .selectExpr("*", "explode(CASE WHEN _steps >= 0 THEN sequence(0, _steps) END) AS _slot")
+        .selectExpr(
+            "*",
+            """CASE WHEN _month_step IS NULL THEN date_add(_start, _slot * coalesce(_day_step, 0))
+                    ELSE date_add(add_months(_start, _slot * _month_step), _day - 1) END AS Date""",
         )
-        .withColumn("_steps", steps)
-        .withColumn("_slot", F.explode(slots))
-        .withColumn("Date", F.when(F.col("_month_step").isNull(), stepped).otherwise(in_month))
-        .where(F.col("Date").between(F.col("_first"), F.col("_last")))
-        .where(F.col("_day").isNull() | (F.dayofmonth("Date") == F.col("_day")))
+        .where("Date BETWEEN _first AND _last AND (_day IS NULL OR dayofmonth(Date) = _day)")
         .drop("_first", "_last", "_start", "_day_step", "_month_step", "_day", "_steps", "_slot")
     )

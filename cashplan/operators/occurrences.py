@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashplan.functions import cells
-from cashplan.functions.dates import expand, on_or_after
+from cashplan.functions.dates import expand, on_or_after, spread
 from cashplan.schemas import (
     BIWEEKLY,
     ENTRY_COLUMNS,
@@ -31,33 +31,30 @@ def occurrences(rules: DataFrame, first: date, last: date, kinds: Iterable[str]
 
     All kinds are expanded in one pass over the rules. ``Kind_Rank`` gives the order of kinds within a day.
     """
-    kind = F.col("Type")
-    range_first = F.lit(first)
-    range_last = F.least(F.lit(last), F.date_sub("Maturity Date", 1))
-    given_day = F.to_date("When", cells.DAY_FORMAT)
-    day_of_year = F.to_date("When", cells.DAY_OF_YEAR_FORMAT)
-
-    day_step = F.when(kind == BIWEEKLY, F.lit(14)).when(
-        kind == EVERY_X_DAYS, F.nullif(F.abs("AfterDays"), F.lit(0))
+    range_first = f"DATE '{first}'"
+    range_last = f"least(DATE '{last}', date_sub(`Maturity Date`, 1))"
+    given_day = f"to_date(`When`, '{cells.DAY_FORMAT}')"
+    day_of_year = f"to_date(`When`, '{cells.DAY_OF_YEAR_FORMAT}')"
+    day_step = f"CASE Type WHEN '{BIWEEKLY}' THEN 14 WHEN '{EVERY_X_DAYS}' THEN nullif(abs(AfterDays), 0) END"
+    month_step = f"CASE Type WHEN '{MONTHLY}' THEN 1 WHEN '{YEARLY}' THEN 12 END"
+    start = f"""CASE Type
+        WHEN '{ONCELY}' THEN {given_day}
+        WHEN '{YEARLY}' THEN make_date({first.year}, month({day_of_year}), 1)
+        WHEN '{MONTHLY}' THEN trunc({range_first}, 'month')
+        ELSE {on_or_after(range_first, given_day, day_step)} END"""
+    day_of_month = f"""CASE Type
+        WHEN '{MONTHLY}' THEN CAST(`When` AS INT) WHEN '{YEARLY}' THEN dayofmonth({day_of_year}) END"""
+
+    due = rules.where(
+        F.col("Type").isin(list(kinds))
+        & (F.col("Maturity Date") > F.lit(first))
+        & ((F.col("Type") != EVERY_X_DAYS) | (F.col("AfterDays") != 0))
     )
-    month_step = F.when(kind == MONTHLY, F.lit(1)).when(kind == YEARLY, F.lit(12))
-    start = (
-        F.when(kind == ONCELY, given_day)
-        .when(kind == YEARLY, F.make_date(F.year(range_first), F.month(day_of_year), F.lit(1)))
-        .when(kind == MONTHLY, F.trunc(range_first, "month"))
-        .otherwise(on_or_after(range_first, given_day, day_step))
-    )
-    day_of_month = F.when(kind == MONTHLY, F.col("When").cast("int")).when(
-        kind == YEARLY, F.dayofmonth(day_of_year)
-    )
-    live = rules.where(kind.isin(list(kinds)) & (F.col("Maturity Date") > range_first))
-    due = live.where((kind != EVERY_X_DAYS) | (F.col("AfterDays") != 0))
-    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind).cast("int")
-    return (
-        expand(due, range_first, range_last, start, day_step, month_step, day_of_month)
-        .withColumn("Kind_Rank", rank)
-        .drop("When")
+    dated = expand(
+        spread(due) if first < last else due, range_first, range_last, start, day_step, month_step, day_of_month
     )
+    ranks = " ".join(f"WHEN '{kind}' THEN {rank}" for rank, kind in enumerate(KINDS, start=1))
+    return dated.withColumn("Kind_Rank", F.expr(f"CASE Type {ranks} END")).drop("When")
 
 
 def occurrences_on(rules: DataFrame, day: date, kinds: Iterable[str] = KINDS) -> DataFrame:

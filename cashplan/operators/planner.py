@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashplan.functions import cells
-from cashplan.functions.dates import expand, on_or_after, with_calendar_parts
+from cashplan.functions.dates import expand, on_or_after, spread, with_calendar_parts
 from cashplan.schemas import BIWEEKLY, MONTHLY, ONCELY, YEARLY
 
 # The planner's calendar.
@@ -64,19 +64,16 @@ def biweekly_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def _biweekly_start(given_day: Column) -> Column:
+def _biweekly_start(given_day: str) -> str:
     """Every second week is counted from the calendar's first day, or from an earlier given day."""
-    return F.when(given_day.isNotNull(), F.least(given_day, F.lit(CALENDAR_START)))
+    return f"CASE WHEN {given_day} IS NOT NULL THEN least({given_day}, DATE '{CALENDAR_START}') END"
 
 
 def biweekly_occurrences(rules: DataFrame) -> DataFrame:
     """Every fourteenth day of each biweekly rule to the end of the calendar, whether or not the rule is live."""
-    start = _biweekly_start(F.col("Occur_Date"))
-    days = F.sequence(start, F.lit(CALENDAR_END), F.expr("interval 14 days"))
-    return (
-        biweekly_rules(rules)
-        .withColumn("Date", F.explode(days))
-        .select("Type", "Account_Name", "Date", *_VALIDITY)
+    every_14_days = f"sequence({_biweekly_start('Occur_Date')}, DATE '{CALENDAR_END}', INTERVAL 14 DAYS)"
+    return biweekly_rules(spread(rules)).selectExpr(
+        "Type", "Account_Name", f"explode({every_14_days}) AS Date", *_VALIDITY
     )
 
 
@@ -91,30 +88,38 @@ def planned_budget(
     ``keep_phase`` counts the fortnights of a rule from its own given day even if that lies after the start of
     the calendar. Rows come unordered; see :func:`in_plan_order`.
     """
-    kind = F.col("Type")
-    range_first = F.greatest(F.lit(max(first, CALENDAR_START)), F.col("Start_Date"))
-    range_last = F.least(F.lit(min(last, CALENDAR_END)), F.col("Maturity_Date"))
-    given_day = cells.day("When")
-    day_of_year = F.to_date("When", cells.DAY_OF_YEAR_FORMAT)
-
-    day_step = F.when(kind == BIWEEKLY, F.lit(14))
-    month_step = F.when(kind == MONTHLY, F.lit(1)).when(kind == YEARLY, F.lit(12))
-    phase = given_day if keep_phase else _biweekly_start(given_day)
-    start = (
-        F.when(kind == ONCELY, given_day)
-        .when(kind == YEARLY, F.make_date(F.year(range_first), F.month(day_of_year), F.lit(1)))
-        .when(kind == MONTHLY, F.trunc(range_first, "month"))
-        .otherwise(on_or_after(range_first, phase, day_step))
+    range_first = f"greatest(DATE '{max(first, CALENDAR_START)}', Start_Date)"
+    range_last = f"least(DATE '{min(last, CALENDAR_END)}', Maturity_Date)"
+    phase = "_given_day" if keep_phase else _biweekly_start("_given_day")
+    start = f"""CASE Type
+        WHEN '{ONCELY}' THEN _given_day
+        WHEN '{YEARLY}' THEN make_date(year({range_first}), month(_day_of_year), 1)
+        WHEN '{MONTHLY}' THEN trunc({range_first}, 'month')
+        ELSE {on_or_after(range_first, phase, "14")} END"""
+    day_of_month = f"""CASE Type
+        WHEN '{MONTHLY}' THEN CAST(`When` AS INT) WHEN '{YEARLY}' THEN dayofmonth(_day_of_year) END"""
+
+    live = spread(
+        rules.where(
+            F.col("Type").isin(ONCELY, YEARLY, MONTHLY, BIWEEKLY)
+            & F.col("Start_Date").isNotNull()
+            & F.col("Amount").isNotNull()
+        )
+    ).withColumns(
+        {
+            "_given_day": F.when(F.col("Type").isin(ONCELY, BIWEEKLY), cells.day("When")),
+            "_day_of_year": F.when(F.col("Type") == YEARLY, F.to_date("When", cells.DAY_OF_YEAR_FORMAT)),
+        }
     )
-    day_of_month = F.when(kind == MONTHLY, F.col("When").cast("int")).when(
-        kind == YEARLY, F.dayofmonth(day_of_year)
+    due = expand(
+        live,
+        first=range_first,
+        last=range_last,
+        start=start,
+        day_step=f"CASE Type WHEN '{BIWEEKLY}' THEN 14 END",
+        month_step=f"CASE Type WHEN '{MONTHLY}' THEN 1 WHEN '{YEARLY}' THEN 12 END",
+        day_of_month=day_of_month,
     )
-    live = rules.where(
-        kind.isin(ONCELY, YEARLY, MONTHLY, BIWEEKLY)
-        & F.col("Start_Date").isNotNull()
-        & F.col("Amount").isNotNull()
-    )
-    due = expand(live, range_first, range_last, start, day_step, month_step, day_of_month)
     return with_calendar_parts(due).select(*CALENDAR_COLUMNS, "Type", "Account_Name", *_VALIDITY)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cashplan.functions import cells
 
@@ -87,9 +87,10 @@ def ledger(transactions_report: DataFrame) -> DataFrame:
 
 def at_edge(df: DataFrame) -> DataFrame:
     """Exact decimals become doubles where results leave the engine."""
-    return df.select(
-        *[
-            F.col(f"`{name}`").cast("double").alias(name) if kind.startswith("decimal") else F.col(f"`{name}`")
-            for name, kind in df.dtypes
-        ]
-    )
+    return recast(df, {T.DecimalType: T.DoubleType()})
+
+
+def recast(df: DataFrame, types: dict[type[T.DataType], T.DataType]) -> DataFrame:
+    """Cast every column of one of the given types."""
+    fields = [T.StructField(f.name, types.get(type(f.dataType), f.dataType)) for f in df.schema.fields]
+    return df.to(T.StructType(fields))

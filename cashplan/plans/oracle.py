@@ -255,7 +255,7 @@ SELECT c_custkey AS Row_Id, c_name AS Account_Name, c_mktsegment AS Category,
   CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE CAST(c_custkey % 30 AS DOUBLE) / 100 END AS "Interest Rate",
   CAST(CASE WHEN c_custkey % 5 > 1 THEN DATE '2010-01-01' + CAST(c_custkey AS INTEGER) END AS TIMESTAMP)
     AS "Maturity Date",
-  'https://example.com/' || c_custkey AS Link
+  'account page ' || c_custkey AS Link
 FROM customer""",
         "typed_ledger": _sql(
             [_LEDGER], ("Row_Id", *_ENTRY), ", CAST(0 AS DOUBLE) AS Running_Balance FROM fx_ledger"

@@ -7,6 +7,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cashplan.functions import cells
 from cashplan.operators import balances, bank, forecast, occurrences, planner, typed
@@ -169,10 +170,7 @@ _QUERIES: dict[str, Query] = {
 
 def comparable(df: DataFrame) -> DataFrame:
     """Doubles for money and midnight timestamps for dates: types every client library hands back alike."""
-    edge = typed.at_edge(df)
-    return edge.withColumns(
-        {name: F.col(f"`{name}`").cast("timestamp_ntz") for name, kind in edge.dtypes if kind == "date"}
-    )
+    return typed.recast(df, {T.DecimalType: T.DoubleType(), T.DateType: T.TimestampNTZType()})
 
 
 def queries() -> dict[str, Query]:

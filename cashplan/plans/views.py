@@ -2,59 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashplan.operators import typed
-from cashplan.schemas import BIWEEKLY, EVERY_X_DAYS, MONEY, MONTHLY, ONCELY, YEARLY
 
-US_DAY = "MM/dd/yyyy"
+# Columns read from each test table.
+_TABLES = {
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, value DOUBLE",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "lineitem": """l_partkey BIGINT, l_linenumber INT, l_extendedprice DOUBLE, l_discount DOUBLE,
+                   l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ""",
+}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _kind(key: str) -> Column:
-    kinds = F.array(*[F.lit(k) for k in [ONCELY, YEARLY, MONTHLY, BIWEEKLY, EVERY_X_DAYS]])
-    return F.get(kinds, (F.col(key) % 5).cast("int"))
-
-
-def _blank_if(condition: Column, cell: Column) -> Column:
-    return F.when(condition, F.lit("")).otherwise(cell.cast("string"))
-
-
-def _pay_account() -> Column:
-    return F.concat(F.lit("acct_"), (F.col("p_partkey") % 10).cast("string"))
+def _kind(key: str) -> str:
+    return f"""CASE {key} % 5 WHEN 0 THEN 'oncely' WHEN 1 THEN 'yearly' WHEN 2 THEN 'monthly'
+               WHEN 3 THEN 'biweekly' ELSE 'everyXDays' END"""
 
 
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as recurring rules, typed except for ``When``."""
-    part = _table(spark, sf_dir, "part")
-    kind, size = _kind("p_partkey"), F.col("p_size")
-    price = F.col("p_retailprice").cast(MONEY)
-    anchor = F.date_add(F.lit("1998-01-01").cast("date"), (F.col("p_partkey") * 37 % 1460).cast("int"))
-    when = (
-        F.when(kind == YEARLY, F.date_format(anchor, "dd-MMM"))
-        .when(kind == MONTHLY, F.dayofmonth(anchor).cast("string"))
-        .otherwise(F.date_format(anchor, US_DAY))
+    anchored = _table(spark, sf_dir, "part").selectExpr(
+        "*",
+        f"{_kind('p_partkey')} AS Type",
+        "date_add(DATE '1998-01-01', CAST(p_partkey * 37 % 1460 AS INT)) AS _Anchor",
+        "CAST(p_retailprice AS DECIMAL(18,2)) AS _Price",
     )
-    return part.select(
-        F.col("p_partkey").alias("Row_Id"),
-        F.col("p_type").alias("Category"),
-        F.col("p_brand").alias("Sub_Category"),
-        kind.alias("Type"),
-        when.alias("When"),
-        F.col("p_name").alias("Account_Name"),
-        F.when(size % 3 == 0, price).otherwise(-price).alias("Amount"),
-        _pay_account().alias("Auto_Pay_Account"),
-        F.when(size % 2 == 0, "full").otherwise("minimum").alias("Auto_Pay_Amount"),
-        (size % 10).alias("AfterDays"),
-        price.alias("AverageMonthlyCost"),
-        (1 + F.col("p_partkey") % 4).cast("int").alias("Priority"),
-        F.date_sub(anchor, size).alias("Start_Date"),
-        F.when(F.col("p_partkey") % 7 != 0, F.date_add(anchor, 365 + 10 * size)).alias("Maturity"),
-        size.alias("_Size"),
+    return anchored.selectExpr(
+        "p_partkey AS Row_Id",
+        "p_type AS Category",
+        "p_brand AS Sub_Category",
+        "Type",
+        """CASE Type WHEN 'yearly' THEN date_format(_Anchor, 'dd-MMM')
+                     WHEN 'monthly' THEN CAST(dayofmonth(_Anchor) AS STRING)
+                     ELSE date_format(_Anchor, 'MM/dd/yyyy') END AS `When`""",
+        "p_name AS Account_Name",
+        "CAST(if(p_size % 3 = 0, _Price, -_Price) AS DECIMAL(18,2)) AS Amount",
+        "concat('acct_', p_partkey % 10) AS Auto_Pay_Account",
+        "if(p_size % 2 = 0, 'full', 'minimum') AS Auto_Pay_Amount",
+        "p_size % 10 AS AfterDays",
+        "_Price AS AverageMonthlyCost",
+        "CAST(1 + p_partkey % 4 AS INT) AS Priority",
+        "date_sub(_Anchor, p_size) AS Start_Date",
+        "if(p_partkey % 7 <> 0, date_add(_Anchor, 365 + 10 * p_size), NULL) AS Maturity",
+        "p_size AS _Size",
     )
 
 
@@ -71,121 +69,125 @@ def planner_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def income_expense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schedule as it arrives: all cells text, some blank."""
-    size, cost = F.col("_Size"), F.col("AverageMonthlyCost")
-    rules = _rules(spark, sf_dir)
-    as_text = ["Amount", "AfterDays", "AverageMonthlyCost", "Priority"]
-    return rules.withColumns(
-        {name: F.col(name).cast("string") for name in as_text}
-        | {
-            "Balance": _blank_if(size % 2 == 0, cost),
-            "Limit": _blank_if(size % 5 == 0, size * 100),
-            "Available Credit": _blank_if(size % 7 == 0, cost),
-            "Interest Rate": _blank_if(size % 4 == 0, F.concat(size.cast("string"), F.lit("%"))),
-            "Monthly Interest Incurred": _blank_if(size % 6 == 0, size),
-            "Payoff Order": _blank_if(size % 3 == 0, size % 7),
-            "Start_Date": F.date_format("Start_Date", US_DAY),
-            "Maturity Date": F.coalesce(F.date_format("Maturity", US_DAY), F.lit("")),
-        }
-    ).drop("Maturity", "_Size")
+    return _rules(spark, sf_dir).selectExpr(
+        "Row_Id",
+        "Category",
+        "Sub_Category",
+        "Type",
+        "`When`",
+        "Account_Name",
+        "CAST(Amount AS STRING) AS Amount",
+        "Auto_Pay_Account",
+        "Auto_Pay_Amount",
+        "CAST(AfterDays AS STRING) AS AfterDays",
+        "CAST(AverageMonthlyCost AS STRING) AS AverageMonthlyCost",
+        "if(_Size % 2 = 0, '', CAST(AverageMonthlyCost AS STRING)) AS Balance",
+        "if(_Size % 5 = 0, '', CAST(_Size * 100 AS STRING)) AS `Limit`",
+        "if(_Size % 7 = 0, '', CAST(AverageMonthlyCost AS STRING)) AS `Available Credit`",
+        "if(_Size % 4 = 0, '', concat(_Size, '%')) AS `Interest Rate`",
+        "if(_Size % 6 = 0, '', CAST(_Size AS STRING)) AS `Monthly Interest Incurred`",
+        "if(_Size % 3 = 0, '', CAST(_Size % 7 AS STRING)) AS `Payoff Order`",
+        "date_format(Start_Date, 'MM/dd/yyyy') AS Start_Date",
+        "coalesce(date_format(Maturity, 'MM/dd/yyyy'), '') AS `Maturity Date`",
+        "CAST(Priority AS STRING) AS Priority",
+    )
 
 
 def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's last event of a day is the account's balance on that day."""
-    events = _table(spark, sf_dir, "events")
-    last = events.groupBy(F.col("ts").cast("date").alias("Date"), "user_id").agg(
-        F.max_by(F.col("value").cast(MONEY), "event_id").alias("Balance"), F.max("event_id").alias("Row_Id")
+    events = _table(spark, sf_dir, "events").selectExpr(
+        "event_id", "CAST(ts AS DATE) AS Date", "user_id", "CAST(value AS DECIMAL(18,2)) AS value"
     )
-    account = F.concat(F.lit("acct_"), F.col("user_id").cast("string"))
-    return last.select("Row_Id", "Date", account.alias("Account_Name"), "Balance")
+    last = events.groupBy("Date", "user_id").agg(
+        F.max_by("value", "event_id").alias("Balance"), F.max("event_id").alias("Row_Id")
+    )
+    return last.selectExpr("Row_Id", "Date", "concat('acct_', user_id) AS Account_Name", "Balance")
 
 
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers in credit are listed; the accounts of the others stay without a category."""
     customer = _table(spark, sf_dir, "customer")
-    return customer.where(F.col("c_acctbal") >= 0).select(
-        F.col("c_custkey").alias("Row_Id"),
-        F.concat(F.lit("acct_"), F.col("c_custkey").cast("string")).alias("Account_Name"),
-        F.lower("c_mktsegment").alias("Category"),
-        F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("Sub_Category"),
+    return customer.where("c_acctbal >= 0").selectExpr(
+        "c_custkey AS Row_Id",
+        "concat('acct_', c_custkey) AS Account_Name",
+        "lower(c_mktsegment) AS Category",
+        "concat('nation_', c_nationkey) AS Sub_Category",
     )
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as transactions: paid when finished, open otherwise."""
-    orders, part = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "part")
-    item = part.select(F.col("p_partkey"), "p_name", "p_type")
-    parts = part.agg(F.count(F.lit(1))).scalar()
-    amount = F.floor(F.col("o_totalprice") / 1000).cast(MONEY)
-    paid = F.col("o_orderstatus") == "F"
-    return (
-        orders.withColumn("_Item", F.col("o_orderkey") % parts)
-        .join(item, F.col("_Item") == F.col("p_partkey"))
-        .select(
-            F.col("o_orderkey").alias("Row_Id"),
-            F.col("o_orderdate").cast("date").alias("Date"),
-            F.col("p_type").alias("Category"),
-            _kind("o_orderkey").alias("Type"),
-            F.col("p_name").alias("Account_Name"),
-            _pay_account().alias("Auto_Pay_Account"),
-            F.when(paid, amount).otherwise(-amount).alias("Amount"),
-            F.when(paid, amount).otherwise(F.lit(0).cast(MONEY)).alias("Amount_Paid"),
-            F.when(paid, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("").alias("Date_Paid"),
-        )
+    part = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    numbered = _table(spark, sf_dir, "orders").withColumn(
+        "p_partkey", F.col("o_orderkey") % part.agg(F.count(F.lit(1))).scalar()
+    )
+    rows = numbered.join(part, "p_partkey").selectExpr(
+        "*", "o_orderstatus = 'F' AS _Paid", "CAST(floor(o_totalprice / 1000) AS DECIMAL(18,2)) AS _Amount"
+    )
+    return rows.selectExpr(
+        "o_orderkey AS Row_Id",
+        "CAST(o_orderdate AS DATE) AS Date",
+        "p_type AS Category",
+        f"{_kind('o_orderkey')} AS Type",
+        "p_name AS Account_Name",
+        "concat('acct_', p_partkey % 10) AS Auto_Pay_Account",
+        "CAST(if(_Paid, _Amount, -_Amount) AS DECIMAL(18,2)) AS Amount",
+        "CAST(if(_Paid, _Amount, 0) AS DECIMAL(18,2)) AS Amount_Paid",
+        "if(_Paid, date_format(o_orderdate, 'yyyy-MM-dd'), '') AS Date_Paid",
     )
 
 
 def balances_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balances(spark, sf_dir).withColumns(
-        {"Date": F.date_format("Date", US_DAY), "Balance": F.col("Balance").cast("string")}
+    return balances(spark, sf_dir).selectExpr(
+        "Row_Id",
+        "date_format(Date, 'MM/dd/yyyy') AS Date",
+        "Account_Name",
+        "CAST(Balance AS STRING) AS Balance",
     )
 
 
 def details_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with the cells a details table may hold: blanks, percentages, dates that are none."""
-    customer = _table(spark, sf_dir, "customer")
-    key = F.col("c_custkey")
-    opened = F.date_format(F.date_add(F.lit("2010-01-01").cast("date"), key.cast("int")), US_DAY)
-    return customer.select(
-        key.alias("Row_Id"),
-        F.col("c_name").alias("Account_Name"),
-        F.col("c_mktsegment").alias("Category"),
-        F.col("c_nationkey").cast("string").alias("Sub_Category"),
-        _blank_if(F.col("c_acctbal") < 0, F.col("c_acctbal").cast(MONEY)).alias("Limit"),
-        _blank_if(key % 4 == 0, F.concat((key % 30).cast("string"), F.lit("%"))).alias("Interest Rate"),
-        F.when(key % 5 == 0, "open-ended").when(key % 5 == 1, "").otherwise(opened).alias("Maturity Date"),
-        F.concat(F.lit("https://example.com/"), key.cast("string")).alias("Link"),
+    return _table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS Row_Id",
+        "c_name AS Account_Name",
+        "c_mktsegment AS Category",
+        "CAST(c_nationkey AS STRING) AS Sub_Category",
+        "if(c_acctbal < 0, '', CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS STRING)) AS `Limit`",
+        "if(c_custkey % 4 = 0, '', concat(c_custkey % 30, '%')) AS `Interest Rate`",
+        """CASE c_custkey % 5 WHEN 0 THEN 'open-ended' WHEN 1 THEN ''
+           ELSE date_format(date_add(DATE '2010-01-01', CAST(c_custkey AS INT)), 'MM/dd/yyyy') END
+           AS `Maturity Date`""",
+        "concat('account page ', c_custkey) AS Link",
     )
 
 
 def ledger_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(spark, sf_dir)
-    return rows.withColumns(
-        {
-            "Date": F.date_format("Date", US_DAY),
-            "Amount": F.col("Amount").cast("string"),
-            "Amount_Paid": _blank_if(F.col("Amount_Paid") == 0, F.col("Amount_Paid")),
-            "Running_Balance": F.lit(""),
-        }
+    return ledger(spark, sf_dir).selectExpr(
+        "Row_Id",
+        "date_format(Date, 'MM/dd/yyyy') AS Date",
+        "Category",
+        "Type",
+        "Account_Name",
+        "Auto_Pay_Account",
+        "CAST(Amount AS STRING) AS Amount",
+        "if(Amount_Paid = 0, '', CAST(Amount_Paid AS STRING)) AS Amount_Paid",
+        "Date_Paid",
+        "'' AS Running_Balance",
     )
 
 
 def bank_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as bank transactions, in the shape the export reader yields."""
-    line = _table(spark, sf_dir, "lineitem")
-    account = F.when(F.col("l_linestatus") == "O", "checking").otherwise("credit_card")
-    price = F.col("l_extendedprice").cast(MONEY)
-    amount = (
-        F.when(F.col("l_linenumber") == 7, F.lit(None))
-        .when(F.col("l_returnflag") == "R", -price)
-        .when(F.col("l_discount") == 0, F.lit(0))
-        .otherwise(price)
+    line = _table(spark, sf_dir, "lineitem").selectExpr(
+        "*", "if(l_linestatus = 'O', 'checking', 'credit_card') AS account_type"
     )
-    year = F.year("l_shipdate").cast("string")
-    return line.select(
-        account.alias("account_type"),
-        F.concat(account, F.lit("_"), year, F.lit(".csv")).alias("file_name"),
-        F.date_format("l_shipdate", US_DAY).alias("post_date"),
-        F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("description"),
-        F.col("l_returnflag").alias("type"),
-        amount.alias("amount"),
+    return line.selectExpr(
+        "account_type",
+        "concat(account_type, '_', year(l_shipdate), '.csv') AS file_name",
+        "date_format(l_shipdate, 'MM/dd/yyyy') AS post_date",
+        "concat('part ', l_partkey) AS description",
+        "l_returnflag AS type",
+        """CAST(CASE WHEN l_linenumber = 7 THEN NULL WHEN l_returnflag = 'R' THEN -l_extendedprice
+                WHEN l_discount = 0 THEN 0 ELSE l_extendedprice END AS DECIMAL(18,2)) AS amount""",
     )
