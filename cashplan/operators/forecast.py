@@ -85,44 +85,56 @@ def entries_to_date(
     return keep_first(with_expected(retained(ledger, as_of), expected))
 
 
-def running_balance(entries: DataFrame, opening: Column) -> DataFrame:
-    """Add ``Running_Balance``, from ``opening`` through each entry in order, and ``Position``, 1, 2, 3, ...
+def in_order(entries: DataFrame) -> DataFrame:
+    """The entries laid out in forecast order over numbered partitions (``Part``), with what each has ``Due``.
 
-    A prefix sum over all rows, without a task that sees them all. The rows are range-partitioned by the whole
-    order, in which no two are alike, so that even a day or an amount that holds most rows is split. The
-    partitions' sums, one row each, are run up and added back. A partition number means the same in both
-    branches only while the rows stay put: hence the checkpoint, which also lets a job survive lost executors,
-    and which the reports derived from a forecast share.
+    The rows are range-partitioned by the whole order, in which no two are alike, so that even a day or an
+    amount that holds most rows is split. A partition number means the same to every reader only while the
+    rows stay put: hence the checkpoint, which also lets a job survive lost executors, and which all reports
+    on a forecast can share.
     """
     ensure_checkpoint_dir(entries.sparkSession)
-    placed = (
-        entries.withColumn("_Due", amount_due())
+    return (
+        entries.withColumn("Due", amount_due())
         .repartitionByRange(*entry_order())
-        .withColumn("_Part", F.spark_partition_id())
+        .withColumn("Part", F.spark_partition_id())
         .checkpoint()
     )
-    before = Window.orderBy("_Part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = placed.groupBy("_Part").agg(F.sum("_Due").alias("_Sum"), F.count(F.lit(1)).alias("_Rows"))
+
+
+def run_up(ordered: DataFrame, opening: Column) -> DataFrame:
+    """Add ``Running_Balance``, from ``opening`` through each entry in order, and ``Position``, 1, 2, 3, ...
+
+    A prefix sum over all rows, without a task that sees them all: the sums of the partitions, one row each,
+    are run up and added to the running sums within them.
+    """
+    before = Window.orderBy("Part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy("Part").agg(F.sum("Due").alias("_Sum"), F.count(F.lit(1)).alias("_Rows"))
     offsets = parts.select(
-        "_Part",
+        "Part",
         F.coalesce(F.sum("_Sum").over(before), F.lit(0)).alias("_Sum_Before"),
         F.coalesce(F.sum("_Rows").over(before), F.lit(0)).alias("_Rows_Before"),
     )
-    within = Window.partitionBy("_Part").orderBy(*entry_order())
+    within = Window.partitionBy("Part").orderBy(*entry_order())
     up_to = within.rowsBetween(Window.unboundedPreceding, 0)
     return (
-        placed.withColumns({"_Sum": F.sum("_Due").over(up_to), "_Rows": F.row_number().over(within)})
-        .join(F.broadcast(offsets), "_Part")  # one row per partition
+        ordered.withColumns({"_Sum": F.sum("Due").over(up_to), "_Rows": F.row_number().over(within)})
+        .join(F.broadcast(offsets), "Part")  # one row per partition
         .withColumns(
             {
                 "Running_Balance": opening + F.col("_Sum_Before") + F.col("_Sum"),
                 "Position": F.col("_Rows_Before") + F.col("_Rows"),
             }
         )
-        .drop("_Due", "_Part", "_Sum", "_Rows", "_Sum_Before", "_Rows_Before")
+        .drop("Due", "Part", "_Sum", "_Rows", "_Sum_Before", "_Rows_Before")
     )
 
 
+def running_balance(entries: DataFrame, opening: Column) -> DataFrame:
+    """Entries with their running balance and position."""
+    return run_up(in_order(entries), opening)
+
+
 def forecast(
     ledger: DataFrame,
     rules: DataFrame,

@@ -1,0 +1,158 @@
+import calendar
+from datetime import date, timedelta
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from cashplan.operators import occurrences as occ
+from cashplan.schemas import ENTRY_COLUMNS
+from helpers import D, m, rows, schedule
+
+
+def dates(spark, first, last, **rule):
+    df = occ.occurrences(schedule(spark, rule), D(first), D(last))
+    return [r[0] for r in rows(df, "Date")]
+
+
+def test_oncely(spark):
+    assert dates(spark, "2024-01-01", "2024-12-31", Type="oncely", When="02/29/2024") == [D("2024-02-29")]
+    assert dates(spark, "2024-03-01", "2024-12-31", Type="oncely", When="2/29/2024") == []
+
+
+def test_yearly(spark):
+    assert dates(spark, "2023-07-13", "2025-07-12", Type="yearly", When="13-Jul") == [
+        D("2023-07-13"),
+        D("2024-07-13"),
+    ]
+
+
+def test_yearly_on_29_february_raises(spark):
+    with pytest.raises(Exception):
+        dates(spark, "2024-01-01", "2024-12-31", Type="yearly", When="29-Feb")
+
+
+def test_monthly_skips_short_months(spark):
+    assert dates(spark, "2023-12-31", "2024-05-31", Type="monthly", When="31") == [
+        D("2023-12-31"),
+        D("2024-01-31"),
+        D("2024-03-31"),
+        D("2024-05-31"),
+    ]
+
+
+def test_biweekly_runs_both_ways_from_its_anchor(spark):
+    assert dates(spark, "2024-01-01", "2024-02-05", Type="biweekly", When="1/20/2024") == [
+        D("2024-01-06"),
+        D("2024-01-20"),
+        D("2024-02-03"),
+    ]
+
+
+def test_every_x_days(spark):
+    rule = {"Type": "everyXDays", "AfterDays": "4"}
+    want = [D("2024-01-01"), D("2024-01-05"), D("2024-01-09")]
+    assert dates(spark, "2024-01-01", "2024-01-10", When="1/9/2024", **rule) == want
+    assert dates(spark, "2024-01-01", "2024-01-10", When="12/28/2023", **rule) == want
+
+
+def test_every_zero_days_never_happens(spark):
+    assert dates(spark, "2024-01-01", "2024-01-10", Type="everyXDays", When="1/1/2024") == []
+
+
+def test_maturity_is_exclusive_and_required(spark):
+    rule = {"Type": "monthly", "When": "5"}
+    assert dates(spark, "2024-01-05", "2024-01-05", **rule, **{"Maturity Date": "1/5/2024"}) == []
+    assert dates(spark, "2024-01-05", "2024-01-05", **rule, **{"Maturity Date": "1/6/2024"}) == [
+        D("2024-01-05")
+    ]
+    assert dates(spark, "2024-01-05", "2024-01-05", **rule, **{"Maturity Date": ""}) == []
+
+
+def test_start_date_is_ignored(spark):
+    assert dates(spark, "2024-01-05", "2024-01-05", Type="monthly", When="5", Start_Date="1/1/2050") == [
+        D("2024-01-05")
+    ]
+
+
+def test_one_day_lists_kinds_in_order(spark):
+    rules = schedule(
+        spark,
+        {"Type": "everyXDays", "When": "1/1/2024", "AfterDays": "1", "Account_Name": "e"},
+        {"Type": "biweekly", "When": "1/15/2024", "Account_Name": "d"},
+        {"Type": "monthly", "When": "15", "Account_Name": "c"},
+        {"Type": "yearly", "When": "15-Jan", "Account_Name": "b"},
+        {"Type": "oncely", "When": "1/15/2024", "Account_Name": "a"},
+    )
+    df = occ.occurrences_on(rules, D("2024-01-15"))
+    assert [r.Account_Name for r in df.orderBy("Kind_Rank", "Row_Id").collect()] == list("abcde")
+    assert rows(occ.occurrences_on(rules, D("2024-01-15"), ["monthly"]), "Account_Name") == [("c",)]
+
+
+def test_expected_entries_are_unpaid_and_inclusive(spark):
+    rules = schedule(spark, {"Type": "everyXDays", "When": "1/1/2024", "AfterDays": "1"})
+    df = occ.expected_entries(rules, D("2024-01-10"), 2, 3)
+    assert df.columns == [*ENTRY_COLUMNS, "Kind_Rank", "Row_Id"]
+    assert rows(df, "Date", "Amount_Paid", "Date_Paid") == [
+        (D("2024-01-08") + timedelta(days=i), None, None) for i in range(6)
+    ]
+
+
+def test_emergency_fund(spark):
+    rules = schedule(
+        spark,
+        {"Priority": "1", "AverageMonthlyCost": "10.50"},
+        {"Priority": "1", "AverageMonthlyCost": "2"},
+        {"Priority": "2", "AverageMonthlyCost": "100"},
+    )
+    assert rows(occ.emergency_fund(rules)) == [(m(75),)]
+    assert rows(occ.emergency_fund(rules.where("Priority = 9"))) == [(m(0),)]
+
+
+def naive(rule, day):
+    """Whether a rule is due on a day, asked day by day."""
+    kind, when, step, maturity = rule
+    if maturity is None or not maturity > day:
+        return False
+    if kind == "oncely":
+        return when == day
+    if kind == "yearly":
+        return (when.month, when.day) == (day.month, day.day)
+    if kind == "monthly":
+        return when.day == day.day
+    if kind == "biweekly":
+        return (day - when).days % 14 == 0
+    return step != 0 and (day - when).days % step == 0
+
+
+day = st.dates(date(1995, 1, 1), date(2005, 12, 31)).filter(lambda d: (d.month, d.day) != (2, 29))
+rule = st.tuples(
+    st.sampled_from(["oncely", "yearly", "monthly", "biweekly", "everyXDays"]),
+    day,
+    st.integers(-9, 40),
+    st.none() | day,
+)
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(rule, min_size=20, max_size=60), day, st.integers(0, 900))
+def test_expansion_equals_asking_every_day(spark, drawn, first, length):
+    last = first + timedelta(days=length)
+    form = {
+        "yearly": lambda d: f"{d.day}-{calendar.month_abbr[d.month]}",
+        "monthly": lambda d: str(d.day),
+    }
+    us = lambda d: f"{d.month}/{d.day}/{d.year}"
+    table = [
+        {
+            "Type": kind,
+            "When": form.get(kind, us)(when),
+            "AfterDays": str(step),
+            "Maturity Date": "" if maturity is None else us(maturity),
+        }
+        for kind, when, step, maturity in drawn
+    ]
+    got = rows(occ.occurrences(schedule(spark, *table), first, last), "Row_Id", "Date")
+    days = [first + timedelta(days=i) for i in range(length + 1)]
+    want = [(i, d) for i, r in enumerate(drawn, start=1) for d in days if naive(r, d)]
+    assert got == sorted(want)
