@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,7 +103,7 @@ def in_order(entries: DataFrame) -> DataFrame:
     )
 
 
-def run_up(ordered: DataFrame, opening: Column) -> DataFrame:
+def run_up(ordered: DataFrame, opening: Column | Decimal | int) -> DataFrame:
     """Add ``Running_Balance``, from ``opening`` through each entry in order, and ``Position``, 1, 2, 3, ...
 
     A prefix sum over all rows, without a task that sees them all: the sums of the partitions, one row each,
@@ -130,7 +131,7 @@ def run_up(ordered: DataFrame, opening: Column) -> DataFrame:
     )
 
 
-def running_balance(entries: DataFrame, opening: Column) -> DataFrame:
+def running_balance(entries: DataFrame, opening: Column | Decimal | int) -> DataFrame:
     """Entries with their running balance and position."""
     return run_up(in_order(entries), opening)
 
@@ -138,7 +139,7 @@ def running_balance(entries: DataFrame, opening: Column) -> DataFrame:
 def forecast(
     ledger: DataFrame,
     rules: DataFrame,
-    opening: Column,
+    opening: Column | Decimal | int,
     as_of: date,
     days_back: int = DAYS_BACK,
     days_forward: int = DAYS_FORWARD,
@@ -154,7 +155,7 @@ def label_dates(entries: DataFrame) -> DataFrame:
     )
 
 
-def ending_daily_balance(entries: DataFrame, opening: Column) -> DataFrame:
+def ending_daily_balance(entries: DataFrame, opening: Column | Decimal | int) -> DataFrame:
     """Per date, the running balance after its last entry, and ``Label_Count``, its one-off entries.
 
     A day's closing balance does not depend on the order within the day, so this adds up days, not entries:

@@ -1,0 +1,123 @@
+import random
+from datetime import timedelta
+
+import pytest
+
+from cashplan.operators import balances as bal
+from helpers import D, balances, details, m, nulls_last, rows
+
+SNAPSHOTS = [
+    ("2024-01-01", "a", "10"),
+    ("2024-01-03", "a", "5"),
+    ("2024-01-02", "b", "7"),
+    ("2024-01-05", "c", "1.50"),
+]
+DAYS = [D("2024-01-01"), D("2024-01-02"), D("2024-01-03"), D("2024-01-05")]
+
+
+def test_fill_carries_forward_and_leaves_the_lead_null(spark):
+    got = rows(bal.forward_filled(balances(spark, *SNAPSHOTS)), "Account_Name", "Date", "Balance")
+    want = [("a", d, m(v)) for d, v in zip(DAYS, [10, 10, 5, 5])]
+    want += [("b", d, v if v is None else m(v)) for d, v in zip(DAYS, [None, 7, 7, 7])]
+    want += [("c", d, v if v is None else m(v)) for d, v in zip(DAYS, [None, None, None, 1.5])]
+    assert got == want
+
+
+def test_null_snapshot_takes_the_last_known_balance(spark):
+    df = balances(spark, ("2024-01-01", "a", "10"), ("2024-01-02", "a", None), ("2024-01-03", "b", None))
+    assert rows(bal.forward_filled(df), "Account_Name", "Date", "Balance") == [
+        ("a", D("2024-01-01"), m(10)),
+        ("a", D("2024-01-02"), m(10)),
+        ("a", D("2024-01-03"), m(10)),
+        ("b", D("2024-01-01"), None),
+        ("b", D("2024-01-02"), None),
+        ("b", D("2024-01-03"), None),
+    ]
+    assert rows(bal.by_sub_category(df, details(spark, ("b", "x", "s"))), "Sub_Category", "Balance") == [
+        ("Total", m(10)),
+        ("Total", m(10)),
+        ("Total", m(10)),
+        ("s", m(0)),
+        ("s", m(0)),
+        ("s", m(0)),
+    ]
+
+
+def test_duplicate_snapshot_raises(spark):
+    df = balances(spark, ("2024-01-01", "a", "10"), ("2024-01-01", "a", "11"))
+    with pytest.raises(Exception, match="duplicate balance of a on 2024-01-01"):
+        bal.forward_filled(df).collect()
+
+
+def test_details_fan_out_and_total_counts_each_account_once(spark):
+    df = bal.filled_with_details(
+        balances(spark, *SNAPSHOTS), details(spark, ("a", "cash", "s1"), ("a", "cash", "s2"), ("b", "debt", "s1"))
+    )
+    last = df.where("Date = DATE '2024-01-05'")
+    assert rows(last, "Account_Name", "Balance", "Category", "Sub_Category") == [
+        ("Total", m(13.5), "Total", "Total"),
+        ("a", m(5), "cash", "s1"),
+        ("a", m(5), "cash", "s2"),
+        ("b", m(7), "debt", "s1"),
+        ("c", m(1.5), None, None),
+    ]
+    first = df.where("Date = DATE '2024-01-01' AND Account_Name = 'Total'")
+    assert rows(first, "Balance") == [(m(10),)]
+
+
+def test_wide_report_counts_categories_into_the_total(spark):
+    df = balances(spark, *SNAPSHOTS)
+    kinds = details(spark, ("b", "debt", "s"), ("a", "cash", "s"), ("x", "unused", "s"), ("b", "cash", "s"))
+    wide = bal.wide_report(df, kinds)
+    assert wide.columns == ["Date", "a", "b", "c", "Total_debt", "Total_cash", "Total"]
+    assert rows(wide)[0] == (D("2024-01-01"), m(10), m(0), m(0), m(0), m(10), m(20))
+    assert rows(wide)[3] == (D("2024-01-05"), m(5), m(7), m(1.5), m(7), m(12), m(32.5))
+    assert rows(bal.wide_report(df, kinds, total_of="accounts"), "Total")[-1] == (m(17),)
+
+
+def test_wide_report_refuses_more_columns_than_the_pivot_limit(spark):
+    spark.conf.set("spark.sql.pivotMaxValues", "2")
+    try:
+        with pytest.raises(ValueError, match="at most 2 columns"):
+            bal.wide_report(balances(spark, *SNAPSHOTS), details(spark, ("a", "cash", "s")))
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
+
+
+def test_current_balance(spark):
+    df = balances(spark, *SNAPSHOTS)
+    assert rows(bal.current_balances(df), "Account_Name", "Date", "Balance") == [
+        ("a", D("2024-01-03"), m(5)),
+        ("b", D("2024-01-02"), m(7)),
+        ("c", D("2024-01-05"), m(1.5)),
+    ]
+    one = spark.range(1).select(bal.current_balance(df, "a").alias("Balance"))
+    assert rows(one) == [(m(5),)]
+    with pytest.raises(Exception, match="no balance for account nobody"):
+        spark.range(1).select(bal.current_balance(df, "nobody").alias("Balance")).collect()
+
+
+def test_against_filling_day_by_day(spark):
+    """Random snapshots, one account with most of them, against a dense fill in Python."""
+    draw = random.Random(7)
+    known = {}
+    for day in range(60):
+        for account in ["hot", "x", "y", "z"]:
+            if account == "hot" or draw.random() < 0.1:
+                known[(D("2024-01-01") + timedelta(days=day), account)] = draw.randrange(-500, 500)
+    df = balances(spark, *[(d.isoformat(), a, str(v)) for (d, a), v in known.items()])
+    kinds = {"hot": "p", "x": "p", "y": "q"}
+    days = sorted({d for d, _ in known})
+    filled, last = [], {}
+    for d in days:
+        for a in ["hot", "x", "y", "z"]:
+            last[a] = known.get((d, a), last.get(a))
+            filled.append((d, a, None if last[a] is None else m(last[a])))
+    assert rows(bal.forward_filled(df)) == sorted(filled, key=nulls_last)
+
+    sums = {(d, k): m(0) for d in days for k in ["p", "q", "Total"]}
+    for d, a, v in filled:
+        for k in {kinds.get(a), "Total"} - {None}:
+            sums[(d, k)] += v or 0
+    grouped = bal.by_sub_category(df, details(spark, *[(a, "c", k) for a, k in kinds.items()]))
+    assert rows(grouped) == sorted((d, k, v) for (d, k), v in sums.items())

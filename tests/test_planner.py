@@ -1,0 +1,112 @@
+from pyspark.sql import functions as F
+
+from cashplan.operators import planner as pl
+from helpers import D, m, plan_schedule, rows
+
+
+def plan(spark, first, last, keep_phase=False, **rule):
+    df = pl.planned_budget(plan_schedule(spark, {"Account_Name": "a"} | rule), D(first), D(last), keep_phase)
+    return [r[0] for r in rows(df, "Date")]
+
+
+def test_calendar(spark):
+    df = pl.calendar(spark)
+    assert df.count() == 36890
+    assert rows(df.where("Date = DATE '2024-02-29'")) == [(D("2024-02-29"), 2024, 2, 29, 3)]
+    edges = df.agg(F.min("Date"), F.max("Date")).first()
+    assert tuple(edges) == (pl.CALENDAR_START, pl.CALENDAR_END)
+
+
+def test_rule_views(spark):
+    rules = plan_schedule(
+        spark,
+        {"Type": "monthly", "When": "5", "Account_Name": "m"},
+        {"Type": "yearly", "When": "31-Dec", "Account_Name": "y"},
+        {"Type": "oncely", "When": "2/3/2024", "Account_Name": "o"},
+        {"Type": "biweekly", "When": "2/4/2024", "Account_Name": "b"},
+        {"Type": "everyXDays", "When": "2/4/2024", "Account_Name": "e"},
+    )
+    validity = (D("2000-01-01"), D("2099-12-31"), m(-10))
+    assert rows(pl.monthly_rules(rules)) == [("monthly", "m", 5, *validity)]
+    assert rows(pl.yearly_rules(rules)) == [("yearly", "y", 12, 31, *validity)]
+    assert rows(pl.one_time_rules(rules)) == [("oncely", "o", D("2024-02-03"), *validity)]
+    assert rows(pl.biweekly_rules(rules)) == [("biweekly", "b", D("2024-02-04"), *validity)]
+
+
+def test_validity_is_inclusive_and_open_ended(spark):
+    rule = {"Type": "monthly", "When": "5", "Start_Date": "2/5/2024"}
+    assert plan(spark, "2024-01-01", "2024-06-30", **rule, **{"Maturity Date": "4/5/2024"}) == [
+        D("2024-02-05"),
+        D("2024-03-05"),
+        D("2024-04-05"),
+    ]
+    assert plan(spark, "2100-11-01", "2101-12-31", **rule, **{"Maturity Date": ""}) == [
+        D("2100-11-05"),
+        D("2100-12-05"),
+    ]
+
+
+def test_no_start_or_no_amount_is_never_planned(spark):
+    rule = {"Type": "monthly", "When": "5"}
+    assert plan(spark, "2024-01-01", "2024-12-31", **rule, Start_Date="") == []
+    assert plan(spark, "2024-01-01", "2024-12-31", **rule, Amount=None) == []
+
+
+def test_every_x_days_is_not_planned(spark):
+    assert plan(spark, "2024-01-01", "2024-12-31", Type="everyXDays", When="1/1/2024", AfterDays="2") == []
+
+
+def test_short_months_and_years(spark):
+    assert plan(spark, "2024-01-01", "2024-04-30", Type="monthly", When="30") == [
+        D("2024-01-30"),
+        D("2024-03-30"),
+        D("2024-04-30"),
+    ]
+    assert plan(spark, "2023-06-01", "2025-06-01", Type="yearly", When="1-Jun") == [
+        D("2023-06-01"),
+        D("2024-06-01"),
+        D("2025-06-01"),
+    ]
+
+
+def test_biweekly_phase_resets_after_the_calendar_start(spark):
+    rule = {"Type": "biweekly", "When": "1/5/2000"}
+    assert plan(spark, "2000-01-01", "2000-01-31", **rule) == [
+        D("2000-01-01"),
+        D("2000-01-15"),
+        D("2000-01-29"),
+    ]
+    assert plan(spark, "2000-01-01", "2000-01-31", keep_phase=True, **rule) == [
+        D("2000-01-05"),
+        D("2000-01-19"),
+    ]
+    early = {"Type": "biweekly", "When": "12/30/1999", "Start_Date": "1/1/1999"}
+    assert plan(spark, "2000-01-01", "2000-01-31", **early) == [D("2000-01-13"), D("2000-01-27")]
+
+
+def test_biweekly_occurrences(spark):
+    rules = plan_schedule(
+        spark,
+        {"Type": "biweekly", "When": "12/20/1999", "Account_Name": "early"},
+        {"Type": "biweekly", "When": "12/20/2050", "Account_Name": "late"},
+    )
+    df = pl.biweekly_occurrences(rules)
+    per_rule = df.groupBy("Account_Name").agg(F.count(F.lit(1)), F.min("Date"))
+    assert rows(per_rule) == [
+        ("early", 2636, D("1999-12-20")),
+        ("late", 2635, D("2000-01-01")),
+    ]
+    assert pl.biweekly_occurrences(rules.where("Type = 'monthly'")).count() == 0
+
+
+def test_plan_order_and_columns(spark):
+    rules = plan_schedule(
+        spark,
+        {"Type": "oncely", "When": "1/2/2024", "Account_Name": "small", "Amount": "1"},
+        {"Type": "oncely", "When": "1/2/2024", "Account_Name": "large", "Amount": "9"},
+        {"Type": "oncely", "When": "1/1/2024", "Account_Name": "first", "Amount": "0"},
+    )
+    df = pl.in_plan_order(pl.planned_budget(rules))
+    assert df.columns == [*pl.CALENDAR_COLUMNS, "Type", "Account_Name", "Start_Date", "Maturity_Date", "Amount"]
+    assert [r.Account_Name for r in df.collect()] == ["first", "large", "small"]
+    assert rows(df, "Year", "Month_of_Year", "Day_of_Month", "Day_of_Week")[0] == (2024, 1, 1, 0)
