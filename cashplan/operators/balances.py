@@ -78,6 +78,11 @@ def _unroll(held: DataFrame, slots: DataFrame, before_first: Column) -> DataFram
     )
 
 
+def _listings(details: DataFrame, *columns: str) -> DataFrame:
+    """Accounts with the given columns and how often each is ``Listed``; copies are counted before they move."""
+    return details.groupBy("Account_Name", *columns).agg(F.count(F.lit(1)).cast("int").alias("Listed"))
+
+
 def _running_total(changes: DataFrame) -> DataFrame:
     """Date and the sum of all ``Change`` up to it."""
     up_to = Window.orderBy("Date").rowsBetween(Window.unboundedPreceding, 0)
@@ -94,6 +99,13 @@ def _group_totals(changes: DataFrame, key: str, slots: DataFrame) -> DataFrame:
     return _unroll(held, slots, F.lit(0)).select("Date", key, "Balance")
 
 
+def _member_changes(snapshots: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Changes of the accounts listed under a key, as often as they are listed."""
+    return snapshots.join(members, "Account_Name").select(
+        "Date", key, (F.col("Change") * F.col("Listed")).alias("Change")
+    )
+
+
 def forward_filled(balances: DataFrame) -> DataFrame:
     """Every account on every date with its last known balance; null before its first snapshot."""
     slots = _date_slots(balances)
@@ -108,9 +120,10 @@ def filled_with_details(balances: DataFrame, details: DataFrame) -> DataFrame:
     """
     slots = _date_slots(balances)
     snapshots = _snapshots(balances)
-    category = details.select("Account_Name", "Category", "Sub_Category")
+    category = _listings(details, "Category", "Sub_Category")
     held = _with_hold(snapshots.drop("Change"), "Account_Name", slots).join(category, "Account_Name", "left")
-    accounts = _unroll(held, slots, F.lit(None))
+    once_per_listing = F.explode(F.sequence(F.lit(1), F.coalesce("Listed", F.lit(1))))
+    accounts = _unroll(held, slots, F.lit(None)).withColumn("_Listing", once_per_listing)
     totals = _running_total(snapshots).withColumns(
         {name: F.lit(TOTAL) for name in ["Account_Name", "Category", "Sub_Category"]}
     )
@@ -124,10 +137,8 @@ def by_sub_category(balances: DataFrame, details: DataFrame) -> DataFrame:
     Accounts without a sub-category count towards the total only.
     """
     snapshots = _snapshots(balances)
-    grouped = snapshots.join(details.select("Account_Name", "Sub_Category"), "Account_Name").where(
-        F.col("Sub_Category").isNotNull()
-    )
-    changes = grouped.select("Date", "Sub_Category", "Change").unionByName(
+    members = _listings(details.where(F.col("Sub_Category").isNotNull()), "Sub_Category")
+    changes = _member_changes(snapshots, members, "Sub_Category").unionByName(
         snapshots.select("Date", F.lit(TOTAL).alias("Sub_Category"), "Change")
     )
     return _group_totals(changes, "Sub_Category", _date_slots(balances))
@@ -145,7 +156,8 @@ def wide_report(balances: DataFrame, details: DataFrame, total_of: str = "column
     """One row per date: a column per account (0 before its first snapshot), per category, and ``Total``.
 
     ``Total`` adds up all columns, so an account with a category counts twice; ``total_of="accounts"`` counts
-    each account once. The names of the columns are looked up first, as a wide schema must be known.
+    each account once. The names of the columns are looked up first, as a wide schema must be known. Balances
+    are doubles here, as this is a report to publish.
     """
     limit = int(balances.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     slots = _date_slots(balances)
@@ -156,9 +168,8 @@ def wide_report(balances: DataFrame, details: DataFrame, total_of: str = "column
     account_names = sorted(_names(accounts, limit))
     category_names = [f"{TOTAL}_{name}" for name in _names(first_seen.select("Category"), limit)]
 
-    by_category = snapshots.join(known.select("Account_Name", "Category"), "Account_Name").select(
-        "Date", F.concat(F.lit(f"{TOTAL}_"), "Category").alias("Column"), "Change"
-    )
+    members = _listings(known, "Category").withColumn("Column", F.concat(F.lit(f"{TOTAL}_"), "Category"))
+    by_category = _member_changes(snapshots, members, "Column")
     held = _with_hold(snapshots.drop("Change"), "Account_Name", slots)
     account_cells = _unroll(held, slots, F.lit(0)).select(
         "Date", F.col("Account_Name").alias("Column"), F.coalesce("Balance", F.lit(0)).alias("Balance")
@@ -168,7 +179,8 @@ def wide_report(balances: DataFrame, details: DataFrame, total_of: str = "column
     if total_of == "columns":
         counted = counted.unionByName(by_category.select("Date", "Change"))
     total_cells = _running_total(counted).withColumn("Column", F.lit(TOTAL))
-    cells = account_cells.unionByName(category_cells).unionByName(total_cells)
+    exact = account_cells.unionByName(category_cells).unionByName(total_cells)
+    cells = exact.withColumn("Balance", F.col("Balance").cast("double"))  # summed up already
     names = [*account_names, *category_names, TOTAL]
     return cells.groupBy("Date").pivot("Column", names).agg(F.sum("Balance"))
 

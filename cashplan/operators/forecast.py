@@ -205,7 +205,8 @@ def daily_balance_report(
     left join would move the labels instead. Days without a label are added from ``daily`` itself.
     """
     days = daily.where(_since(as_of, recency))
-    labelled = labels.where(_since(as_of, recency)).join(F.broadcast(days), "Date")
+    labelled_days = days.where(F.col("Label_Count") > 0)  # the same columns as below, so both share a shuffle
+    labelled = labels.where(_since(as_of, recency)).join(F.broadcast(labelled_days), "Date")
     bare = days.where(F.col("Label_Count") == 0).withColumn("Label_Item", F.lit(""))
     rows = labelled.unionByName(bare, allowMissingColumns=True)
     return rows.select(

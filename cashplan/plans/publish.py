@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashplan import schemas
-from cashplan.operators import balances, bank, forecast, occurrences, planner, typed
+from cashplan.operators import balances, bank, budget, forecast, occurrences, typed
 from cashplan.sources.bank_exports import read_exports
 from cashplan.sources.tables import TableStore
 
@@ -56,13 +56,13 @@ def publish_forecast(
 def publish_rules(store: TableStore, force_update: bool = False) -> None:
     """Write the planner's four views of the rules."""
     rules = typed.planner_schedule(store.read(schemas.INCOME_EXPENSE, force_update))
-    store.write(typed.at_edge(planner.monthly_rules(rules)), schemas.MONTHLY_BUDGETS)
-    store.write(typed.at_edge(planner.yearly_rules(rules)), schemas.YEARLY_BUDGETS)
-    store.write(typed.at_edge(planner.one_time_rules(rules)), schemas.ONE_TIME_BUDGETS)
-    store.write(typed.at_edge(planner.biweekly_rules(rules)), schemas.BI_WEEKLY_BUDGETS)
+    store.write(typed.at_edge(budget.monthly_rules(rules)), schemas.MONTHLY_BUDGETS)
+    store.write(typed.at_edge(budget.yearly_rules(rules)), schemas.YEARLY_BUDGETS)
+    store.write(typed.at_edge(budget.one_time_rules(rules)), schemas.ONE_TIME_BUDGETS)
+    store.write(typed.at_edge(budget.biweekly_rules(rules)), schemas.BI_WEEKLY_BUDGETS)
 
 
-def publish_transactions(store: TableStore, folder: str) -> None:
-    """Write the classified transactions of a folder of bank exports."""
-    transactions = bank.classified(read_exports(store.spark, folder))
+def publish_transactions(store: TableStore, folder: str, year: str | None = None) -> None:
+    """Write the classified transactions of a folder of bank exports, or of one year of it."""
+    transactions = bank.classified(read_exports(store.spark, folder, year))
     store.write(typed.at_edge(transactions), schemas.TRANSACTIONS)

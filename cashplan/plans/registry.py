@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cashplan.functions import cells
-from cashplan.operators import balances, bank, forecast, occurrences, planner, typed
+from cashplan.operators import balances, bank, budget, forecast, occurrences, typed
 from cashplan.plans import views
 from cashplan.schemas import BIWEEKLY, EVERY_X_DAYS, KINDS, MONTHLY, ONCELY, YEARLY
 
@@ -109,7 +109,7 @@ def _summary(spark: SparkSession, sf: str) -> DataFrame:
 def _calendar(spark: SparkSession, sf: str) -> DataFrame:
     """The calendar of the days that the ledger spans."""
     span = views.ledger(spark, sf).agg(F.min("Date").alias("First"), F.max("Date").alias("Last"))
-    return planner.calendar_of(span)
+    return budget.calendar_of(span)
 
 
 def _percent(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,13 +157,13 @@ _QUERIES: dict[str, Query] = {
     "daily_balance_report": daily_balance_report,
     "summary_top30": _summary,
     "calendar": _calendar,
-    "plan_rules_monthly": _plan(planner.monthly_rules),
-    "plan_rules_yearly": _plan(planner.yearly_rules),
-    "plan_rules_one_time": _plan(planner.one_time_rules),
-    "plan_rules_biweekly": _plan(planner.biweekly_rules),
-    "plan_biweekly_occurrences": _plan(planner.biweekly_occurrences),
-    "planned_budget": _plan(planner.planned_budget),
-    "planned_budget_window": _plan(lambda rules: planner.planned_budget(rules, *WINDOW)),
+    "plan_rules_monthly": _plan(budget.monthly_rules),
+    "plan_rules_yearly": _plan(budget.yearly_rules),
+    "plan_rules_one_time": _plan(budget.one_time_rules),
+    "plan_rules_biweekly": _plan(budget.biweekly_rules),
+    "plan_biweekly_occurrences": _plan(budget.biweekly_occurrences),
+    "planned_budget": _plan(budget.planned_budget),
+    "planned_budget_window": _plan(lambda rules: budget.planned_budget(rules, *WINDOW)),
     "bank_classified": lambda s, sf: bank.classified(views.bank_transactions(s, sf)),
 }
 

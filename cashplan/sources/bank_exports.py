@@ -96,12 +96,19 @@ def _read_group(spark: SparkSession, header: tuple, paths: list[str], multiline:
     return rows.select(F.lit(account_type).alias("account_type"), F.col("_metadata.file_name"), *cells)
 
 
-def read_exports(spark: SparkSession, folder: str, pattern: str = "*.csv", multiline: bool = False) -> DataFrame:
-    """The transactions of all exports in a folder, in one shape.
+def read_exports(
+    spark: SparkSession,
+    folder: str,
+    year: str | None = None,
+    pattern: str = "*.csv",
+    multiline: bool = False,
+) -> DataFrame:
+    """The transactions of all exports in a folder, or in its subfolder for a year, in one shape.
 
     A file with a balance column is a checking account's, any other a credit card's. ``post_date`` stays text.
     ``multiline`` allows line breaks within quotes, at the price of unsplittable files.
     """
+    folder = f"{folder.rstrip('/')}/{year}" if year else folder
     paths = list_files(spark, folder, pattern)
     if not paths:
         raise ValueError(f"no export files in {folder}")

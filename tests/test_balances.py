@@ -70,9 +70,9 @@ def test_wide_report_counts_categories_into_the_total(spark):
     kinds = details(spark, ("b", "debt", "s"), ("a", "cash", "s"), ("x", "unused", "s"), ("b", "cash", "s"))
     wide = bal.wide_report(df, kinds)
     assert wide.columns == ["Date", "a", "b", "c", "Total_debt", "Total_cash", "Total"]
-    assert rows(wide)[0] == (D("2024-01-01"), m(10), m(0), m(0), m(0), m(10), m(20))
-    assert rows(wide)[3] == (D("2024-01-05"), m(5), m(7), m(1.5), m(7), m(12), m(32.5))
-    assert rows(bal.wide_report(df, kinds, total_of="accounts"), "Total")[-1] == (m(17),)
+    assert rows(wide)[0] == (D("2024-01-01"), 10.0, 0.0, 0.0, 0.0, 10.0, 20.0)
+    assert rows(wide)[3] == (D("2024-01-05"), 5.0, 7.0, 1.5, 7.0, 12.0, 32.5)
+    assert rows(bal.wide_report(df, kinds, total_of="accounts"), "Total")[-1] == (17.0,)
 
 
 def test_wide_report_refuses_more_columns_than_the_pivot_limit(spark):
@@ -121,3 +121,16 @@ def test_against_filling_day_by_day(spark):
             sums[(d, k)] += v or 0
     grouped = bal.by_sub_category(df, details(spark, *[(a, "c", k) for a, k in kinds.items()]))
     assert rows(grouped) == sorted((d, k, v) for (d, k), v in sums.items())
+
+
+def test_an_account_listed_many_times(spark):
+    df = balances(spark, ("2024-01-01", "a", "2"), ("2024-01-02", "b", "3"))
+    copies = details(spark, *[("a", "cash", "s")] * 50, ("b", "cash", "s"))
+    assert bal.filled_with_details(df, copies).where("Account_Name = 'a'").count() == 100
+    assert rows(bal.by_sub_category(df, copies), "Sub_Category", "Balance") == [
+        ("Total", m(2)),
+        ("Total", m(5)),
+        ("s", m(100)),
+        ("s", m(103)),
+    ]
+    assert rows(bal.wide_report(df, copies), "Total_cash", "Total") == [(100.0, 102.0), (103.0, 108.0)]

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from cashplan.operators import planner as pl
+from cashplan.operators import budget as pl
 from helpers import D, m, plan_schedule, rows
 
 
