@@ -99,11 +99,23 @@ def _group_totals(changes: DataFrame, key: str, slots: DataFrame) -> DataFrame:
     return _unroll(held, slots, F.lit(0)).select("Date", key, "Balance")
 
 
-def _member_changes(snapshots: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """Changes of the accounts listed under a key, as often as they are listed."""
-    return snapshots.join(members, "Account_Name").select(
-        "Date", key, (F.col("Change") * F.col("Listed")).alias("Change")
+def _changes(snapshots: DataFrame, members: DataFrame, key: str, total_of: str = "accounts") -> DataFrame:
+    """Changes of balance by date and key, among them those of the key ``Total``.
+
+    ``members`` says how often each account is ``Listed`` under a key. Every account counts once towards the
+    total, listed or not; with ``total_of="columns"`` each of its listings counts as well.
+    """
+    by_account = Window.partitionBy("Account_Name").orderBy(key)
+    numbered = members.withColumn("_Number", F.row_number().over(by_account))
+    listed = snapshots.join(numbered, "Account_Name", "left")
+    in_key = F.col("Change") * F.col("Listed")
+    in_total = F.when(F.coalesce("_Number", F.lit(1)) == 1, F.col("Change")).otherwise(0)
+    if total_of == "columns":
+        in_total = in_total + F.coalesce(in_key, F.lit(0))
+    both = F.array(
+        F.struct(F.col(key), in_key.alias("Change")), F.struct(F.lit(TOTAL).alias(key), in_total.alias("Change"))
     )
+    return listed.select("Date", F.inline(both)).where(F.col(key).isNotNull())
 
 
 def forward_filled(balances: DataFrame) -> DataFrame:
@@ -136,11 +148,8 @@ def by_sub_category(balances: DataFrame, details: DataFrame) -> DataFrame:
 
     Accounts without a sub-category count towards the total only.
     """
-    snapshots = _snapshots(balances)
     members = _listings(details.where(F.col("Sub_Category").isNotNull()), "Sub_Category")
-    changes = _member_changes(snapshots, members, "Sub_Category").unionByName(
-        snapshots.select("Date", F.lit(TOTAL).alias("Sub_Category"), "Change")
-    )
+    changes = _changes(_snapshots(balances), members, "Sub_Category")
     return _group_totals(changes, "Sub_Category", _date_slots(balances))
 
 
@@ -168,18 +177,15 @@ def wide_report(balances: DataFrame, details: DataFrame, total_of: str = "column
     account_names = sorted(_names(accounts, limit))
     category_names = [f"{TOTAL}_{name}" for name in _names(first_seen.select("Category"), limit)]
 
-    members = _listings(known, "Category").withColumn("Column", F.concat(F.lit(f"{TOTAL}_"), "Category"))
-    by_category = _member_changes(snapshots, members, "Column")
+    members = _listings(known, "Category").select(
+        "Account_Name", F.concat(F.lit(f"{TOTAL}_"), "Category").alias("Column"), "Listed"
+    )
     held = _with_hold(snapshots.drop("Change"), "Account_Name", slots)
     account_cells = _unroll(held, slots, F.lit(0)).select(
         "Date", F.col("Account_Name").alias("Column"), F.coalesce("Balance", F.lit(0)).alias("Balance")
     )
-    category_cells = _group_totals(by_category, "Column", slots)
-    counted = snapshots.select("Date", "Change")
-    if total_of == "columns":
-        counted = counted.unionByName(by_category.select("Date", "Change"))
-    total_cells = _running_total(counted).withColumn("Column", F.lit(TOTAL))
-    exact = account_cells.unionByName(category_cells).unionByName(total_cells)
+    total_cells = _group_totals(_changes(snapshots, members, "Column", total_of), "Column", slots)
+    exact = account_cells.unionByName(total_cells)
     cells = exact.withColumn("Balance", F.col("Balance").cast("double"))  # summed up already
     names = [*account_names, *category_names, TOTAL]
     return cells.groupBy("Date").pivot("Column", names).agg(F.sum("Balance"))

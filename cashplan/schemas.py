@@ -48,6 +48,7 @@ def text_table(*names: str) -> T.StructType:
     return T.StructType(fields + [T.StructField(name, T.StringType()) for name in names])
 
 
+# Columns of the source tables.
 INCOME_EXPENSE_TEXT = text_table(
     "Category",
     "Sub_Category",

@@ -134,3 +134,15 @@ def test_an_account_listed_many_times(spark):
         ("s", m(103)),
     ]
     assert rows(bal.wide_report(df, copies), "Total_cash", "Total") == [(100.0, 102.0), (103.0, 108.0)]
+
+
+def test_an_account_in_two_groups_counts_once_towards_the_total(spark):
+    df = balances(spark, ("2024-01-01", "a", "2"), ("2024-01-01", "b", "3"), ("2024-01-01", "c", "4"))
+    kinds = details(spark, ("a", "k1", "s1"), ("a", "k2", "s2"), ("a", "k2", "s2"), ("b", None, None))
+    assert rows(bal.by_sub_category(df, kinds), "Sub_Category", "Balance") == [
+        ("Total", m(9)),
+        ("s1", m(2)),
+        ("s2", m(4)),
+    ]
+    assert rows(bal.wide_report(df, kinds), "Total_k1", "Total_k2", "Total") == [(2.0, 4.0, 15.0)]
+    assert rows(bal.wide_report(df, kinds, total_of="accounts"), "Total") == [(9.0,)]
