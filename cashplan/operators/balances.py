@@ -199,6 +199,10 @@ def current_balances(balances: DataFrame) -> DataFrame:
 
 
 def current_balance(balances: DataFrame, account: str) -> Column:
-    """One account's balance on its latest date, as a scalar to use in other frames; none at all raises."""
-    latest = balances.where(F.col("Account_Name") == account).agg(F.max_by("Balance", "Date"))
+    """One account's balance on its latest date, as a scalar to use in other frames; none at all raises.
+
+    Should the table list the account twice on that date, the first row counts.
+    """
+    order = F.struct("Date", -F.col("Row_Id"))
+    latest = balances.where(F.col("Account_Name") == account).agg(F.max_by("Balance", order))
     return F.coalesce(latest.scalar(), F.raise_error(F.lit(f"no balance for account {account}")))

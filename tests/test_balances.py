@@ -93,6 +93,8 @@ def test_current_balance(spark):
     ]
     one = spark.range(1).select(bal.current_balance(df, "a").alias("Balance"))
     assert rows(one) == [(m(5),)]
+    twice = balances(spark, ("2024-01-02", "a", "1"), ("2024-01-03", "a", "2"), ("2024-01-03", "a", "3"))
+    assert rows(spark.range(1).select(bal.current_balance(twice, "a").alias("Balance"))) == [(m(2),)]
     with pytest.raises(Exception, match="no balance for account nobody"):
         spark.range(1).select(bal.current_balance(df, "nobody").alias("Balance")).collect()
 

@@ -1,3 +1,8 @@
+import calendar
+from datetime import date, timedelta
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cashplan.operators import budget as pl
@@ -110,3 +115,51 @@ def test_plan_order_and_columns(spark):
     assert df.columns == [*pl.CALENDAR_COLUMNS, "Type", "Account_Name", "Start_Date", "Maturity_Date", "Amount"]
     assert [r.Account_Name for r in df.collect()] == ["first", "large", "small"]
     assert rows(df, "Year", "Month_of_Year", "Day_of_Month", "Day_of_Week")[0] == (2024, 1, 1, 0)
+
+
+def naive(rule, day):
+    """Whether a rule is planned on a day, asked day by day."""
+    kind, when, start, maturity = rule
+    if day < start or (maturity is not None and day > maturity):
+        return False
+    if kind == "oncely":
+        return when == day
+    if kind == "yearly":
+        return (when.month, when.day) == (day.month, day.day)
+    if kind == "monthly":
+        return when.day == day.day
+    return kind == "biweekly" and (day - min(when, pl.CALENDAR_START)).days % 14 == 0
+
+
+date_of_rule = st.dates(date(1997, 1, 1), date(2004, 12, 31)).filter(lambda d: (d.month, d.day) != (2, 29))
+drawn_rule = st.tuples(
+    st.sampled_from(["oncely", "yearly", "monthly", "biweekly", "everyXDays"]),
+    date_of_rule,
+    date_of_rule,
+    st.none() | date_of_rule,
+)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(drawn_rule, min_size=20, max_size=60), date_of_rule, st.integers(0, 900))
+def test_plan_equals_asking_every_day(spark, drawn, first, length):
+    last = first + timedelta(days=length)
+    us = lambda d: f"{d.month}/{d.day}/{d.year}"
+    form = {
+        "yearly": lambda d: f"{d.day}-{calendar.month_abbr[d.month]}",
+        "monthly": lambda d: str(d.day),
+    }
+    table = [
+        {
+            "Type": kind,
+            "When": form.get(kind, us)(when),
+            "Account_Name": f"n{i}",
+            "Start_Date": us(start),
+            "Maturity Date": "" if maturity is None else us(maturity),
+        }
+        for i, (kind, when, start, maturity) in enumerate(drawn)
+    ]
+    got = rows(pl.planned_budget(plan_schedule(spark, *table), first, last), "Account_Name", "Date")
+    days = [first + timedelta(days=i) for i in range(length + 1)]
+    planned = [d for d in days if d >= pl.CALENDAR_START]
+    assert got == sorted((f"n{i}", d) for i, r in enumerate(drawn) for d in planned if naive(r, d))
