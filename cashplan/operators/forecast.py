@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cashplan.operators.occurrences import expected_entries
 from cashplan.schemas import ENTRY_COLUMNS, MONEY, ONCELY
-from cashplan.session import ensure_checkpoint_dir
+from cashplan.session import written
 
 # Horizon, alert threshold and look-back of the reports.
 DAYS_BACK = 5
@@ -91,15 +91,13 @@ def in_order(entries: DataFrame) -> DataFrame:
 
     The rows are range-partitioned by the whole order, in which no two are alike, so that even a day or an
     amount that holds most rows is split. A partition number means the same to every reader only while the
-    rows stay put: hence the checkpoint, which also lets a job survive lost executors, and which all reports
-    on a forecast can share.
+    rows stay put: hence they are written to the shared checkpoint folder, which also lets a job survive lost
+    executors, and from which all reports on a forecast can read.
     """
-    ensure_checkpoint_dir(entries.sparkSession)
-    return (
+    return written(
         entries.withColumn("Due", amount_due())
         .repartitionByRange(*entry_order())
         .withColumn("Part", F.spark_partition_id())
-        .checkpoint()
     )
 
 

@@ -30,8 +30,8 @@ def publish_forecast(
 ) -> None:
     """Write the transactions, daily balance and account balance reports and the two summary lists.
 
-    The ledger is source and sink. That is safe because its entries are checkpointed before anything is
-    written; all reports but the account balances are derived from that one copy.
+    The ledger is source and sink. That is safe because its entries are laid out in the checkpoint folder
+    before any report is written; all reports but the account balances are derived from that one copy.
     """
     rules = typed.schedule(store.read(schemas.INCOME_EXPENSE, force_update=True))
     snapshots = typed.account_balances(store.read(schemas.ACCOUNT_DATE_BALANCES, force_update=True))

@@ -3,23 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session, where every
-    executor shares this machine's disk, may fall back to a temporary folder.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local session, where every executor
+    shares this machine's disk, may fall back to a temporary folder.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cashplan-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cashplan-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and read it back: its rows stay put, and its lineage ends there.
+
+    Unlike ``DataFrame.checkpoint`` this keeps columns apart, so that readers load the columns they need and
+    skip row groups by their statistics.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cashplan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

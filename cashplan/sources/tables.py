@@ -30,7 +30,7 @@ class TableStore:
         return self._kept[name]
 
     def write(self, df: DataFrame, name: str) -> None:
-        """Replace the table. A frame that still reads from it must be checkpointed first."""
+        """Replace the table. A frame that still reads from it must be written elsewhere first."""
         writer = df.write.mode("overwrite")
         if self.root is None:
             writer.saveAsTable(name)
