@@ -64,9 +64,10 @@ _HEADER_READERS = 16
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[str]:
-    """Paths of a folder's export files; only names are read."""
+    """Paths of a folder's export files, safe to read even if a name looks like a glob; only names are read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return sorted(row.path for row in files.select("path").collect())
+    paths = [row.path for row in files.select("path").collect()]
+    return sorted(re.sub(r"([\\*?\[\]{}])", r"\\\1", path) for path in paths)
 
 
 def _reader(spark: SparkSession, multiline: bool):
@@ -83,17 +84,25 @@ def files_by_header(spark: SparkSession, paths: list[str], multiline: bool = Fal
     return dict(groups)
 
 
-def _read_group(spark: SparkSession, header: tuple, paths: list[str], multiline: bool) -> DataFrame:
-    """All files of one header as text. Fields beyond the header and unnamed columns are dropped."""
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    rows = _reader(spark, multiline).schema(schema).csv(paths)
-    named = [name for name in header if not _UNNAMED.match(name)]
+def _in_one_shape(rows: DataFrame) -> DataFrame:
+    """Rows of one header under canonical names. Columns without a name are dropped."""
+    named = [name for name in rows.columns if not _UNNAMED.match(name)]
     cells = [
         F.when(~F.col(f"`{name}`").isin(MISSING_CELLS), F.col(f"`{name}`")).alias(CANONICAL_NAMES.get(name, name))
         for name in named
     ]
     account_type = CHECKING if "Balance" in named else CREDIT_CARD
-    return rows.select(F.lit(account_type).alias("account_type"), F.col("_metadata.file_name"), *cells)
+    # Spark reports the name with its special characters URL-encoded, all but the plus sign
+    file_name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+    return rows.select(F.lit(account_type).alias("account_type"), file_name.alias("file_name"), *cells)
+
+
+def _text_schema(header: tuple) -> T.StructType:
+    return T.StructType([T.StructField(name, T.StringType()) for name in header])
+
+
+def _as_transactions(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("amount", F.col("amount").cast(MONEY)).select(*TRANSACTION_COLUMNS)
 
 
 def read_exports(
@@ -112,7 +121,20 @@ def read_exports(
     paths = list_files(spark, folder, pattern)
     if not paths:
         raise ValueError(f"no export files in {folder}")
-    groups = files_by_header(spark, paths, multiline)
-    frames = [_read_group(spark, header, files, multiline) for header, files in groups.items()]
-    everything = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return everything.withColumn("amount", F.col("amount").cast(MONEY)).select(*TRANSACTION_COLUMNS)
+    frames = [
+        _in_one_shape(_reader(spark, multiline).schema(_text_schema(header)).csv(files))
+        for header, files in files_by_header(spark, paths, multiline).items()
+    ]
+    return _as_transactions(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames))
+
+
+def read_alike_exports(
+    spark: SparkSession, folder: str, header: list[str], pattern: str = "*.csv", multiline: bool = False
+) -> DataFrame:
+    """Like :func:`read_exports`, for a folder of files that all have the given header.
+
+    No file is opened ahead of the scan, which suits archives of very many files. A file with another header
+    makes the scan fail.
+    """
+    reader = _reader(spark, multiline).options(enforceSchema=False, pathGlobFilter=pattern)
+    return _as_transactions(_in_one_shape(reader.schema(_text_schema(tuple(header))).csv(folder)))

@@ -88,3 +88,21 @@ def test_zero_is_an_expense_and_nulls_survive(spark):
         ("credit_card", None, "expense"),
         (None, 5, "income"),
     ]
+
+
+def test_files_of_one_known_header(spark, folder):
+    path = folder(
+        a=[CARD, "01/01/2024,01/02/2024,SHOP,Food,Sale,-12.34,"],
+        b=[CARD, "01/01/2024,01/03/2024,BOOK,Fun,Sale,-5,,"],
+    )
+    df = bank_exports.read_alike_exports(spark, path, CARD.split(","))
+    assert rows(df) == rows(bank_exports.read_exports(spark, path))
+    folder(c=[CHECKING, "CREDIT,01/02/2024,PAY,1500.00,ACH,2500.00,"])
+    with pytest.raises(Exception):
+        bank_exports.read_alike_exports(spark, path, CARD.split(",")).collect()
+
+
+@pytest.mark.parametrize("name", ["Card 05% (May) #1.csv", "a+b%20c.csv", "card[1]{x}.csv"])
+def test_unusual_file_names(spark, tmp_path, name):
+    (tmp_path / name).write_text(CARD + "\n01/01/2024,01/02/2024,SHOP,Food,Sale,-12.34,\n")
+    assert rows(bank_exports.read_exports(spark, str(tmp_path)), "file_name", "amount") == [(name, m(-12.34))]
