@@ -56,6 +56,8 @@ class TableStore:
             df = self.spark.read.table(name)
         else:
             df = self.spark.read.format(self.file_format).option("header", True).load(self._path(name))
+            if self.file_format == "csv":
+                df = df.na.fill("")  # as on a sheet, a cell without text is blank, not missing
         if "Row_Id" in df.columns:
             df = df.withColumn("Row_Id", F.col("Row_Id").cast("long"))
         return df

@@ -3,9 +3,10 @@ from datetime import datetime
 import pytest
 
 from cashplan import schemas
+from cashplan.operators import typed
 from cashplan.plans import publish
 from cashplan.sources.tables import TableStore
-from helpers import D, income_expense, rows, text_frame
+from helpers import D, income_expense, m, rows, text_frame
 
 AS_OF = D("2024-01-10")
 
@@ -129,6 +130,16 @@ def test_a_table_is_reread_after_a_write_or_on_demand(spark, store):
     assert store.read("Numbers").count() == 5
 
 
+def test_blank_cells_of_a_foreign_csv_file(spark, tmp_path):
+    table = tmp_path / schemas.ACCOUNT_DETAILS
+    table.mkdir()
+    (table / "sheet.csv").write_text(
+        "Row_Id,Account_Name,Category,Sub_Category,Limit,Interest Rate,Maturity Date,Link\n1,Bank,Cash,,,,,\n"
+    )
+    df = typed.account_details(TableStore(spark, str(tmp_path), "csv").read(schemas.ACCOUNT_DETAILS))
+    assert rows(df, "Row_Id", "Limit", "Interest Rate", "Maturity Date", "Link") == [(1, m(0), 0.0, None, "")]
+
+
 def test_catalog_tables(spark, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS cash LOCATION '{tmp_path}/cash'")
     store = TableStore(spark)
