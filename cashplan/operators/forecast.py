@@ -105,8 +105,9 @@ def run_up(ordered: DataFrame, opening: Column | Decimal | int) -> DataFrame:
     """Add ``Running_Balance``, from ``opening`` through each entry in order, and ``Position``, 1, 2, 3, ...
 
     A prefix sum over all rows, without a task that sees them all: the sums of the partitions, one row each,
-    are run up and added to the running sums within them.
+    are run up and added to the running sums within them. Each numbered partition gets a task of its own.
     """
+    partitions = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     before = Window.orderBy("Part").rowsBetween(Window.unboundedPreceding, -1)
     parts = ordered.groupBy("Part").agg(F.sum("Due").alias("_Sum"), F.count(F.lit(1)).alias("_Rows"))
     offsets = parts.select(
@@ -117,7 +118,8 @@ def run_up(ordered: DataFrame, opening: Column | Decimal | int) -> DataFrame:
     within = Window.partitionBy("Part").orderBy(*entry_order())
     up_to = within.rowsBetween(Window.unboundedPreceding, 0)
     return (
-        ordered.withColumns({"_Sum": F.sum("Due").over(up_to), "_Rows": F.row_number().over(within)})
+        ordered.repartitionById(partitions, F.col("Part"))
+        .withColumns({"_Sum": F.sum("Due").over(up_to), "_Rows": F.row_number().over(within)})
         .join(F.broadcast(offsets), "Part")  # one row per partition
         .withColumns(
             {
