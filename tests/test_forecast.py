@@ -205,3 +205,21 @@ def test_daily_balance_report(small):
     assert len(got) == 9
     later = fc.daily_balance_report(daily, fc.label_dates(entries), occ.emergency_fund(rules), D("2024-01-18"))
     assert later.agg(F.min("Date").cast("date")).first()[0] == D("2024-01-08")
+
+
+def test_reports_read_only_what_they_need_of_a_layout(small, capsys):
+    entries, rules = small
+    placed = fc.in_order(entries)
+    daily = fc.ending_daily_balance(placed, OPENING)
+    report = fc.daily_balance_report(daily, fc.label_dates(placed), occ.emergency_fund(rules), AS_OF)
+    capsys.readouterr()
+    report.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(Date,2023-12-31)" in plan and "EqualTo(Type,oncely)" in plan
+    scanned = [line for line in plan.splitlines() if line.startswith("ReadSchema")]
+    assert scanned and not any("Category" in line or "Auto_Pay_Account" in line for line in scanned)
+    assert rows(report.withColumn("Date", F.col("Date").cast("date"))) == rows(
+        fc.daily_balance_report(
+            fc.ending_daily_balance(entries, OPENING), fc.label_dates(entries), occ.emergency_fund(rules), AS_OF
+        ).withColumn("Date", F.col("Date").cast("date"))
+    )
