@@ -36,7 +36,7 @@ def integer(name: str) -> Column:
 
 
 def money_or_zero(name: str) -> Column:
-    return F.when(text(name) == "", F.lit(0).cast(MONEY)).otherwise(present(name).cast(MONEY))
+    return F.when(text(name) == "", F.lit(0).cast(MONEY)).otherwise(money(name))
 
 
 def integer_or_zero(name: str) -> Column:
@@ -44,14 +44,14 @@ def integer_or_zero(name: str) -> Column:
     return (
         F.when(cell.isNull(), F.raise_error(F.lit(f"{name} is null")))
         .when(cell == "", F.lit(0))
-        .otherwise(present(name).cast("int"))
+        .otherwise(cell.cast("int"))
     )
 
 
 def percent(name: str) -> Column:
     """``'12.5%'`` to 0.125, blank to 0."""
-    digits = F.trim(F.replace(text(name), F.lit("%"), F.lit("")))
-    return F.when(digits == "", F.lit(0.0)).otherwise(F.nullif(digits, F.lit("")).cast("double")) / 100
+    digits = F.replace(text(name), F.lit("%"), F.lit(""))
+    return F.when(digits == "", F.lit(0.0)).otherwise(digits.cast("double")) / 100
 
 
 def day(name: str) -> Column:

@@ -40,6 +40,8 @@ def test_blank_is_zero_but_null_stays_null(spark):
         ("AfterDays", "3.0"),
         ("AfterDays", None),
         ("Payoff Order", None),
+        ("Payoff Order", " "),
+        ("Limit", " "),
         ("Interest Rate", "high"),
         ("Maturity Date", "someday"),
     ],
@@ -49,6 +51,12 @@ def test_bad_cells_raise(spark, name, cell):
         schedule(spark, {name: cell}).select(f"`{name}`").collect()
 
 
+def test_numbers_may_have_spaces_around_them(spark):
+    df = schedule(spark, {"Amount": " -7.5 ", "Limit": " 3", "Priority": "2 ", "Interest Rate": "5 %"})
+    assert one(df, "Amount") == m(-7.5) and one(df, "Limit") == m(3)
+    assert one(df, "Priority") == 2 and one(df, "Interest Rate") == 0.05
+
+
 def test_iso_dates_are_read_too(spark):
     assert one(schedule(spark, {"Maturity Date": "2030-01-02"}), "Maturity Date") == D("2030-01-02")
 
