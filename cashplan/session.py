@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
+    """The shared folder for intermediate tables: the one that the cluster names in ``spark.checkpoint.dir``.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local session, where every executor
-    shares this machine's disk, may fall back to a temporary folder.
+    Where no folder is named it is one below ``spark.sql.warehouse.dir``, which executors share as well.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cashplan-checkpoint-"))
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/cashplan-checkpoints")
     return sc.getCheckpointDir()
 
 

@@ -9,10 +9,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from cashplan.plans import oracle, registry
 
 SF_DIR = Path("/root/testdata/sf0.001")
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = oracle.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="no test tables")
 
