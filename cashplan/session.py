@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +32,23 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/cashplan-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_zips: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that their Python workers can import it.
+
+    Not needed where the package is installed on them.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _zips:
+        return
+    _zips[sc.applicationId] = folder = tempfile.TemporaryDirectory()  # until this process ends
+    package = Path(__file__).resolve().parent
+    archive = Path(folder.name, f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    sc.addPyFile(str(archive))

@@ -1,17 +1,16 @@
 from types import SimpleNamespace
 
-import pytest
-
 from cashplan import session
 from helpers import rows
 
 
-def fake(master, named=None, current=None):
+def fake(master, warehouse=None, named=None, current=None):
     chosen = [current]
     context = SimpleNamespace(
         master=master, getCheckpointDir=lambda: chosen[0], setCheckpointDir=lambda path: chosen.__setitem__(0, path)
     )
-    conf = SimpleNamespace(get=lambda key, default: named)
+    settings = {"spark.checkpoint.dir": named, "spark.sql.warehouse.dir": warehouse}
+    conf = SimpleNamespace(get=lambda key, default=None: settings[key])
     return SimpleNamespace(sparkContext=context, conf=conf)
 
 
@@ -21,10 +20,14 @@ def test_the_clusters_folder_is_used():
     assert session.checkpoint_dir(fake("local[4]", named="/named")) == "/named"
 
 
-def test_only_a_local_session_falls_back_to_a_temporary_folder():
-    assert "cashplan-checkpoint-" in session.checkpoint_dir(fake("local[4]"))
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        session.checkpoint_dir(fake("spark://host:7077"))
+def test_without_a_named_folder_it_is_below_the_warehouse():
+    assert session.checkpoint_dir(fake("spark://host:7077", "hdfs:/warehouse")).startswith("hdfs:/warehouse")
+
+
+def test_the_package_is_shipped_once(spark):
+    session.ship(spark)
+    session.ship(spark)
+    assert sum("cashplan.zip" in path for path in spark.sparkContext.listFiles) == 1
 
 
 def test_written_rows_come_back_typed(spark):
