@@ -207,6 +207,8 @@ def by_path(
         )
         .drop("all", "findings")
     )
+    # a table of its own, so that the partition of a blob with very many paths can be split when it is joined
+    listing = written(listing)
     paths = versions.select(F.col(path), _blob(_text()).alias("blob"))
     counts = [F.coalesce(f"n_{rule.name}", F.lit(0).cast("long")).alias(f"n_{rule.name}") for rule in rules]
     return paths.join(listing, "blob", "left").select(
