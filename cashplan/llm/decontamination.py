@@ -212,7 +212,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """All documents, with the words that are hit, and what lies between them, cut out of the text."""
-    name = new_name(docs, "hits")
+    name, names, schema = new_name(docs, "hits"), docs.columns, docs.schema
     found = with_hits(docs, benchmark, name, **options)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +221,10 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
                 cut_words(text, hits["spans"])
                 for text, hits in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True)
             ]
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return found.mapInArrow(cut, docs.schema)
+    return found.mapInArrow(cut, schema)
 
 
 def cut_words(text: str | None, spans: list[int]) -> str | None:

@@ -1,0 +1,117 @@
+import random
+import zlib
+from itertools import product
+
+import numpy as np
+import pytest
+
+from cashplan.llm import packing, tokens
+from cashplan.llm.queries import tokenizer_path
+
+tokenizers = pytest.importorskip("tokenizers")
+pytest.importorskip("public_tokenizers")
+HARD = [
+    "", "<|endoftext|>", "a<|endoftext|><|endoftext|> b <|endoftext", "don't I'll we've 'tis 's 're 'r '", "x''re 'd'm",
+    "a  b   c\n\n d\n\n", "　 x y", "x \t\n y", "!'s ''s", "é 🙂🙂 12³ ٣", "a" * 3000, " " * 300 + "x", "\n" * 77,
+]
+
+
+@pytest.fixture(scope="module")
+def compiled():
+    return tokens.compiled(tokenizer_path())
+
+
+def by_library(compiled, texts):
+    return [e.ids for e in compiled.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_counts_and_ids_are_the_librarys(compiled):
+    rng = random.Random(1)
+    parts = ["'", "s", "re", "ll", "d", " ", "  ", "\n", "a", "Z", "é", "1", "!", " ", "字", "🙂", "<|endoftext|>", " the", "ing"]
+    texts = HARD + ["".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(3000)]
+    want = by_library(compiled, texts)
+    assert compiled.counts(texts) == list(map(len, want))
+    ids = packing.token_ids(texts, tokenizer_path())
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == want
+
+
+def test_every_character_splits_as_in_the_library(compiled):
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(every[i : i + 3000]) for i in range(0, len(every), 3000)]
+    assert compiled.counts(texts) == list(map(len, by_library(compiled, texts)))
+
+
+def test_chunk_maps_compose(compiled):
+    """The states before chunks, by prefix scan, are those of one run from the start."""
+    symbols = np.random.default_rng(2).integers(0, tokens.SYMBOLS, (37, 16)).astype(np.uint8)
+    state, want = tokens.NONE, []
+    for row in symbols:
+        want.append(state)
+        for symbol in row:
+            state = tokens.AFTER[symbol, state]
+    assert tokens.states_at_chunks(symbols).tolist() == want
+
+
+def test_transitions_add_up_to_the_merges(compiled):
+    for piece in map("".join, product(["the", "re", " in", "ß", "zq"], repeat=3)):
+        assert compiled.count_piece(piece) == len(compiled.merged(piece.encode()))
+
+
+def test_token_counts_of_odd_rows(compiled, odd_docs, no_docs):
+    from conftest import LONG
+
+    rows = {(r.doc_id, r.n_bytes): r for r in tokens.token_counts(odd_docs, tokenizer_path()).collect()}
+    assert len(rows) == 6 + 1 and rows[2, 0].n_tokens == 0  # one row is repeated
+    long = rows[4, len(LONG.encode())]
+    assert long.n_tokens == len(by_library(compiled, [LONG])[0]) and long.over_limit
+    assert tokens.token_counts(no_docs, tokenizer_path()).count() == 0
+
+
+def test_cuts():
+    assert packing.cut(1, 4) == [(0, 1)] and packing.cut(4, 4) == [(0, 4)] and packing.cut(8, 4) == [(0, 4), (4, 8)]
+    assert packing.cut(9, 4) == [(0, 1), (1, 5), (5, 9)]
+
+
+def test_packer_takes_the_best_fit_and_closes_the_fullest():
+    packer = packing.Packer(10, places=2)
+    assert packer.place(6) == (0, 0) and packer.place(7) == (1, 0)
+    assert packer.place(3) == (1, 7)  # fills the fuller one
+    assert packer.place(5) == (2, 0)
+    assert packer.place(8) == (3, 0)  # no place left: sequence 0 with 4 free goes
+    assert packer.place(4) == (2, 5) and packer.place(2) == (3, 8)
+    rng = random.Random(4)
+    lengths = [rng.randint(1, 1024) for _ in range(20_000)]
+    packer = packing.Packer()
+    used = {}
+    for length in lengths:
+        sequence, offset = packer.place(length)
+        assert offset == used.get(sequence, 0) and offset + length <= 1024
+        used[sequence] = offset + length
+    assert len(used) <= 1.02 * sum(lengths) / 1024
+
+
+def packed_rows(compiled, docs, rows):
+    ends = {}
+    by_doc = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+        assert ends[r.sequence_id] <= 1024
+        by_doc.setdefault(r.doc_id, []).append(r)
+    for doc_id, text in docs:
+        ids = np.array([*by_library(compiled, [text or ""])[0], 2], "<u4")
+        mine = sorted(by_doc[doc_id], key=lambda r: r.piece)
+        assert [r.piece for r in mine] == list(range(len(mine)))
+        assert sum(r.length for r in mine) == len(ids) and all(r.length == 1024 for r in mine[1:])
+        for r in mine:
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
+def test_packing_is_whole(compiled, make_docs, odd_docs, no_docs):
+    from conftest import LONG
+
+    docs = [(i, f"text {i} " * i) for i in range(150)] + [(200, LONG), (201, None), (202, "")]
+    packed_rows(compiled, docs, packing.packed(make_docs(docs), tokenizer_path(), pieces_per_packer=100).collect())
+    odd = packing.packed(odd_docs, tokenizer_path()).collect()
+    assert sum(r.doc_id == 1 for r in odd) == 2 and sum(r.length for r in odd if r.doc_id == 2) == 1
+    assert packing.packed(no_docs, tokenizer_path()).count() == 0
