@@ -31,6 +31,7 @@ CATEGORIES = {
 #: The bound of what is learnt from: labelled documents of each label.
 PER_LABEL = 2000
 FEATURES = 1024
+LEAST_CHI_SQUARE = 12.0
 INNER_FOLDS = 3
 PENALTY = 1e-4
 PREFIXES = (4, 5, 6, 7, 8)
@@ -109,8 +110,9 @@ def _telling(documents: list[set[str]], target: np.ndarray, limit: int) -> dict[
         off = max(0.0, abs(a * d - b * c) - len(target) / 2)
         return len(target) * off * off / max(1.0, float(a + b) * (c + d) * (a + c) * (b + d))
 
-    ranked = sorted(((-weight(*n), f) for f, n in seen.items() if sum(n) >= 3))
-    return {f: i for i, (_, f) in enumerate(ranked[:limit])}
+    ranked = sorted((-weight(*n), f) for f, n in seen.items() if sum(n) >= 3)
+    telling = [f for value, f in ranked if -value >= LEAST_CHI_SQUARE]
+    return {f: i for i, f in enumerate(telling[:limit])}
 
 
 def learn(documents: list[set[str]], target: np.ndarray, limit: int = FEATURES) -> Chain:
