@@ -25,7 +25,7 @@ from cashplan.session import written
 CAPACITY = 1024
 END_ID = 2
 OPEN = 1024
-PIECES_PER_PACKER = 1 << 15
+PIECES_PER_PACKER = 1 << 17
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
