@@ -12,7 +12,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -25,39 +24,57 @@ from cashplan.llm.common import Cache, hash01, id_crc32, slices, texts
 FEATURES = 1 << 13
 DIRECTIONS = 48
 NEIGHBOURS = 15
+TOKENS_KEPT = 400_000
 #: The bound of what is learnt from: labelled documents of each label.
 PER_LABEL = 600
 FOLDS, HELD_OUT = 3, 1
-_SHAPES = ((re.compile(r"[^\W\d_]*[a-zß-öø-ÿ][^\W\d_]*"), "a"), (re.compile(r"[^\W\d_]+"), "A"), (re.compile(r"\d+"), "9"))
+_SIGNS = ".,;:!?|*&%$#@+-=_/\\<>[]{}\"'()"
+_RUNS = (
+    (re.compile(r"[^\W\d_]+"), lambda run: "A" if run[0].isupper() else "a"),
+    (re.compile(r"\d+"), lambda _: "9"),
+    (re.compile(r"(.)\1+", re.DOTALL), lambda run: run[1]),
+)
 
 
 def _slot(feature: str) -> int:
     return crc32(feature.encode()) % FEATURES
 
 
-def _of_token(token: str) -> tuple[int, ...]:
-    """Slots of a token: its shape (letters, capitals and digits each as one sign) and its bare word or that word's end."""
-    shape = token if len(token) <= 64 else f"{token[:64]}~"
-    for pattern, sign in _SHAPES:
-        shape = pattern.sub(sign, shape)
-    bare = token.strip(".,;:!?|*&%$#\"'()").lower()
-    return _slot(f"shape {re.sub(r'(.)\1+', r'\1', shape)}"), _slot(f"word {bare}" if len(bare) <= 4 else f"end {bare[-3:]}")
+def _shape(token: str) -> str:
+    """A token with each run of letters, capitals, digits or of one sign as one sign."""
+    for pattern, sign in _RUNS:
+        token = pattern.sub(sign, token)
+    return token
+
+
+def _of_token(token: str) -> int:
+    """Slots of a token's shape, and of its bare word or that word's end, in one number."""
+    bare = token.strip(_SIGNS)
+    if bare.isalpha():  # the usual case, without a pattern
+        start, _, stop = token.partition(bare)
+        shape = f"{start[:2]}{'A' if bare.isupper() else 'a'}{stop[:2]}"
+    else:
+        shape = _shape(token[:64])
+    bare = bare.lower()
+    word = f"word {bare}" if len(bare) <= 4 else f"end {bare[-3:]}"
+    return _slot(f"shape {shape}") * FEATURES + _slot(word)
 
 
 class Reader:
     """Texts to features; what tokens come to is kept."""
 
     def __init__(self):
-        self.slots = Cache(_of_token)
+        self.slots = Cache(_of_token, TOKENS_KEPT)
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Slots and how often each occurs."""
         tokens = (text or "").split()
         if not tokens:
             return np.zeros(0, np.int64), np.zeros(0)
-        found = np.fromiter(chain.from_iterable(map(self.slots.__getitem__, tokens)), np.int64)
+        found = np.fromiter(map(self.slots.__getitem__, tokens), np.int64, len(tokens))
         figures = [_slot(f"{name} {value}") for name, value in _figures(text, tokens)]
-        counts = np.bincount(found, minlength=FEATURES).astype(float)
+        counts = np.bincount(found // FEATURES, minlength=FEATURES) + np.bincount(found % FEATURES, minlength=FEATURES)
+        counts = counts.astype(float)
         counts[figures] += max(1, len(tokens) // 8)
         slots = np.flatnonzero(counts)
         return slots, counts[slots]
