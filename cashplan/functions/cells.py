@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cashplan.schemas import MONEY
+from cashplan.schemas import EXACT_MONEY, MONEY
 
 # Date formats of the source tables.
 DAY_FORMAT = "M/d/yyyy"
@@ -26,7 +26,19 @@ def present(name: str) -> Column:
 
 
 def money(name: str) -> Column:
-    return F.col(f"`{name}`").cast(MONEY)
+    """An amount in whole cents; smaller parts raise, as rounding one amount would put sums out."""
+    exact = exact_money(name)
+    message = F.concat(F.lit(f"{name} is not in whole cents: "), text(name))
+    return F.when(exact == exact.cast(MONEY), exact.cast(MONEY)).when(exact.isNotNull(), F.raise_error(message))
+
+
+def exact_money(name: str) -> Column:
+    """An amount that may have been worked out, to eight digits."""
+    return F.col(f"`{name}`").cast(EXACT_MONEY)
+
+
+def exact_money_or_zero(name: str) -> Column:
+    return F.when(text(name) == "", F.lit(0).cast(EXACT_MONEY)).otherwise(exact_money(name))
 
 
 def integer(name: str) -> Column:

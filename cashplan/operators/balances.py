@@ -153,48 +153,62 @@ def by_sub_category(balances: DataFrame, details: DataFrame) -> DataFrame:
     return _group_totals(changes, "Sub_Category", _date_slots(balances))
 
 
-def _names(values: DataFrame, limit: int) -> list[str]:
-    """Column names for a wide report; more than the session's pivot limit is an error."""
-    names = [row[0] for row in values.take(limit + 1)]
-    if len(names) > limit:
-        raise ValueError(f"a wide report has at most {limit} columns (spark.sql.pivotMaxValues)")
-    return names
+def wide_cells(balances: DataFrame, details: DataFrame, total_of: str = "columns") -> DataFrame:
+    """The cells of the wide report: ``Date``, ``Column``, ``Balance`` and the column's place.
 
-
-def wide_report(balances: DataFrame, details: DataFrame, total_of: str = "columns") -> DataFrame:
-    """One row per date: a column per account (0 before its first snapshot), per category, and ``Total``.
-
-    ``Total`` adds up all columns, so an account with a category counts twice; ``total_of="accounts"`` counts
-    each account once. The names of the columns are looked up first, as a wide schema must be known. Balances
-    are doubles here, as this is a report to publish.
+    There is a column per account (0 before its first snapshot), per category that one of them is in, and
+    ``Total``. Columns are placed by ``Place`` (accounts, categories, total), then ``Seen`` (where the details
+    name the category first, be it of an account without balances), then name. ``Total`` adds up all columns,
+    so an account with a category counts twice; ``total_of="accounts"`` counts each account once.
     """
-    limit = int(balances.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     slots = _date_slots(balances)
     snapshots = _snapshots(balances)
-    accounts = balances.select("Account_Name").where(F.col("Account_Name").isNotNull()).distinct()
-    known = details.where(F.col("Category").isNotNull()).join(accounts, "Account_Name", "left_semi")
-    first_seen = known.groupBy("Category").agg(F.min("Row_Id").alias("_Seen")).orderBy("_Seen", "Category")
-    account_names = sorted(_names(accounts, limit))
-    category_names = [f"{TOTAL}_{name}" for name in _names(first_seen.select("Category"), limit)]
-
-    members = _listings(known, "Category").select(
-        "Account_Name", F.concat(F.lit(f"{TOTAL}_"), "Category").alias("Column"), "Listed"
+    named = details.where(F.col("Category").isNotNull()).withColumn(
+        "Column", F.concat(F.lit(f"{TOTAL}_"), "Category")
     )
+    first_seen = named.groupBy("Column").agg(F.min("Row_Id").alias("Seen"))
     held = _with_hold(snapshots.drop("Change"), "Account_Name", slots)
     account_cells = _unroll(held, slots, F.lit(0)).select(
-        "Date", F.col("Account_Name").alias("Column"), F.coalesce("Balance", F.lit(0)).alias("Balance")
+        "Date",
+        F.col("Account_Name").alias("Column"),
+        F.coalesce("Balance", F.lit(0)).alias("Balance"),
+        F.lit(0).alias("Place"),
+        F.lit(0).cast("long").alias("Seen"),
+    )
+    changes = _changes(snapshots, _listings(named, "Column"), "Column", total_of)
+    total_cells = _group_totals(changes, "Column", slots).join(first_seen, "Column", "left")
+    is_total = F.col("Column") == TOTAL
+    return account_cells.unionByName(
+        total_cells.withColumns(
+            {
+                "Place": F.when(is_total, 2).otherwise(1),
+                "Seen": F.when(is_total, 0).otherwise(F.col("Seen")).cast("long"),
+            }
+        )
     )
-    total_cells = _group_totals(_changes(snapshots, members, "Column", total_of), "Column", slots)
-    exact = account_cells.unionByName(total_cells)
-    cells = exact.withColumn("Balance", F.col("Balance").cast("double"))  # summed up already
-    names = [*account_names, *category_names, TOTAL]
-    return cells.groupBy("Date").pivot("Column", names).agg(F.sum("Balance"))
+
+
+def wide_report(
+    balances: DataFrame, details: DataFrame, total_of: str = "columns", columns: list[str] | None = None
+) -> DataFrame:
+    """One row per date with the columns of :func:`wide_cells`, for a sink that needs them side by side.
+
+    A wide schema must be known ahead: unless ``columns`` names them, a job looks the names up when this is
+    called, and the driver holds one name per column. Balances are doubles here.
+    """
+    cells = wide_cells(balances, details, total_of)
+    if columns is None:
+        places = cells.select("Column", "Place", "Seen").distinct().orderBy("Place", "Seen", "Column")
+        columns = [row.Column for row in places.toLocalIterator()]
+    exact = cells.withColumn("Balance", F.col("Balance").cast("double"))  # summed up already
+    return exact.groupBy("Date").pivot("Column", columns).agg(F.sum("Balance"))
 
 
 def current_balances(balances: DataFrame) -> DataFrame:
-    """Each account's balance on its latest date."""
+    """Each account's balance on its latest date; listed twice on it, the first row counts."""
+    order = F.struct("Date", -F.col("Row_Id"))
     return balances.groupBy("Account_Name").agg(
-        F.max("Date").alias("Date"), F.max_by("Balance", "Date").alias("Balance")
+        F.max("Date").alias("Date"), F.max_by("Balance", order).alias("Balance")
     )
 
 

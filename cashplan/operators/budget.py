@@ -19,6 +19,9 @@ from cashplan.schemas import BIWEEKLY, MONTHLY, ONCELY, YEARLY
 CALENDAR_START = date(2000, 1, 1)
 CALENDAR_END = date(2100, 12, 31)
 
+# The kinds of planned rule, in the order in which equal amounts of a day are listed.
+PLAN_KINDS = [MONTHLY, YEARLY, ONCELY, BIWEEKLY]
+
 CALENDAR_COLUMNS = ["Date", "Year", "Month_of_Year", "Day_of_Month", "Day_of_Week"]
 _VALIDITY = ["Start_Date", "Maturity_Date", "Amount"]
 
@@ -120,9 +123,10 @@ def planned_budget(
         month_step=f"CASE Type WHEN '{MONTHLY}' THEN 1 WHEN '{YEARLY}' THEN 12 END",
         day_of_month=day_of_month,
     )
-    return with_calendar_parts(due).select(*CALENDAR_COLUMNS, "Type", "Account_Name", *_VALIDITY)
+    return with_calendar_parts(due).select(*CALENDAR_COLUMNS, "Type", "Account_Name", *_VALIDITY, "Row_Id")
 
 
 def in_plan_order(plan: DataFrame) -> DataFrame:
-    """By date, larger amounts first."""
-    return plan.orderBy(F.asc_nulls_last("Date"), F.desc_nulls_last("Amount"))
+    """By date, larger amounts first; equal ones by kind, then in the order of the rules."""
+    kind = F.array_position(F.array(*map(F.lit, PLAN_KINDS)), F.col("Type"))
+    return plan.orderBy(F.asc_nulls_last("Date"), F.desc_nulls_last("Amount"), kind, "Row_Id")

@@ -40,9 +40,12 @@ def amount_due() -> Column:
 def retained(ledger: DataFrame, as_of: date) -> DataFrame:
     """Ledger entries that are paid, or dated before ``as_of``. Missing cells count as 0.
 
-    That includes a missing payment date, which so counts as paid; a blank one does not.
+    That includes a missing payment date, which so counts as paid; a blank one does not. An unpaid entry
+    without a date has no place in a forecast and raises.
     """
     zero = F.lit(0).cast(MONEY)
+    undated = F.raise_error(F.concat(F.lit("no date in unpaid ledger row "), F.col("Row_Id").cast("string")))
+    dated = F.when(F.col("Date").isNull(), undated.cast("boolean")).otherwise(F.col("Date") < F.lit(as_of))
     return (
         ledger.withColumns(
             {
@@ -51,7 +54,7 @@ def retained(ledger: DataFrame, as_of: date) -> DataFrame:
                 "Date_Paid": F.coalesce("Date_Paid", F.lit("0")),
             }
         )
-        .where((F.col("Amount_Paid") != 0) | (F.col("Date") < F.lit(as_of)))
+        .where(F.when(F.col("Amount_Paid") != 0, F.lit(True)).otherwise(dated))
         .select(*ENTRY_COLUMNS, "Row_Id")
     )
 

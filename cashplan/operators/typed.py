@@ -24,9 +24,9 @@ def _schedule_columns() -> dict:
     as_text = ["Category", "Sub_Category", "Type", "Account_Name", "Auto_Pay_Account", "Auto_Pay_Amount"]
     zero_money = ["Balance", "Limit", "Available Credit", "Monthly Interest Incurred"]
     typed = {name: cells.text(name) for name in as_text}
-    typed |= {name: cells.money_or_zero(name) for name in zero_money}
+    typed |= {name: cells.exact_money_or_zero(name) for name in zero_money}
     typed |= {name: cells.integer_or_zero(name) for name in ["Payoff Order", "Priority"]}
-    typed |= {name: cells.money(name) for name in ["Amount", "AverageMonthlyCost"]}
+    typed |= {"Amount": cells.money("Amount"), "AverageMonthlyCost": cells.exact_money("AverageMonthlyCost")}
     return typed | {
         "AfterDays": cells.integer("AfterDays"),
         "Interest Rate": cells.percent("Interest Rate"),
@@ -54,7 +54,7 @@ def account_balances(table: DataFrame) -> DataFrame:
         {
             "Date": cells.day("Date"),
             "Account_Name": cells.text("Account_Name"),
-            "Balance": cells.money("Balance"),
+            "Balance": cells.exact_money("Balance"),
         }
     )
 
@@ -65,7 +65,7 @@ def account_details(table: DataFrame) -> DataFrame:
     return table.withColumns(
         {name: cells.text(name) for name in as_text}
         | {
-            "Limit": cells.money_or_zero("Limit"),
+            "Limit": cells.exact_money_or_zero("Limit"),
             "Interest Rate": cells.percent("Interest Rate"),
             "Maturity Date": cells.day_if_valid("Maturity Date"),
         }
@@ -80,7 +80,7 @@ def ledger(transactions_report: DataFrame) -> DataFrame:
             "Date": cells.day("Date"),
             "Amount": cells.money("Amount"),
             "Amount_Paid": cells.money_or_zero("Amount_Paid"),
-            "Running_Balance": cells.money_or_zero("Running_Balance"),
+            "Running_Balance": cells.exact_money_or_zero("Running_Balance"),
         }
     )
 

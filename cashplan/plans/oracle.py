@@ -8,7 +8,8 @@ _KIND = "CASE {key} % 5 WHEN 0 THEN 'oncely' WHEN 1 THEN 'yearly' WHEN 2 THEN 'm
 _SCHEDULE = f"""
 fx_rule AS (
   SELECT *, DATE '1998-01-01' + CAST(p_partkey * 37 % 1460 AS INTEGER) AS Anchor,
-         {_KIND.format(key="p_partkey")} AS Kind, CAST(p_retailprice AS DECIMAL(18,2)) AS Price
+         {_KIND.format(key="p_partkey")} AS Kind, CAST(p_retailprice AS DECIMAL(18,2)) AS Price,
+         CAST(CAST(p_retailprice AS DECIMAL(18,2)) * 1.0125 AS DECIMAL(28,8)) AS Cost
   FROM part),
 fx_schedule AS (
   SELECT p_partkey AS Row_Id, Kind AS Type, Anchor,
@@ -18,7 +19,7 @@ fx_schedule AS (
     'acct_' || (p_partkey % 10) AS Auto_Pay_Account,
     CASE WHEN p_size % 2 = 0 THEN 'full' ELSE 'minimum' END AS Auto_Pay_Amount,
     CASE WHEN p_size % 3 = 0 THEN Price ELSE -Price END AS Amount,
-    p_size % 10 AS After_Days, Price, p_size,
+    p_size % 10 AS After_Days, Price, Cost, p_size,
     Anchor - p_size AS Start_Date,
     CASE WHEN p_partkey % 7 <> 0 THEN Anchor + 365 + 10 * p_size END AS Maturity_Date,
     CAST(1 + p_partkey % 4 AS INTEGER) AS Priority
@@ -46,9 +47,10 @@ fx_balances AS (
 
 _DETAILS = """
 fx_details AS (
-  SELECT c_custkey AS Row_Id, 'acct_' || c_custkey AS Account_Name, lower(c_mktsegment) AS Category,
-         'nation_' || c_nationkey AS Sub_Category
-  FROM customer WHERE c_acctbal >= 0)"""
+  SELECT c_custkey AS Row_Id, CASE WHEN c_custkey % 10 = 0 THEN 'account_' ELSE 'acct_' END || c_custkey AS Account_Name,
+         CASE WHEN c_acctbal >= 0 THEN lower(c_mktsegment) END AS Category,
+         CASE WHEN c_acctbal >= 0 THEN 'nation_' || c_nationkey END AS Sub_Category
+  FROM customer)"""
 
 _FILLED = """
 grid AS (
@@ -111,19 +113,19 @@ cal AS (
   FROM generate_series(DATE '2000-01-01', DATE '2100-12-31', INTERVAL 1 DAY) t(d)),
 fortnights AS (
   SELECT Type, Account_Name, CAST(unnest(generate_series(least(Anchor, DATE '2000-01-01'), DATE '2100-12-31',
-         INTERVAL 14 DAY)) AS DATE) AS Date, Start_Date, Maturity_Date, Amount
+         INTERVAL 14 DAY)) AS DATE) AS Date, Start_Date, Maturity_Date, Amount, Row_Id
   FROM fx_schedule WHERE Type = 'biweekly'),
 plan_all AS (
-  SELECT c.*, s.Type, s.Account_Name, s.Start_Date, s.Maturity_Date, s.Amount
+  SELECT c.*, s.Type, s.Account_Name, s.Start_Date, s.Maturity_Date, s.Amount, s.Row_Id
   FROM cal c JOIN fx_schedule s ON s.Type = 'monthly' AND day(s.Anchor) = c.Day_of_Month
   UNION ALL
-  SELECT c.*, s.Type, s.Account_Name, s.Start_Date, s.Maturity_Date, s.Amount FROM cal c JOIN fx_schedule s
+  SELECT c.*, s.Type, s.Account_Name, s.Start_Date, s.Maturity_Date, s.Amount, s.Row_Id FROM cal c JOIN fx_schedule s
     ON s.Type = 'yearly' AND month(s.Anchor) = c.Month_of_Year AND day(s.Anchor) = c.Day_of_Month
   UNION ALL
-  SELECT c.*, s.Type, s.Account_Name, s.Start_Date, s.Maturity_Date, s.Amount
+  SELECT c.*, s.Type, s.Account_Name, s.Start_Date, s.Maturity_Date, s.Amount, s.Row_Id
   FROM cal c JOIN fx_schedule s ON s.Type = 'oncely' AND s.Anchor = c.Date
   UNION ALL
-  SELECT c.*, f.Type, f.Account_Name, f.Start_Date, f.Maturity_Date, f.Amount
+  SELECT c.*, f.Type, f.Account_Name, f.Start_Date, f.Maturity_Date, f.Amount, f.Row_Id
   FROM cal c JOIN fortnights f ON f.Date = c.Date),
 plan AS (
   SELECT * FROM plan_all WHERE Amount IS NOT NULL AND Start_Date <= Date
@@ -173,10 +175,10 @@ def _sql(ctes: list[str], columns: tuple[str, ...], rest: str) -> str:
 _SCHEDULE_TYPED = """
 typed AS (
   SELECT Row_Id, Category, Sub_Category, Type, "When", Account_Name, Amount, Auto_Pay_Account, Auto_Pay_Amount,
-    After_Days AS "AfterDays", Price AS "AverageMonthlyCost",
-    CASE WHEN p_size % 2 = 0 THEN 0 ELSE CAST(Price AS DOUBLE) END AS "Balance",
+    After_Days AS "AfterDays", Cost AS "AverageMonthlyCost",
+    CASE WHEN p_size % 2 = 0 THEN 0 ELSE CAST(Cost AS DOUBLE) END AS "Balance",
     CAST(CASE WHEN p_size % 5 = 0 THEN 0 ELSE p_size * 100 END AS DOUBLE) AS "Limit",
-    CASE WHEN p_size % 7 = 0 THEN 0 ELSE CAST(Price AS DOUBLE) END AS "Available Credit",
+    CASE WHEN p_size % 7 = 0 THEN 0 ELSE CAST(Cost AS DOUBLE) END AS "Available Credit",
     CASE WHEN p_size % 4 = 0 THEN 0 ELSE CAST(p_size AS DOUBLE) / 100 END AS "Interest Rate",
     CAST(CASE WHEN p_size % 6 = 0 THEN 0 ELSE p_size END AS DOUBLE) AS "Monthly Interest Incurred",
     CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size % 7 END AS "Payoff Order",
@@ -208,7 +210,7 @@ _ENTRY = ("Date", "Category", "Type", "Account_Name", "Auto_Pay_Account", "Amoun
 _OCC = ("Row_Id", "Date", "Kind_Rank", "Type", "Category", "Account_Name", "Auto_Pay_Account", "Amount")
 _VALID = ("Start_Date", "Maturity_Date", "Amount")
 _CAL = ("Date", "Year", "Month_of_Year", "Day_of_Month", "Day_of_Week")
-_PLAN_COLUMNS = (*_CAL, "Type", "Account_Name", *_VALID)
+_PLAN_COLUMNS = (*_CAL, "Type", "Account_Name", *_VALID, "Row_Id")
 
 _TO_OCC = [_SCHEDULE, _OCCURRENCES]
 _TO_ENTRIES = [*_TO_OCC, _LEDGER, _BALANCES, _ENTRIES]
@@ -220,19 +222,27 @@ def _occ(kind: str) -> str:
     return _sql(_TO_OCC, _OCC, f"FROM occ WHERE Type = '{kind}'")
 
 
-def _wide() -> str:
-    """The column names come from the data, hence PIVOT; it needs the whole input within its parentheses."""
-    cells = f"""
+_WIDE_CELLS = f"""
 WITH {",".join([_BALANCES, _DETAILS, _FILLED])},
-accounts AS (SELECT Date, Account_Name AS Col, coalesce(Balance, 0) AS Balance FROM filled),
+seen AS (
+  SELECT 'Total_' || Category AS Col, min(Row_Id) AS Seen FROM fx_details WHERE Category IS NOT NULL GROUP BY ALL),
+accounts AS (
+  SELECT Date, Account_Name AS Col, coalesce(Balance, 0) AS Balance, 0 AS Place, 0 AS Seen FROM filled),
 categories AS (
   SELECT Date, 'Total_' || Category AS Col, sum(coalesce(Balance, 0)) AS Balance
-  FROM filled f JOIN fx_details d ON d.Account_Name = f.Account_Name GROUP BY ALL),
-cells AS (SELECT * FROM accounts UNION ALL SELECT * FROM categories)
-SELECT CAST(Date AS TIMESTAMP) AS Date, Col, CAST(Balance AS DECIMAL(28,2)) AS Balance FROM cells
-UNION ALL
-SELECT CAST(Date AS TIMESTAMP), 'Total', CAST(sum(Balance) AS DECIMAL(28,2)) FROM cells GROUP BY Date"""
-    return f"SELECT * FROM (PIVOT ({cells}) ON Col USING CAST(sum(Balance) AS DOUBLE) GROUP BY Date)"
+  FROM filled f JOIN fx_details d ON d.Account_Name = f.Account_Name WHERE Category IS NOT NULL GROUP BY ALL),
+cells AS (
+  SELECT * FROM accounts UNION ALL SELECT Date, Col, Balance, 1, Seen FROM categories JOIN seen USING (Col)),
+wide AS (
+  SELECT * FROM cells UNION ALL SELECT Date, 'Total', sum(Balance), 2, 0 FROM cells GROUP BY Date)"""
+_WIDE = f"""{_WIDE_CELLS}
+SELECT CAST(Date AS TIMESTAMP) AS Date, Col AS "Column", CAST(Balance AS DOUBLE) AS Balance, Place, CAST(Seen AS BIGINT) AS Seen
+FROM wide"""
+_WIDE_TOTALS = f"""SELECT * FROM (
+  PIVOT ({_WIDE_CELLS}
+    SELECT CAST(Date AS TIMESTAMP) AS Date, Col, CAST(Balance AS DECIMAL(28,2)) AS Balance FROM wide)
+  ON Col IN ('Total_automobile', 'Total_building', 'Total_furniture', 'Total_household', 'Total_machinery', 'Total')
+  USING CAST(sum(Balance) AS DOUBLE) GROUP BY Date)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -271,7 +281,8 @@ FROM part""",
             ("Date", "Account_Name", "Balance", "Category", "Sub_Category"),
             "FROM detailed",
         ),
-        "balances_wide": _wide(),
+        "balances_wide": _WIDE,
+        "balances_wide_totals": _WIDE_TOTALS,
         "balances_by_sub_category": _sql(
             [
                 _BALANCES,
@@ -294,7 +305,7 @@ FROM part""",
             "FROM latest",
         ),
         "emergency_fund": f"""WITH {_SCHEDULE}
-SELECT CAST(coalesce(sum(Price), 0) * 6 AS DOUBLE) AS Emergency_Fund_Amount FROM fx_schedule WHERE Priority = 1""",
+SELECT CAST(coalesce(sum(Cost), 0) * 6 AS DOUBLE) AS Emergency_Fund_Amount FROM fx_schedule WHERE Priority = 1""",
         "occ_oncely": _occ("oncely"),
         "occ_yearly": _occ("yearly"),
         "occ_monthly": _occ("monthly"),
@@ -341,7 +352,7 @@ SELECT CAST(coalesce(sum(Price), 0) * 6 AS DOUBLE) AS Emergency_Fund_Amount FROM
                 *_TO_FORECAST,
                 """ report AS (
   SELECT e.Date, Running_Balance, coalesce(Label_Item, '') AS Label_Item, Label_Amount,
-    -(SELECT coalesce(sum(Price), 0) * 6 FROM fx_schedule WHERE Priority = 1) AS Emergency_Fund_Amount,
+    -(SELECT coalesce(sum(Cost), 0) * 6 FROM fx_schedule WHERE Priority = 1) AS Emergency_Fund_Amount,
     CAST(1000 AS INTEGER) AS Alert_Threshold, CAST(0 AS INTEGER) AS Zero
   FROM ending e LEFT JOIN labels l ON l.Date = e.Date
   WHERE DATE '1999-01-01' - e.Date <= 10)""",

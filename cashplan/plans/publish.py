@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cashplan import schemas
 from cashplan.operators import balances, bank, budget, forecast, occurrences, typed
 from cashplan.sources.bank_exports import read_exports
+from cashplan.session import job
 from cashplan.sources.tables import TableStore
 
 
@@ -31,12 +32,20 @@ def publish_forecast(
     """Write the transactions, daily balance and account balance reports and the two summary lists.
 
     The ledger is source and sink. That is safe because its entries are laid out in the checkpoint folder
-    before any report is written; all reports but the account balances are derived from that one copy.
+    before any report is written; all reports but the account balances are derived from that one copy. What is
+    laid out is removed at the end.
     """
-    rules = typed.schedule(store.read(schemas.INCOME_EXPENSE, force_update=True))
-    snapshots = typed.account_balances(store.read(schemas.ACCOUNT_DATE_BALANCES, force_update=True))
-    details = typed.account_details(store.read(schemas.ACCOUNT_DETAILS, force_update=True))
-    ledger = typed.ledger(store.read(schemas.TRANSACTIONS_REPORT, force_update=True))
+    with job(store.spark):
+        _publish_forecast(store, as_of, opening_account, days_back, days_forward, threshold)
+
+
+def _publish_forecast(
+    store: TableStore, as_of: date, opening_account: str, days_back: int, days_forward: int, threshold: int
+) -> None:
+    rules = typed.schedule(store.read(schemas.INCOME_EXPENSE, force_update=True, numbered=True))
+    snapshots = typed.account_balances(store.read(schemas.ACCOUNT_DATE_BALANCES, force_update=True, numbered=True))
+    details = typed.account_details(store.read(schemas.ACCOUNT_DETAILS, force_update=True, numbered=True))
+    ledger = typed.ledger(store.read(schemas.TRANSACTIONS_REPORT, force_update=True, numbered=True))
 
     opening = balances.current_balance(snapshots, opening_account)
     entries = forecast.in_order(forecast.entries_to_date(ledger, rules, as_of, days_back, days_forward))
@@ -55,7 +64,12 @@ def publish_forecast(
 
 def publish_rules(store: TableStore, force_update: bool = False) -> None:
     """Write the planner's four views of the rules."""
-    rules = typed.planner_schedule(store.read(schemas.INCOME_EXPENSE, force_update))
+    with job(store.spark):
+        _publish_rules(store, force_update)
+
+
+def _publish_rules(store: TableStore, force_update: bool) -> None:
+    rules = typed.planner_schedule(store.read(schemas.INCOME_EXPENSE, force_update, numbered=True))
     store.write(typed.at_edge(budget.monthly_rules(rules)), schemas.MONTHLY_BUDGETS)
     store.write(typed.at_edge(budget.yearly_rules(rules)), schemas.YEARLY_BUDGETS)
     store.write(typed.at_edge(budget.one_time_rules(rules)), schemas.ONE_TIME_BUDGETS)

@@ -13,6 +13,7 @@ from cashplan.functions import cells
 from cashplan.operators import balances, bank, budget, forecast, occurrences, typed
 from cashplan.plans import views
 from cashplan.schemas import BIWEEKLY, EVERY_X_DAYS, KINDS, MONTHLY, ONCELY, YEARLY
+from cashplan.session import written
 
 AS_OF = date(1999, 1, 1)
 OPENING_ACCOUNT = "acct_3"
@@ -73,31 +74,39 @@ def _forecast(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _daily(spark: SparkSession, sf: str) -> DataFrame:
-    return forecast.ending_daily_balance(_entries(spark, sf), _opening(spark, sf))
+def _daily(spark: SparkSession, sf: str, entries: DataFrame | None = None) -> DataFrame:
+    return forecast.ending_daily_balance(entries or _entries(spark, sf), _opening(spark, sf))
 
 
-def _alerts(spark: SparkSession, sf: str) -> DataFrame:
-    return forecast.alert_dates(_daily(spark, sf), AS_OF, ALERT_THRESHOLD)
+def _alerts(spark: SparkSession, sf: str, entries: DataFrame | None = None) -> DataFrame:
+    return forecast.alert_dates(_daily(spark, sf, entries), AS_OF, ALERT_THRESHOLD)
+
+
+def _shared_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """The entries, worked out once for the several parts of a report; only the columns that reports read."""
+    columns = ["Date", "Type", "Account_Name", "Amount", "Date_Paid", *forecast.ORDER_KEYS]
+    return written(_entries(spark, sf).select(*columns))
 
 
 def daily_balance_report(spark: SparkSession, sf: str) -> DataFrame:
+    entries = _shared_entries(spark, sf)
     return forecast.daily_balance_report(
-        _daily(spark, sf),
-        forecast.label_dates(_entries(spark, sf)),
+        _daily(spark, sf, entries),
+        forecast.label_dates(entries),
         occurrences.emergency_fund(views.schedule(spark, sf)),
         AS_OF,
     )
 
 
 def _summary(spark: SparkSession, sf: str) -> DataFrame:
-    alerts = forecast.first_alerts(_alerts(spark, sf)).select(
+    entries = _shared_entries(spark, sf)
+    alerts = forecast.first_alerts(_alerts(spark, sf, entries)).select(
         F.lit("alert").alias("Section"),
         "Date",
         F.lit("").alias("Item"),
         F.col("Running_Balance").alias("Amount"),
     )
-    labels = forecast.first_labels(_entries(spark, sf)).select(
+    labels = forecast.first_labels(entries).select(
         F.lit("label").alias("Section"),
         "Date",
         F.col("Label_Item").alias("Item"),
@@ -126,6 +135,15 @@ def _detailed(view: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: view(views.balances(spark, sf), views.details(spark, sf))
 
 
+SEGMENTS = ["automobile", "building", "furniture", "household", "machinery"]
+
+
+def _wide_totals(snapshots: DataFrame, details: DataFrame) -> DataFrame:
+    """The wide report's columns of known names: the test tables have five categories."""
+    names = [f"{balances.TOTAL}_{segment}" for segment in SEGMENTS]
+    return balances.wide_report(snapshots, details, columns=[*names, balances.TOTAL])
+
+
 _QUERIES: dict[str, Query] = {
     "typed_schedule": lambda s, sf: typed.schedule(views.income_expense(s, sf)),
     "typed_planner_schedule": lambda s, sf: typed.planner_schedule(views.income_expense(s, sf)),
@@ -135,7 +153,8 @@ _QUERIES: dict[str, Query] = {
     "parse_percent": _percent,
     "ffill": lambda s, sf: balances.forward_filled(views.balances(s, sf)),
     "balances_filled": _detailed(balances.filled_with_details),
-    "balances_wide": _detailed(balances.wide_report),
+    "balances_wide": _detailed(balances.wide_cells),
+    "balances_wide_totals": _detailed(_wide_totals),
     "balances_by_sub_category": _detailed(balances.by_sub_category),
     "current_balance": lambda s, sf: balances.current_balances(views.balances(s, sf)),
     "emergency_fund": lambda s, sf: occurrences.emergency_fund(views.schedule(s, sf)),

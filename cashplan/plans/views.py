@@ -48,7 +48,7 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('acct_', p_partkey % 10) AS Auto_Pay_Account",
         "if(p_size % 2 = 0, 'full', 'minimum') AS Auto_Pay_Amount",
         "p_size % 10 AS AfterDays",
-        "_Price AS AverageMonthlyCost",
+        "CAST(_Price * 1.0125 AS DECIMAL(28,8)) AS AverageMonthlyCost",
         "CAST(1 + p_partkey % 4 AS INT) AS Priority",
         "date_sub(_Anchor, p_size) AS Start_Date",
         "if(p_partkey % 7 <> 0, date_add(_Anchor, 365 + 10 * p_size), NULL) AS Maturity",
@@ -105,13 +105,12 @@ def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers in credit are listed; the accounts of the others stay without a category."""
-    customer = _table(spark, sf_dir, "customer")
-    return customer.where("c_acctbal >= 0").selectExpr(
+    """All customers; those in debit have no category, and every tenth is listed by a name without balances."""
+    return _table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS Row_Id",
-        "concat('acct_', c_custkey) AS Account_Name",
-        "lower(c_mktsegment) AS Category",
-        "concat('nation_', c_nationkey) AS Sub_Category",
+        "concat(if(c_custkey % 10 = 0, 'account_', 'acct_'), c_custkey) AS Account_Name",
+        "if(c_acctbal >= 0, lower(c_mktsegment), NULL) AS Category",
+        "if(c_acctbal >= 0, concat('nation_', c_nationkey), NULL) AS Sub_Category",
     )
 
 

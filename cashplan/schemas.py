@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
+#: For cells that are worked out, as averages and interest are.
+EXACT_MONEY = T.DecimalType(28, 8)
 
 # Table names.
 INCOME_EXPENSE = "Income_Expense"

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +33,35 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cashplan-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _jobs:
+        _jobs[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_jobs: list[list[str]] = []
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables of :func:`written` when the job's work is done, or has failed.
+
+    Outside of a job they stay, as a frame that was handed out may still read them; the folder's retention removes
+    those.
+    """
+    _jobs.append([])
+    try:
+        yield
+    finally:
+        for path in _jobs.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 _zips: dict[str, tempfile.TemporaryDirectory] = {}
 
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cashplan.session import remove, written
+
+ROW_ID = "Row_Id"
+_CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+
 
 class TableStore:
     """Reads and overwrites tables by name.
@@ -12,6 +19,12 @@ class TableStore:
     With ``root``, a table is the folder ``root/name`` in ``file_format`` (``parquet``, or ``csv`` with a
     header); without, it is a table of the session's catalog. A frame once read is reused until the table is
     written or read with ``force_update``; ``persist`` keeps its rows as well, for tables small enough.
+
+    A table in a folder is replaced by writing a new folder and then renaming a small pointer file,
+    ``root/name.current``, onto the one before. A write that fails midway leaves the table as it was.
+
+    CSV cells may hold commas, doubled quotes and line breaks. That makes each file one task: tables of many
+    large files should be Parquet.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None, file_format: str = "parquet"):
@@ -20,22 +33,32 @@ class TableStore:
         self.file_format = file_format
         self._kept: dict[str, DataFrame] = {}
 
-    def read(self, name: str, force_update: bool = False, persist: bool = False) -> DataFrame:
+    def read(
+        self, name: str, force_update: bool = False, persist: bool = False, numbered: bool = False
+    ) -> DataFrame:
+        """The table; ``numbered`` adds ``Row_Id`` where it has none (see :func:`with_row_ids`)."""
         if force_update:
             self.forget(name)
         if name not in self._kept:
             self._kept[name] = self._load(name)
         if persist:
             self._kept[name].persist()
-        return self._kept[name]
+        kept = self._kept[name]
+        return kept if not numbered or ROW_ID in kept.columns else with_row_ids(kept)
 
     def write(self, df: DataFrame, name: str) -> None:
-        """Replace the table. A frame that still reads from it must be written elsewhere first."""
-        writer = df.write.mode("overwrite")
+        """Replace the table."""
         if self.root is None:
-            writer.saveAsTable(name)
+            df.write.mode("overwrite").saveAsTable(name)
         else:
-            writer.format(self.file_format).option("header", True).save(self._path(name))
+            before, fresh = self._folder(name), f"{name}-{uuid.uuid4().hex}"
+            writer = df.write.format(self.file_format)
+            if self.file_format == "csv":
+                writer = writer.options(**{k: v for k, v in _CSV.items() if k != "multiLine"})
+            writer.save(self._path(fresh))
+            self._point(name, fresh)
+            if before != fresh:
+                remove(self.spark, self._path(before))
         self.forget(name)
 
     def forget(self, name: str) -> None:
@@ -46,18 +69,66 @@ class TableStore:
             if self.spark.catalog.tableExists(name):
                 self.spark.catalog.refreshTable(name)
         else:
-            self.spark.catalog.refreshByPath(self._path(name))
+            self.spark.catalog.refreshByPath(self._path(self._folder(name)))
 
     def _path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
+    def _hadoop_path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
+
+    def _folder(self, name: str) -> str:
+        """The folder that holds the table now."""
+        pointer = self._hadoop_path(f"{name}.current")
+        files = pointer.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(pointer):
+            return name
+        return self.spark.read.text(pointer.toString()).first().value
+
+    def _point(self, name: str, folder: str) -> None:
+        """Let the pointer name another folder, in one rename."""
+        hadoop = self.spark._jvm.org.apache.hadoop
+        conf = self.spark._jsc.hadoopConfiguration()
+        pointer, fresh = self._hadoop_path(f"{name}.current"), self._hadoop_path(f"{folder}.pointer")
+        out = fresh.getFileSystem(conf).create(fresh, True)
+        out.write(folder.encode())
+        out.close()
+        overwrite = self.spark._sc._gateway.new_array(hadoop.fs.Options.Rename, 1)
+        overwrite[0] = hadoop.fs.Options.Rename.OVERWRITE
+        hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf).rename(fresh, pointer, overwrite)
+
     def _load(self, name: str) -> DataFrame:
         if self.root is None:
             df = self.spark.read.table(name)
         else:
-            df = self.spark.read.format(self.file_format).option("header", True).load(self._path(name))
+            options = _CSV if self.file_format == "csv" else {}
+            df = self.spark.read.format(self.file_format).options(**options).load(self._path(self._folder(name)))
             if self.file_format == "csv":
                 df = df.na.fill("")  # as on a sheet, a cell without text is blank, not missing
-        if "Row_Id" in df.columns:
-            df = df.withColumn("Row_Id", F.col("Row_Id").cast("long"))
+        if ROW_ID in df.columns:
+            df = df.withColumn(ROW_ID, F.col(ROW_ID).cast("long"))
         return df
+
+
+def with_row_ids(df: DataFrame) -> DataFrame:
+    """Rows of files with their place, 1, 2, 3, ..., as ``Row_Id``: by path, then place in the file.
+
+    Rows are numbered within each split of a file, and what the splits before hold is added, one row per split.
+    No task sees more than a split, and the numbers do not depend on how the splits are dealt to tasks. The rows
+    are written to the shared folder in between, so that both steps see the same ones.
+    """
+    placed = written(
+        df.select(
+            "*",
+            F.col("_metadata.file_path").alias("_path"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_nth"),
+        )
+    )
+    split = ["_path", "_start"]
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*split).agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = counts.select(*split, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*split).orderBy("_nth"))
+    numbered = placed.withColumn("_within", within).join(offsets, split)
+    return numbered.select((F.col("_before") + F.col("_within")).alias(ROW_ID), *df.columns)

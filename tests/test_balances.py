@@ -75,15 +75,34 @@ def test_wide_report_counts_categories_into_the_total(spark):
     assert rows(bal.wide_report(df, kinds, total_of="accounts"), "Total")[-1] == (17.0,)
 
 
-def test_wide_report_refuses_more_columns_than_the_pivot_limit(spark):
-    spark.conf.set("spark.sql.pivotMaxValues", "2")
+def test_wide_report_has_no_limit_of_columns(spark):
+    many = [("2024-01-01", f"a{i:02}", str(i)) for i in range(30)]
+    spark.conf.set("spark.sql.pivotMaxValues", "10")
     try:
-        with pytest.raises(ValueError, match="at most 2 columns"):
-            bal.wide_report(balances(spark, *SNAPSHOTS), details(spark, ("a", "cash", "s")))
+        df, kinds = balances(spark, *many), details(spark, ("a03", "cash", "s"))
+        assert bal.wide_cells(df, kinds).count() == 32
+        assert bal.wide_report(df, kinds).columns == ["Date", *[a for _, a, _ in many], "Total_cash", "Total"]
     finally:
         spark.conf.unset("spark.sql.pivotMaxValues")
 
 
+def test_categories_come_in_the_order_of_all_details(spark):
+    df = balances(spark, ("2024-01-01", "a", "1"), ("2024-01-01", "b", "2"))
+    kinds = details(spark, ("x", "B", "s"), ("a", "A", "s"), ("b", "B", "s"), ("y", "empty", "s"))
+    assert bal.wide_report(df, kinds).columns == ["Date", "a", "b", "Total_B", "Total_A", "Total"]
+
+
+def test_building_the_wide_cells_runs_no_job(spark):
+    df, kinds = balances(spark, *SNAPSHOTS), details(spark, ("a", "cash", "s"))
+    spark.sparkContext.setJobGroup("building", "building")
+    try:
+        bal.wide_cells(df, kinds)
+        bal.wide_report(df, kinds, columns=["a", "Total_cash"])
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_current_balance(spark):
     df = balances(spark, *SNAPSHOTS)
     assert rows(bal.current_balances(df), "Account_Name", "Date", "Balance") == [
@@ -95,6 +114,8 @@ def test_current_balance(spark):
     assert rows(one) == [(m(5),)]
     twice = balances(spark, ("2024-01-02", "a", "1"), ("2024-01-03", "a", "2"), ("2024-01-03", "a", "3"))
     assert rows(spark.range(1).select(bal.current_balance(twice, "a").alias("Balance"))) == [(m(2),)]
+    for parts in (1, 3):
+        assert rows(bal.current_balances(twice.repartition(parts)), "Balance") == [(m(2),)]
     with pytest.raises(Exception, match="no balance for account nobody"):
         spark.range(1).select(bal.current_balance(df, "nobody").alias("Balance")).collect()
 

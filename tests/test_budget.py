@@ -112,11 +112,24 @@ def test_plan_order_and_columns(spark):
         {"Type": "oncely", "When": "1/1/2024", "Account_Name": "first", "Amount": "0"},
     )
     df = pl.in_plan_order(pl.planned_budget(rules))
-    assert df.columns == [*pl.CALENDAR_COLUMNS, "Type", "Account_Name", "Start_Date", "Maturity_Date", "Amount"]
+    assert df.columns == [*pl.CALENDAR_COLUMNS, "Type", "Account_Name", "Start_Date", "Maturity_Date", "Amount", "Row_Id"]
     assert [r.Account_Name for r in df.collect()] == ["first", "large", "small"]
     assert rows(df, "Year", "Month_of_Year", "Day_of_Month", "Day_of_Week")[0] == (2024, 1, 1, 0)
 
 
+def test_equal_amounts_of_a_day_are_listed_by_kind_then_rule(spark):
+    rules = plan_schedule(
+        spark,
+        *[
+            {"Type": kind, "When": when, "Account_Name": f"{kind}{i}", "Amount": "5", "Maturity Date": "1/2/2000"}
+            for i in range(3)
+            for kind, when in [("biweekly", "1/1/2000"), ("oncely", "1/1/2000"), ("yearly", "1-Jan"), ("monthly", "1")]
+        ],
+    )
+    listed = [r.Account_Name for r in pl.in_plan_order(pl.planned_budget(rules.repartition(5))).collect()]
+    assert listed == [f"{kind}{i}" for kind in ["monthly", "yearly", "oncely", "biweekly"] for i in range(3)]
+
+
 def naive(rule, day):
     """Whether a rule is planned on a day, asked day by day."""
     kind, when, start, maturity = rule

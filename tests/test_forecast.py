@@ -36,6 +36,13 @@ def test_missing_ledger_cells_count_as_zero(spark):
     assert rows(fc.retained(df, AS_OF), "Amount", "Amount_Paid", "Date_Paid") == [(m(0), m(0), "0")]
 
 
+def test_an_unpaid_entry_without_a_date_raises(spark):
+    undated = entry("", "a", "-1")
+    with pytest.raises(Exception, match="no date in unpaid ledger row 2"):
+        fc.retained(ledger(spark, entry("2024-01-01", "b", "-1"), undated), AS_OF).collect()
+    assert fc.retained(ledger(spark, undated | {"Amount_Paid": "1"}), AS_OF).count() == 1
+
+
 def test_first_entry_of_a_date_and_account_stays(spark):
     known = fc.retained(
         ledger(

@@ -1,8 +1,9 @@
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 
-from cashplan import schemas
+from cashplan import schemas, session
 from cashplan.operators import typed
 from cashplan.plans import publish
 from cashplan.sources.tables import TableStore
@@ -140,6 +141,62 @@ def test_blank_cells_of_a_foreign_csv_file(spark, tmp_path):
     assert rows(df, "Row_Id", "Limit", "Interest Rate", "Maturity Date", "Link") == [(1, m(0), 0.0, None, "")]
 
 
+def plain_csv(root, name, header, *lines):
+    (root / name).mkdir(parents=True)
+    for i, part in enumerate([lines[:2], lines[2:]]):
+        if part:
+            (root / name / f"tab{i}.csv").write_text("\n".join([header, *part]) + "\n")
+
+
+def test_jobs_on_plain_csv_tabs_without_row_numbers(spark, tmp_path):
+    rule = "Home,Rent,{},{},{},{},Bank,full,0,10,,,,,,,1/1/2000,12/31/2099,1"
+    plain_csv(
+        tmp_path,
+        schemas.INCOME_EXPENSE,
+        ",".join(schemas.INCOME_EXPENSE_TEXT.names[1:]),
+        rule.format("oncely", "1/20/2024", '"Say ""hi"", Bob"', "-15"),
+        rule.format("oncely", "1/20/2024", '"two\nlines"', "-16"),
+        rule.format("oncely", "1/21/2024", "Same", "-17"),
+        rule.format("oncely", "1/21/2024", "Same", "-18"),
+        rule.format("monthly", "31", "Rent", "-200"),
+    )
+    plain_csv(tmp_path, schemas.ACCOUNT_DATE_BALANCES, "Date,Account_Name,Balance", "1/9/2024,Bank,100", "1/9/2024,Card,5")
+    plain_csv(tmp_path, schemas.ACCOUNT_DETAILS, ",".join(schemas.ACCOUNT_DETAILS_TEXT.names[1:]), "Bank,Cash,s,,,,")
+    plain_csv(tmp_path, schemas.TRANSACTIONS_REPORT, ",".join(schemas.TRANSACTIONS_REPORT_TEXT.names[1:]), "1/8/2024,H,monthly,Old,Bank,-5,5,1/8/2024,")
+    store = TableStore(spark, str(tmp_path), "csv")
+    publish.publish_forecast(store, AS_OF, "Bank", 2, 12)
+    found = store.read(schemas.TRANSACTIONS_REPORT).selectExpr("Row_Id", "Account_Name", "CAST(Amount AS DOUBLE) AS Amount")
+    want = [(1, "Old", -5.0), (2, "two\nlines", -16.0), (3, 'Say "hi", Bob', -15.0), (4, "Same", -17.0)]
+    assert rows(found) == want
+    publish.publish_rules(store)
+    assert rows(store.read(schemas.MONTHLY_BUDGETS), "Account_Name") == [("Rent",)]
+
+
+def test_row_numbers_follow_files_and_places(spark, tmp_path):
+    for i in range(3):
+        plain = tmp_path / "t" / f"part{i}.csv"
+        plain.parent.mkdir(exist_ok=True)
+        plain.write_text("a\n" + "".join(f"{i}-{j:02}\n" for j in range(20)))
+    df = TableStore(spark, str(tmp_path), "csv").read("t", numbered=True)
+    assert rows(df) == [(20 * i + j + 1, f"{i}-{j:02}") for i in range(3) for j in range(20)]
+
+
+def test_a_failed_write_leaves_the_table(spark, store):
+    store.write(spark.range(3), "Numbers")
+    with pytest.raises(Exception, match="midway"):
+        store.write(spark.range(100).selectExpr("if(id = 70, CAST(raise_error('midway') AS BIGINT), id) AS id"), "Numbers")
+    assert store.read("Numbers", force_update=True).count() == 3
+    store.write(store.read("Numbers").selectExpr("CAST(id AS BIGINT) + 1 AS id"), "Numbers")  # reads what it replaces
+    assert rows(store.read("Numbers").selectExpr("CAST(id AS BIGINT)")) == [(1,), (2,), (3,)]
+
+
+def test_jobs_remove_what_they_lay_out(spark, store):
+    folder = Path(session.checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.rglob("cashplan-*"))
+    publish.publish_forecast(store, AS_OF, "Bank", 2, 12)
+    assert set(folder.rglob("cashplan-*")) == before
+
+
 def test_catalog_tables(spark, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS cash LOCATION '{tmp_path}/cash'")
     store = TableStore(spark)

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from cashplan import session
 from cashplan.plans import oracle, registry
 
 SF_DIR = Path("/root/testdata/sf0.001")
@@ -44,7 +45,8 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, duck, name):
-    got, want = QUERIES[name](spark, str(SF_DIR)).toPandas(), duck.execute(ORACLE[name]).df()
+    duck.sql(ORACLE[name]).create_view("stored", replace=True)
+    got, want = QUERIES[name](spark, str(SF_DIR)).toPandas(), duck.execute("SELECT * FROM stored").df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want) and canonical(got) == canonical(want)
 
@@ -75,6 +77,18 @@ def test_first_entries_are_picked_before_the_shuffle_too(spark):
     assert plan_of(QUERIES["dedup_keep_first"](spark, str(SF_DIR))).count("WindowGroupLimit (") >= 2
 
 
+@pytest.mark.parametrize("name", ["daily_balance_report", "summary_top30"])
+def test_reports_expand_rules_and_read_the_ledger_once(spark, monkeypatch, name):
+    """All of that is in the plan of the one table that the report's parts read."""
+    plans = []
+    monkeypatch.setattr(registry, "written", lambda df: plans.append(plan_of(df)) or session.written(df))
+    report = plan_of(QUERIES[name](spark, str(SF_DIR)))
+    assert len(plans) == 1 and plans[0].count("orders.parquet") == 1
+    expansions = plan_of(QUERIES["dedup_keep_first"](spark, str(SF_DIR))).count("Generate (")
+    assert plans[0].count("Generate (") == expansions and "Generate" not in report
+    assert "orders.parquet" not in report and "WindowGroupLimit" not in report
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "Running_Balance" in df.columns

@@ -1,7 +1,9 @@
+from decimal import Decimal
+
 import pytest
 
 from cashplan import schemas
-from cashplan.operators import typed
+from cashplan.operators import occurrences, typed
 from helpers import D, income_expense, m, plan_schedule, rows, schedule, text_frame
 
 
@@ -51,6 +53,14 @@ def test_bad_cells_raise(spark, name, cell):
         schedule(spark, {name: cell}).select(f"`{name}`").collect()
 
 
+def test_money_that_was_worked_out_keeps_its_digits(spark):
+    df = schedule(spark, {"AverageMonthlyCost": "41.6667", "Monthly Interest Incurred": "0.1234", "Priority": "1"})
+    assert [str(v) for v in rows(df, "AverageMonthlyCost", "Monthly Interest Incurred")[0]] == ["41.66670000", "0.12340000"]
+    assert rows(occurrences.emergency_fund(df))[0][0] == Decimal("250.0002")
+    with pytest.raises(Exception, match="Amount is not in whole cents: 1.005"):
+        schedule(spark, {"Amount": "1.005"}).collect()
+
+
 def test_numbers_may_have_spaces_around_them(spark):
     df = schedule(spark, {"Amount": " -7.5 ", "Limit": " 3", "Priority": "2 ", "Interest Rate": "5 %"})
     assert one(df, "Amount") == m(-7.5) and one(df, "Limit") == m(3)
