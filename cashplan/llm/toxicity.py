@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from cashplan.llm.common import Cache, id_crc32, slices, texts
 from cashplan.llm.quality import FOLDS, HELD_OUT, learnable
+from cashplan.session import written
 
 #: The chain's categories in order, with the words of the weak labels; the last one is the label.
 CATEGORIES = {
@@ -96,36 +97,35 @@ class Chain:
         return rows[:, -len(self.weights) :]
 
 
-def _telling(documents: list[set[str]], target: np.ndarray, limit: int) -> dict[str, int]:
-    """The features that tell label 1 from 0 best, by chi-square with a correction for small counts."""
-    seen: dict[str, list[int]] = {}
-    for document, label in zip(documents, target.astype(int).tolist(), strict=True):
-        for feature in {f for word in document for f in features_of(word)}:
-            seen.setdefault(feature, [0, 0])[label] += 1
-    ones = int(target.sum())
-    zeros = len(target) - ones
-
-    def weight(with_zero: int, with_one: int) -> float:
-        a, b, c, d = with_one, with_zero, ones - with_one, zeros - with_zero
-        off = max(0.0, abs(a * d - b * c) - len(target) / 2)
-        return len(target) * off * off / max(1.0, float(a + b) * (c + d) * (a + c) * (b + d))
-
-    ranked = sorted((-weight(*n), f) for f, n in seen.items() if sum(n) >= 3)
-    telling = [f for value, f in ranked if -value >= LEAST_CHI_SQUARE]
-    return {f: i for i, f in enumerate(telling[:limit])}
+def telling_features(sample: DataFrame, limit: int = FEATURES) -> list[str]:
+    """Of ``label`` and ``features``, the features that tell label 1 from 0 best, by chi-square with a correction for
+    small counts, at most ``limit``."""
+    sizes = sample.agg(F.expr("count_if(label = 1)").alias("ones"), F.expr("count_if(label = 0)").alias("zeros")).first()
+    n = float(sizes.ones + sizes.zeros)
+    a, b = F.col("ones").cast("double"), F.col("zeros").cast("double")
+    c, d = sizes.ones - a, sizes.zeros - b
+    off = F.greatest(F.lit(0.0), F.abs(a * d - b * c) - n / 2)
+    spread = F.greatest(F.lit(1.0), (a + b) * (c + d) * (a + c) * (b + d))
+    counted = (
+        sample.select("label", F.explode("features").alias("feature"))
+        .groupBy("feature")
+        .agg(F.expr("count_if(label = 1)").alias("ones"), F.expr("count_if(label = 0)").alias("zeros"))
+        .where("ones + zeros >= 3")
+        .withColumn("chi_square", n * off * off / spread)
+        .where(F.col("chi_square") >= LEAST_CHI_SQUARE)
+    )
+    return [row.feature for row in counted.orderBy(F.desc("chi_square"), "feature").limit(limit).collect()]
 
 
-def learn(documents: list[set[str]], target: np.ndarray, limit: int = FEATURES) -> Chain:
-    """The chain of labelled documents (sets of words)."""
+def learn(rows: np.ndarray, target: np.ndarray, weak: np.ndarray, features: list[str]) -> Chain:
+    """The chain of labelled documents: presence of the features, labels, and which weak labels each one's words earn."""
     chain = Chain()
     if not len(target) or target.min() == target.max():
         return chain
-    chain.column = _telling(documents, target, limit)
-    rows = chain.rows(documents, chain.columns())
+    chain.column = {feature: i for i, feature in enumerate(features)}
     fold = np.arange(len(target)) % INNER_FOLDS
-    for words_of in CATEGORIES.values():
-        weak = np.array([bool(d & words_of) for d in documents]) if words_of else True
-        category = (target * weak).astype(float)
+    for has_word in weak.T:
+        category = target * has_word
         chain.weights.append(logistic(rows, category))
         apart = np.empty(len(target))
         for i in range(INNER_FOLDS):
@@ -135,21 +135,44 @@ def learn(documents: list[set[str]], target: np.ndarray, limit: int = FEATURES)
     return chain
 
 
-def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 64):
+        found = [words(text) for text in batch.column("text").to_pylist()]
+        weak = [[not of or bool(document & of) for of in CATEGORIES.values()] for document in found]
+        features = [sorted({f for word in document for f in features_of(word)}) for document in found]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([sorted(words(t)) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))],
-            ["doc_id", "words"],
+            [
+                batch.column("doc_id"),
+                batch.column("label"),
+                pa.array(weak, pa.list_(pa.bool_())),
+                pa.array(features, pa.list_(pa.string())),
+            ],
+            ["doc_id", "label", "weak", "features"],
         )
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = PER_LABEL) -> Chain:
-    """Learns from the documents that have one of about ``per_label`` labels of each kind; a third of the ids is held out."""
+    """Learns from the documents that have one of about ``per_label`` labels of each kind; a third of the ids is held out.
+
+    Features are counted and chosen by Spark; the driver gets the chosen ones, and which of them each document has.
+    """
     picked = learnable(labels, label, per_label)
-    of = {row.doc_id: row.label for row in picked.collect()}
-    sample = texts(docs).join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = sorted(sample.mapInArrow(_words_of, "doc_id long, words array<string>").collect(), key=lambda r: r.doc_id)
-    return learn([set(row.words) for row in rows], np.array([of[row.doc_id] for row in rows], float))
+    of_sample = texts(docs).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    sample = written(
+        of_sample.select("doc_id", "label", "text").mapInArrow(
+            _features, "doc_id long, label int, weak array<boolean>, features array<string>"
+        )
+    )
+    features = telling_features(sample)
+    chosen = F.array_intersect("features", F.lit(features) if features else F.array().cast("array<string>"))
+    found = sample.select("label", "weak", chosen.alias("features")).orderBy("doc_id").collect()
+    column = {feature: i for i, feature in enumerate(features)}
+    rows = np.zeros((len(found), len(features)))
+    for row, document in zip(rows, found, strict=True):
+        row[[column[feature] for feature in document.features]] = 1
+    target = np.array([document.label for document in found], float)
+    weak = np.array([document.weak for document in found], bool).reshape(len(found), len(CATEGORIES))
+    return learn(rows, target, weak, features)
 
 
 def scored(docs: DataFrame, chain: Chain) -> DataFrame:
