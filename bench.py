@@ -1,13 +1,14 @@
 """Time the registered queries over $BENCH_SF_DIR on local[$BENCH_CPUS]; print one JSON line.
 
 Every result row is computed and discarded (noop sink); a query's time includes building and planning it. One
-untimed pass over the smallest tables beside $BENCH_SF_DIR, where there are any, warms the JVM up.
+untimed pass over the smallest tables beside $BENCH_SF_DIR, where there are any, warms the JVM up. Times are medians of three.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -16,6 +17,9 @@ from pyspark.sql import SparkSession
 from cashplan.plans import registry
 
 
+RUNS = 3
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
@@ -41,7 +45,7 @@ def main() -> None:
     if os.path.isdir(warm_up):
         for name in picked:
             run(name, warm_up)
-    seconds = {name: run(name, sf_dir) for name in picked}
+    seconds = {name: statistics.median(run(name, sf_dir) for _ in range(RUNS)) for name in picked}
     result = {
         "metric": "total_query_seconds",
         "value": round(sum(seconds.values()), 3),

@@ -245,6 +245,16 @@ _WIDE_TOTALS = f"""SELECT * FROM (
   USING CAST(sum(Balance) AS DOUBLE) GROUP BY Date)"""
 
 
+_BANK_CLASSIFIED = _sql(
+    [_BANK],
+    ("account_type", "post_date", "description", "type", "amount"),
+    """, account_type || '_' || ship_year || '.csv' AS file_name,
+  CASE WHEN amount > 0 THEN 'income' ELSE 'expense' END AS income_or_expense
+FROM fx_bank
+WHERE amount IS NULL OR NOT (account_type = 'checking' AND amount < 0 OR account_type = 'credit_card' AND amount > 0)""",
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "typed_schedule": _sql(
@@ -413,12 +423,6 @@ FROM (SELECT unnest(generate_series(min(CAST(o_orderdate AS DATE)), max(CAST(o_o
         "planned_budget_window": _sql(
             _TO_PLAN, _PLAN_COLUMNS, "FROM plan WHERE Date BETWEEN DATE '2000-10-01' AND DATE '2000-10-31'"
         ),
-        "bank_classified": _sql(
-            [_BANK],
-            ("account_type", "post_date", "description", "type", "amount"),
-            """, account_type || '_' || ship_year || '.csv' AS file_name,
-  CASE WHEN amount > 0 THEN 'income' ELSE 'expense' END AS income_or_expense
-FROM fx_bank
-WHERE amount IS NULL OR NOT (account_type = 'checking' AND amount < 0 OR account_type = 'credit_card' AND amount > 0)""",
-        ),
+        "bank_canonical": _BANK_CLASSIFIED,
+        "bank_classified": _BANK_CLASSIFIED,
     }

@@ -14,6 +14,7 @@ from cashplan.operators import balances, bank, budget, forecast, occurrences, ty
 from cashplan.plans import views
 from cashplan.schemas import BIWEEKLY, EVERY_X_DAYS, KINDS, MONTHLY, ONCELY, YEARLY
 from cashplan.session import written
+from cashplan.sources.bank_exports import parsed
 
 AS_OF = date(1999, 1, 1)
 OPENING_ACCOUNT = "acct_3"
@@ -183,6 +184,9 @@ _QUERIES: dict[str, Query] = {
     "plan_biweekly_occurrences": _plan(budget.biweekly_occurrences),
     "planned_budget": _plan(budget.planned_budget),
     "planned_budget_window": _plan(lambda rules: budget.planned_budget(rules, *WINDOW)),
+    "bank_canonical": lambda s, sf: bank.classified(
+        parsed(views.bank_lines(s, sf), [views.CHECKING_HEADER, views.CARD_HEADER])
+    ),
     "bank_classified": lambda s, sf: bank.classified(views.bank_transactions(s, sf)),
 }
 

@@ -176,6 +176,23 @@ def ledger_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Headers as banks write them, of a checking account (its lines end in a comma) and of a credit card.
+CHECKING_HEADER = "Details,Posting Date,Description,Amount,Type,Balance,Check or Slip #,"
+CARD_HEADER = "Transaction Date,Post Date,Description,Category,Type,Amount,Memo"
+
+
+def bank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same transactions as lines of export files, some quoted, with the file's ``header`` and ``file_name``."""
+    cells = "nvl(CAST(amount AS STRING), if(description LIKE '%7', 'NaN', ''))"
+    return bank_transactions(spark, sf_dir).selectExpr(
+        "file_name",
+        f"if(account_type = 'checking', '{CHECKING_HEADER}', '{CARD_HEADER}') AS header",
+        f"""if(account_type = 'checking',
+            concat_ws(',', 'DEBIT', post_date, concat('"', description, '"'), {cells}, type, '1.00', '', ''),
+            concat_ws(',', post_date, post_date, description, 'None', type, {cells}, '"a ""memo"" of it"')) AS value""",
+    )
+
+
 def bank_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as bank transactions, in the shape the export reader yields."""
     line = _table(spark, sf_dir, "lineitem").selectExpr(

@@ -1,22 +1,22 @@
 """Bank transactions from CSV exports whose headers differ from account to account.
 
-Files are grouped by header and each group is read in one scan: reading different headers together would
-align columns by position and misplace values.
+One scan finds each file's header, which is its first line; only the distinct headers come to the driver. A second scan
+parses each line by its file's header. The number of jobs does not depend on the number of files.
 """
 
 from __future__ import annotations
 
+import csv
 import re
-from collections import defaultdict
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cashplan.operators.bank import CHECKING, CREDIT_CARD
 from cashplan.schemas import MONEY
+from cashplan.session import written
 
 # Header names and the columns they become.
 CANONICAL_NAMES = {
@@ -60,41 +60,28 @@ MISSING_CELLS = [
 
 # Header cells without a name, as they come from a trailing comma.
 _UNNAMED = re.compile(r"^(_c\d+|Unnamed.*)$")
-_HEADER_READERS = 16
-
-
-def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[str]:
-    """Paths of a folder's export files, safe to read even if a name looks like a glob; only names are read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    paths = [row.path for row in files.select("path").collect()]
-    return sorted(re.sub(r"([\\*?\[\]{}])", r"\\\1", path) for path in paths)
+_CSV = {"quote": '"', "escape": '"'}
 
 
 def _reader(spark: SparkSession, multiline: bool):
-    return spark.read.options(header=True, quote='"', escape='"', multiLine=multiline)
+    return spark.read.options(header=True, multiLine=multiline, **_CSV)
 
 
-def files_by_header(spark: SparkSession, paths: list[str], multiline: bool = False) -> dict[tuple, list[str]]:
-    """Group files by their header. Looking up a header reads no more than the start of a file."""
-    with ThreadPoolExecutor(_HEADER_READERS) as pool:
-        headers = pool.map(lambda path: tuple(_reader(spark, multiline).csv(path).columns), paths)
-        groups = defaultdict(list)
-        for path, header in zip(paths, headers):
-            groups[header].append(path)
-    return dict(groups)
+def _decoded(file_name: Column) -> Column:
+    """Spark reports a file's name with its special characters URL-encoded, all but the plus sign."""
+    return F.url_decode(F.replace(file_name, F.lit("+"), F.lit("%2B")))
 
 
-def _in_one_shape(rows: DataFrame) -> DataFrame:
-    """Rows of one header under canonical names. Columns without a name are dropped."""
-    named = [name for name in rows.columns if not _UNNAMED.match(name)]
-    cells = [
-        F.when(~F.col(f"`{name}`").isin(MISSING_CELLS), F.col(f"`{name}`")).alias(CANONICAL_NAMES.get(name, name))
+def _canonical(named: list[str], cell, file_name: Column) -> list[Column]:
+    """A row's columns under canonical names. Columns without a name are dropped, missing cells are null."""
+    cells = {
+        CANONICAL_NAMES.get(name, name): F.when(~cell(name).isin(MISSING_CELLS), cell(name))
         for name in named
-    ]
+        if not _UNNAMED.match(name)
+    }
     account_type = CHECKING if "Balance" in named else CREDIT_CARD
-    # Spark reports the name with its special characters URL-encoded, all but the plus sign
-    file_name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
-    return rows.select(F.lit(account_type).alias("account_type"), file_name.alias("file_name"), *cells)
+    columns = {"account_type": F.lit(account_type), "file_name": file_name} | cells
+    return [columns.get(name, F.lit(None).cast("string")).alias(name) for name in TRANSACTION_COLUMNS]
 
 
 def _text_schema(header: tuple) -> T.StructType:
@@ -105,6 +92,38 @@ def _as_transactions(rows: DataFrame) -> DataFrame:
     return rows.withColumn("amount", F.col("amount").cast(MONEY)).select(*TRANSACTION_COLUMNS)
 
 
+def _names(header: str) -> list[str]:
+    """A header line's names; those that are missing or repeated get a name by their place."""
+    names = next(csv.reader([header]))
+    return [name if name and names.index(name) == i else f"_c{i}" for i, name in enumerate(names)]
+
+
+def _ddl(names: list[str]) -> str:
+    return ", ".join(f"`{name.replace('`', '``')}` STRING" for name in names)
+
+
+def parsed(lines: DataFrame, headers: list[str]) -> DataFrame:
+    """Lines (``value``, with the ``header`` and ``file_name`` of their file) to transactions in one shape."""
+
+    def by(header: str) -> Column:
+        names = _names(header)
+        row = F.from_csv("value", _ddl(names), _CSV)
+        return F.struct(*_canonical(names, lambda name: row[name], F.col("file_name")))
+
+    row = F.coalesce(*(F.when(F.col("header") == header, by(header)) for header in headers))
+    return _as_transactions(lines.select(row.alias("row")).select("row.*"))
+
+
+def _lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    lines = spark.read.option("pathGlobFilter", pattern).text(folder)
+    return lines.select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        _decoded(F.col("_metadata.file_name")).alias("file_name"),
+    ).where(F.trim("value") != "")
+
+
 def read_exports(
     spark: SparkSession,
     folder: str,
@@ -114,18 +133,36 @@ def read_exports(
 ) -> DataFrame:
     """The transactions of all exports in a folder, or in its subfolder for a year, in one shape.
 
-    A file with a balance column is a checking account's, any other a credit card's. ``post_date`` stays text.
-    ``multiline`` allows line breaks within quotes, at the price of unsplittable files.
+    A file with a balance column is a checking account's, any other a credit card's. ``post_date`` stays text. Lines
+    that repeat the header in a file's first block are taken for it. ``multiline`` allows line breaks within quotes, at
+    the price of unsplittable files and one more scan for each distinct header.
     """
     folder = f"{folder.rstrip('/')}/{year}" if year else folder
-    paths = list_files(spark, folder, pattern)
-    if not paths:
+    lines = _lines(spark, folder, pattern)
+    starts = lines.where("start = 0").withColumn("nth", F.monotonically_increasing_id())
+    files = written(starts.groupBy("path", "file_name").agg(F.min_by("value", "nth").alias("header")))
+    headers = sorted(row.header for row in files.select("header").distinct().collect())
+    if not headers:
         raise ValueError(f"no export files in {folder}")
-    frames = [
-        _in_one_shape(_reader(spark, multiline).schema(_text_schema(header)).csv(files))
-        for header, files in files_by_header(spark, paths, multiline).items()
-    ]
-    return _as_transactions(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames))
+    if multiline:
+        return _of_each_header(spark, folder, pattern, files, headers)
+    of_file = lines.drop("file_name").join(files, "path")
+    return parsed(of_file.where((F.col("start") > 0) | (F.col("value") != F.col("header"))), headers)
+
+
+def _of_each_header(
+    spark: SparkSession, folder: str, pattern: str, files: DataFrame, headers: list[str]
+) -> DataFrame:
+    """The files of each header, read whole: all files are scanned with each header's columns, and those of others left out."""
+    frames = []
+    for header in headers:
+        names = _names(header)
+        reader = _reader(spark, True).option("pathGlobFilter", pattern).schema(_text_schema(tuple(names)))
+        rows = reader.csv(folder).select("*", F.col("_metadata.file_path").alias("_path"))
+        mine = files.where(F.col("header") == header).select(F.col("path").alias("_path"), F.col("file_name").alias("_file"))
+        joined = rows.join(mine, "_path")
+        frames.append(joined.select(*_canonical(names, lambda name: F.col(f"`{name}`"), F.col("_file"))))
+    return _as_transactions(reduce(DataFrame.unionByName, frames))
 
 
 def read_alike_exports(
@@ -133,8 +170,9 @@ def read_alike_exports(
 ) -> DataFrame:
     """Like :func:`read_exports`, for a folder of files that all have the given header.
 
-    No file is opened ahead of the scan, which suits archives of very many files. A file with another header
-    makes the scan fail.
+    No file is opened ahead of the scan. A file with another header makes the scan fail.
     """
     reader = _reader(spark, multiline).options(enforceSchema=False, pathGlobFilter=pattern)
-    return _as_transactions(_in_one_shape(reader.schema(_text_schema(tuple(header))).csv(folder)))
+    rows = reader.schema(_text_schema(tuple(header))).csv(folder)
+    file_name = _decoded(F.col("_metadata.file_name"))
+    return _as_transactions(rows.select(*_canonical(header, lambda name: F.col(f"`{name}`"), file_name)))

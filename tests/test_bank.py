@@ -26,7 +26,6 @@ def test_both_shapes_in_one_folder(spark, folder):
     )
     df = bank_exports.read_exports(spark, path)
     assert df.columns == bank_exports.TRANSACTION_COLUMNS
-    assert len(bank_exports.files_by_header(spark, bank_exports.list_files(spark, path))) == 2
     assert rows(df) == [
         ("checking", "check.csv", "01/02/2024", "PAY", "ACH", m(1500)),
         ("checking", "check.csv", "01/03/2024", "RENT", "ACH", m(-900.5)),
@@ -73,6 +72,34 @@ def test_bad_amount_and_empty_folder_raise(spark, folder):
         bank_exports.read_exports(spark, path, pattern="*.txt")
 
 
+def test_line_breaks_in_files_of_two_shapes(spark, folder):
+    path = folder(
+        card=[CARD, '01/01/2024,01/02/2024,"two', 'lines",Food,Sale,-1,'],
+        check=[CHECKING, "CREDIT,01/02/2024,PAY,1500.00,ACH,2500.00,"],
+    )
+    df = bank_exports.read_exports(spark, path, multiline=True)
+    assert rows(df, "account_type", "file_name", "description", "amount") == [
+        ("checking", "check.csv", "PAY", m(1500)),
+        ("credit_card", "card.csv", "two\nlines", m(-1)),
+    ]
+
+
+def test_jobs_do_not_grow_with_the_files(spark, tmp_path):
+    def jobs(n):
+        path = tmp_path / str(n)
+        path.mkdir()
+        for i in range(n):
+            header, line = (CARD, "1/1/2024,1/2/2024,S,F,Sale,-1,") if i % 2 else (CHECKING, "CREDIT,1/2/2024,P,5,ACH,9,")
+            (path / f"f{i}.csv").write_text(f"{header}\n{line}\n")
+        group = f"read {n}"
+        spark.sparkContext.setJobGroup(group, group)
+        assert bank_exports.read_exports(spark, str(path)).count() == n
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few = jobs(4)
+    assert jobs(1000) <= few + 3  # reading very many small files, Spark lists them in a job
+
+
 def test_zero_is_an_expense_and_nulls_survive(spark):
     df = spark.createDataFrame(
         [("checking", 0), ("checking", None), ("checking", -1), ("credit_card", 0), ("credit_card", None)]
