@@ -105,13 +105,21 @@ def _ddl(names: list[str]) -> str:
 def parsed(lines: DataFrame, headers: list[str]) -> DataFrame:
     """Lines (``value``, with the ``header`` and ``file_name`` of their file) to transactions in one shape."""
 
-    def by(header: str) -> Column:
-        names = _names(header)
-        row = F.from_csv("value", _ddl(names), _CSV)
-        return F.struct(*_canonical(names, lambda name: row[name], F.col("file_name")))
-
-    row = F.coalesce(*(F.when(F.col("header") == header, by(header)) for header in headers))
-    return _as_transactions(lines.select(row.alias("row")).select("row.*"))
+    names = {f"row{i}": _names(header) for i, header in enumerate(headers)}
+    rows = lines.select(
+        "file_name",
+        *(
+            F.when(F.col("header") == header, F.from_csv("value", _ddl(names[row]), _CSV)).alias(row)
+            for row, header in zip(names, headers, strict=True)
+        ),
+    )  # each line is parsed here, once; below, cells are picked
+
+    def of(row: str) -> Column:
+        return F.struct(*_canonical(names[row], lambda name: F.col(row)[name], F.col("file_name")))
+
+    one = F.coalesce(*(F.when(F.col(row).isNotNull(), of(row)) for row in names))
+    # inline() keeps later filters above the parsing, which they would otherwise repeat for each cell they read
+    return _as_transactions(rows.select(F.inline(F.array(one))))
 
 
 def _lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
