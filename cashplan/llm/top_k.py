@@ -2,11 +2,13 @@
 
 A score is the sum of a few lists' partial scores, a list being a slice of the dimensions.
 
-1. Each list of each batch of rows hands in its locally best entries, with their whole scores. The k-th best of those is a
+1. Each list of each task hands in its locally best entries, with their whole scores. The k-th best of those is a
    safe cutoff: the true k-th best is no lower.
 2. The cutoff is broadcast. An entry whose sum reaches it has a partial score of at least cutoff / lists in some list,
    so each list collects its entries from there on, and these suffice.
-3. The collected entries' scores are resolved exactly, and the best k of each batch are merged.
+3. The collected entries' scores are resolved exactly, and the best k of each task are merged.
+
+A task passes its rows in batches and keeps the best entries so far, so what it hands on does not grow with its rows.
 
 Queries go out in blocks of fixed size, so that what is broadcast is bounded; all rows pass each block.
 """
@@ -92,21 +94,37 @@ def _entries(ids, query, vec_id, score) -> pa.RecordBatch:
     )
 
 
+class Best:
+    """The first k entries of each query so far, by the first of their scores, then by id."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.query, self.vec_id, *self.scores = [np.zeros(0, np.int64)] * 4
+
+    def add(self, query: np.ndarray, vec_id: np.ndarray, by: np.ndarray, score: np.ndarray) -> None:
+        mine = (self.query, self.vec_id, *self.scores)
+        query, vec_id, by, score = map(np.concatenate, zip(mine, (query, vec_id, by, score), strict=True))
+        kept = _best(query, by, vec_id, self.k)
+        self.query, self.vec_id, self.scores = query[kept], vec_id[kept], [by[kept], score[kept]]
+
+
 def _local_lists(shared, lists: int, k: int):
     """Phase 1: the best entries of each list, with their whole scores."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        block, found = shared.value, [Best(k) for _ in range(lists)]
         for batch in slices(batches, ROWS_AT_ONCE):
             ids, partial = block.partial(batch, lists)
             total = sum(partial)
             others = block.ids[:, None] != ids[None, :]
             n = min(k + 1, len(ids))
-            for scores in partial:
-                best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                query, row = np.repeat(np.arange(len(block.ids)), n), best.ravel()
-                mine = others[query, row]
-                yield _entries(block.ids, query[mine], ids[row[mine]], total[query[mine], row[mine]])
+            for best, scores in zip(found, partial, strict=True):
+                row = np.argpartition(-scores, n - 1, axis=1)[:, :n].ravel()
+                query = np.repeat(np.arange(len(block.ids)), n)
+                query, row = query[mine := others[query, row]], row[mine]
+                best.add(query, ids[row], scores[query, row], total[query, row])
+        for best in found:
+            yield _entries(block.ids, best.query, best.vec_id, best.scores[1])
 
     return gather
 
@@ -115,7 +133,7 @@ def _sufficient(shared, lists: int, k: int):
     """Phases 2 and 3: the entries from the cutoff on, resolved."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        block, best = shared.value, Best(k)
         cutoff = block.cutoff[:, None]
         least = np.where(cutoff == _LOWEST, _LOWEST, -(-cutoff // lists))
         for batch in slices(batches, ROWS_AT_ONCE):
@@ -124,8 +142,8 @@ def _sufficient(shared, lists: int, k: int):
             score = sum(scores[query, row] for scores in partial)
             kept = np.flatnonzero((score >= block.cutoff[query]) & (block.ids[query] != ids[row]))
             query, row, score = query[kept], row[kept], score[kept]
-            best = _best(query, score, ids[row], k)
-            yield _entries(block.ids, query[best], ids[row[best]], score[best])
+            best.add(query, ids[row], score, score)
+        yield _entries(block.ids, best.query, best.vec_id, best.scores[1])
 
     return collect
 
