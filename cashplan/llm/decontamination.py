@@ -4,7 +4,8 @@ Words are numbered by the benchmark's vocabulary. A text's words outside it brea
 hash of their numbers, are looked up in the sorted hashes and, where found, compared word by word.
 
 The set is broadcast in blocks of a fixed number of windows. A benchmark of the usual size is one block; a larger one
-makes more blocks, which the rows pass through one after the other, so that no block's size depends on the data.
+makes more blocks, which the rows pass through one after the other. Between two blocks the rows are written to the shared
+folder and the first block is destroyed, so that a Python worker holds one block whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -91,8 +92,9 @@ def _factors(width: int) -> np.ndarray:
     return np.resize(_FACTORS, width)
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int, per_block: int) -> Iterator[Index]:
-    """The benchmark's windows, a block at a time. Items without an id or without words take no part."""
+def benchmark_blocks(benchmark: DataFrame, window: int, per_block: int) -> Iterator[tuple[Index, bool]]:
+    """The benchmark's windows, a block at a time, and whether it is the last. Items without an id or without words take no
+    part."""
     items = benchmark.select(
         F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")
     ).where("item IS NOT NULL AND text IS NOT NULL")
@@ -100,7 +102,7 @@ def benchmark_blocks(benchmark: DataFrame, window: int, per_block: int) -> Itera
     blocks = max(1, -(-found.count() // per_block))
     for block in range(blocks):
         mine = found.where(F.pmod(F.xxhash64("item", "window"), F.lit(blocks)) == block)
-        yield Index([(row.item, bytes(row.window)) for row in mine.collect()])
+        yield Index([(row.item, bytes(row.window)) for row in mine.collect()]), block == blocks - 1
 
 
 _HITS = (
@@ -153,13 +155,15 @@ def with_hits(
     It holds ``n_words``, ``spans`` (starts and stops of the runs of hit words, in turn) and ``items`` (ids, sorted).
     """
     keep = docs.columns if keep is None else keep
-    blocks = [docs.sparkSession.sparkContext.broadcast(x) for x in benchmark_blocks(benchmark, window, per_block)]
     out = docs.select(*dict.fromkeys([*keep, "text"]))
-    for i, block in enumerate(blocks):
-        last = i == len(blocks) - 1
+    for block, last in benchmark_blocks(benchmark, window, per_block):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
         kept = keep if last else [c for c in out.columns if c != name]
         schema = T.StructType([*(out.schema[c] for c in kept), T.StructField(name, _HITS)])
-        out = out.mapInArrow(_look_up(block, "text", name, kept), schema)
+        out = out.mapInArrow(_look_up(shared, "text", name, kept), schema)
+        if not last:
+            out = written(out)
+            shared.destroy()
     return out
 
 
