@@ -22,10 +22,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cashplan.llm.common import slices, texts
+from cashplan.llm.common import new_name, slices, texts
 from cashplan.llm.components import components
 from cashplan.session import written
 
@@ -66,7 +66,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in slices(batches):
         found = np.array([fingerprint(text.as_py()) for text in batch.column("text")], _U)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(found.view(np.int64))], ["doc_id", "fp"]
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(found.view(np.int64))],
+            ["doc_id", "text_hash", "fp"],
         )
 
 
@@ -246,24 +247,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Copies share a fingerprint and count once in the search, so a group of copies of any size costs one row per task.
     """
-    prints = written(texts(docs).mapInArrow(_fingerprints, "doc_id long, fp long"))
+    return _classed(docs).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _classed(docs: DataFrame) -> DataFrame:
+    """Each document's ``doc_id``, ``text_hash``, ``fp``, the ``root`` of its component and ``component_id``."""
+    hashed = texts(docs).withColumn("text_hash", _text_hash())
+    prints = written(hashed.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long"))
     members = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(members)).withColumnRenamed("node", "fp")
     rooted = written(
         members.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     )
     ids = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    classes = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return prints.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without their near-duplicates: of each class the one of the smallest doc_id stays, once.
+    """The documents without their near-duplicates: of each class one of the smallest doc_id stays, once.
 
-    All columns stay as they are. Rows without a doc_id are left in, as no decision can name them.
+    All columns stay as they are. Where rows of one doc_id have different texts, each row goes by its own text, so no class
+    vanishes. Rows without a doc_id are left in, as no decision can name them.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    text_hash = new_name(docs, "text_hash")
+    kept = (
+        _classed(docs)
+        .where("doc_id = component_id")
+        .groupBy("doc_id", "root")
+        .agg(F.min("text_hash").alias(text_hash))
+        .drop("root")
+    )
+    named = docs.where("doc_id IS NOT NULL").withColumn(text_hash, _text_hash())
+    once = named.join(kept, ["doc_id", text_hash], "left_semi").dropDuplicates(["doc_id", text_hash])
+    return once.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

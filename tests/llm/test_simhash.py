@@ -115,3 +115,11 @@ def test_odd_rows(odd_docs, no_docs):
     kept = simhash.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(kept.select(F.coalesce("doc_id", F.lit(-1)).alias("i")).toPandas().i) == [-1, -1, 1, 2, 4]
+
+
+def test_rows_of_one_id_go_by_their_own_texts(make_docs):
+    """No class vanishes: id 5 stands for two of them, and its third row belongs to that of id 3."""
+    one, two, three = (" ".join(f"{w}{i * i}" for i in range(60)) for w in "pqr")
+    docs = make_docs([(3, one), (5, one), (5, two), (5, three), (5, three), (6, two)])
+    kept = sorted((r.doc_id, r.text) for r in simhash.one_of_each(docs).collect())
+    assert kept == sorted([(3, one), (5, two), (5, three)])
