@@ -158,6 +158,8 @@ def packed(
     """
     pieces = written(texts(docs).mapInArrow(_cutter(tokenizer_path, capacity, end_id), _PIECES))
     packers = max(1, -(-pieces.count() // pieces_per_packer))
+    # dealt by place in the written table, as one id, a null one too, may hold many rows; the place stays when a task runs again
+    placed = pieces.withColumn("row", F.monotonically_increasing_id())
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = pieces.repartition(packers, "doc_id", "piece").sortWithinPartitions(order, *pieces.columns)
+    dealt = placed.repartition(packers, "row").sortWithinPartitions(order, "row").drop("row")
     return dealt.mapInArrow(_packer(capacity, places), f"{_PIECES}, sequence_id long, offset long")
