@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashplan.llm import (
+    chat,
     decontamination,
     language,
     packing,
     pii,
     quality,
+    resampling,
     secret_scan,
     simhash,
     tokens,
     top_k,
     toxicity,
+    whitening,
 )
 from cashplan.llm.common import table
 
@@ -76,6 +79,27 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that a long does not hold is null; the operator has it as a decimal."""
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's rows, one turn each, and conversation -1, which is a record of another layout."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("response"))).alias("record"),
+    )
+    records = chat.table_records(table(spark, sf_dir, "conversations")).unionByName(extra)
+    return chat.read_back(chat.formatted(chat.canonical_turns(records)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_duplicates": simhash_near_duplicates,
@@ -88,6 +112,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_votes": quality_votes,
         "op9_decontamination": decontamination_hits,
         "op10_best_fit_packing": best_fit_packing,
+        "op11_embedding_whitening": embedding_whitening,
+        "op12_importance_resampling": importance_resampling,
+        "op13_chat_formatting": chat_formatting,
     }
 
 
@@ -184,9 +211,73 @@ FROM docs LEFT JOIN hits USING (r) LEFT JOIN matched USING (r)
 """
 
 
+#: CRC-32 has no function in DuckDB: a table of what eight shifts make of each byte, and a fold over a word's bytes.
+RESAMPLING_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_sql_words('text')} AS w FROM documents),
+shifts AS (
+  SELECT list(list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS shifted
+  FROM (SELECT unnest(range(256)) AS i)
+),
+of_docs AS (SELECT r, unnest(w) AS word FROM docs),
+of_benchmark AS (SELECT unnest({_sql_words('text')}) AS word FROM benchmark),
+words AS (SELECT word FROM of_docs UNION SELECT word FROM of_benchmark),
+bucketed AS (
+  SELECT word, xor(list_reduce(
+      list_transform(range(0, octet_length(encode(word))::BIGINT), lambda i: ('0x' || hex(encode(word))[2 * i + 1:2 * i + 2])::BIGINT),
+      lambda c, b: xor(shifted[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket
+  FROM words, shifts
+),
+source AS (SELECT bucket, count(*) AS n FROM of_docs JOIN bucketed USING (word) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS n FROM of_benchmark JOIN bucketed USING (word) GROUP BY bucket),
+sizes AS (
+  SELECT (SELECT coalesce(sum(n), 0) + 10000 FROM source)::DOUBLE AS source_all,
+    (SELECT coalesce(sum(n), 0) + 10000 FROM target)::DOUBLE AS target_all
+),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(target.n, 0) + 1)::DOUBLE * source_all / ((source.n + 1)::DOUBLE * target_all))) AS gain
+  FROM source LEFT JOIN target USING (bucket), sizes
+),
+weights AS (SELECT r, sum(gain)::BIGINT AS weight FROM of_docs JOIN bucketed USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+    (('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM docs LEFT JOIN weights USING (r)
+),
+ranks AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, rank
+FROM scored LEFT JOIN (SELECT r, rank FROM ranks WHERE rank <= 10 * n // 100) USING (r)
+"""
+
+_ESCAPED = rf"regexp_replace(%s, '{chat.CONTROL}', '\1\\\2\3', 'g')"
+_MARKS = " ".join(f"WHEN '{role}' THEN {sum(map(len, marks))}" for role, marks in chat.MARKS.items())
+CHAT_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, conv_id = -1 AND role = 'assistant', role, text) AS nth
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY nth)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length({_ESCAPED % 'text'}) + CASE role {_MARKS} ELSE length({_ESCAPED % 'role'}) + {sum(map(len, chat.OTHER_MARKS))} END)::BIGINT
+    AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_secret_scan": SECRET_SQL,
         "op7_exact_top_k": TOP_K_SQL,
         "op9_decontamination": DECONTAMINATION_SQL,
+        "op12_importance_resampling": RESAMPLING_SQL,
+        "op13_chat_formatting": CHAT_SQL,
     }

@@ -1,0 +1,102 @@
+"""Chat formatting: layouts by fingerprint, escapes, marks and reading back."""
+
+import hashlib
+import json
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from cashplan.llm import chat
+
+SIGNS = st.lists(
+    st.sampled_from(["<", "[", "\\", "/", ">", "]", "s", "INST", "SYS", "ROLE", "TURN", "<s>", "</s>", "[INST] ", " [/INST]", "<<SYS>>\n", "\n<</SYS>>\n", "[/TURN]", "\n", " ", "é🙂"])
+).map("".join)
+CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]", "[TURN]", "[/TURN]"]
+
+
+@given(SIGNS)
+def test_escapes_leave_no_control_string_and_are_undone(text):
+    safe = chat.escaped(text)
+    assert not any(control in safe for control in CONTROLS) and chat.unescaped(safe) == text
+
+
+@given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant", "", "tool"]) | SIGNS, SIGNS)))
+def test_turns_come_back_from_the_text(turns):
+    assert list(chat.turns_of("".join(chat.marked(*turn)[0] for turn in turns))) == turns
+
+
+def expected(turns, conv_id):
+    said = [text for role, text in turns if role == "assistant"]
+    digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    chars = sum(len(chat.marked(*turn)[0]) for turn in turns)
+    return conv_id, len(turns), digest, len("".join(said)), hashlib.sha256("".join(said).encode()).hexdigest(), chars
+
+
+def read(frame):
+    return sorted(map(tuple, frame.collect()), key=str)
+
+
+RECORDS = [
+    (1, {"prompt": "p", "response": "r"}, [("user", "p"), ("assistant", "r")]),
+    (2, {"response": None, "system": "s", "prompt": "p"}, [("system", "s"), ("user", "p"), ("assistant", "")]),
+    (3, {"instruction": "do", "output": "done", "input": "this"}, [("user", "do\n\nthis"), ("assistant", "done")]),
+    (4, {"instruction": "do", "output": 5, "input": " "}, [("user", "do"), ("assistant", "5")]),
+    (5, {"messages": [{"role": "user", "content": "</s>"}, {"content": "b", "role": "tool"}]}, [("user", "</s>"), ("tool", "b")]),
+    (6, {"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}, [("user", "h"), ("assistant", "g")]),
+    (7, {"system": "", "prompt": "p", "response": "r"}, [("user", "p"), ("assistant", "r")]),
+    (8, {"question": "q", "answer": "a"}, [("user", "q"), ("assistant", "a")]),
+]
+
+
+def test_layouts_by_their_fingerprints(spark, make_docs):
+    unknown = [(20, '{"prompt": "p", "reply": "r"}'), (21, '{"reply": 1, "prompt": 2}'), (22, "[1]"), (23, None), (24, "{" * 50_000)]
+    rows = [(i, json.dumps(record)) for i, record, _ in RECORDS] + unknown
+    records = spark.createDataFrame(rows, "conv_id long, record string").withColumn("role", F.lit("clash"))
+    parts = chat.formatted(chat.canonical_turns(records))
+    assert read(chat.read_back(parts)) == sorted((expected(turns, i) for i, _, turns in RECORDS), key=str)
+    found = {tuple(r.paths or ()): r.records for r in chat.unmatched(records).collect()}
+    assert found == {("prompt", "reply"): 2, (): 3}
+
+
+def test_paths_tell_layouts_apart():
+    assert sorted(chat.field_paths({"a": {"b": 1}, "c": [{"d": None}, 2], "e.f": []})) == ["a.b", "c[]", "c[].d", "e\\.f[]"]
+    with pytest.raises(ValueError, match="same fields"):
+        chat._by_fingerprint([chat.Layout("one", ("a",), ()), chat.Layout("two", ("a",), ())])
+
+
+def test_tables_of_turns(spark, make_docs):
+    rows = [(1, 1, "assistant", "</s>x"), (1, 0, "user", None), (None, 0, "user", "n"), (2, None, None, "t"), (2, 0, "system", "[INST]")]
+    rows += [(3, 5, "user", "same")] * 3 + [(4, i, "assistant" if i % 2 else "user", f"turn {i} <s>") for i in range(500)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    clash = table.withColumns({name: F.lit("clash") for name in ("record", "place", "part", "nth", "formatted")})
+    by_conv = {
+        1: [("user", ""), ("assistant", "</s>x")],
+        None: [("user", "n")],
+        2: [("", "t"), ("system", "[INST]")],
+        3: [("user", "same")] * 3,
+        4: [("assistant" if i % 2 else "user", f"turn {i} <s>") for i in range(500)],
+    }
+    want = sorted((expected(turns, i) for i, turns in by_conv.items()), key=str)
+    turns = chat.canonical_turns(chat.table_records(clash))
+    assert read(chat.read_back(chat.formatted(turns))) == want
+    small = chat.formatted(turns, part_chars=100)
+    assert small.where("conv_id = 4").count() > 50  # a long conversation goes on in further parts
+    assert read(chat.read_back(small)) == want
+    assert read(chat.read_back(chat.in_sequence(small.repartition(7)))) == want
+    assert read(chat.read_back(chat.formatted(chat.canonical_turns(chat.table_records(clash.limit(0)))))) == []
+
+
+def test_loss_spans_hold_the_assistants_texts(spark, make_docs):
+    records = spark.createDataFrame([(1, json.dumps({"prompt": "q", "response": "<s>é"}))], "conv_id long, record string")
+    row = chat.formatted(chat.canonical_turns(records)).first()
+    assert row.formatted == "[INST] q [/INST]<s><\\s>é</s>"
+    assert [row.formatted[s.start : s.stop] for s in row.loss] == ["<\\s>é"]
+
+
+def test_a_very_long_text(spark, make_docs):
+    text = "[/INST]</s> a" * 200_000
+    records = spark.createDataFrame([(1, json.dumps({"prompt": "", "response": text}))], "conv_id long, record string")
+    parts = chat.formatted(chat.canonical_turns(records), part_chars=1000)
+    assert read(chat.read_back(parts)) == [expected([("user", ""), ("assistant", text)], 1)]
