@@ -1,14 +1,14 @@
 """Bank transactions from CSV exports whose headers differ from account to account.
 
-One scan finds each file's header, which is its first line; only the distinct headers come to the driver. A second scan
-parses each line by its file's header. The number of jobs does not depend on the number of files.
+Files are read as records (:mod:`cashplan.sources.records`). A file's first record is its header; only the distinct headers
+come to the driver, and each record is parsed by its file's header. The number of jobs does not depend on the number of
+files or headers.
 """
 
 from __future__ import annotations
 
 import csv
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from cashplan.operators.bank import CHECKING, CREDIT_CARD
 from cashplan.schemas import MONEY
-from cashplan.session import written
+from cashplan.sources.records import decoded, headers, records
 
 # Header names and the columns they become.
 CANONICAL_NAMES = {
@@ -67,11 +67,6 @@ def _reader(spark: SparkSession, multiline: bool):
     return spark.read.options(header=True, multiLine=multiline, **_CSV)
 
 
-def _decoded(file_name: Column) -> Column:
-    """Spark reports a file's name with its special characters URL-encoded, all but the plus sign."""
-    return F.url_decode(F.replace(file_name, F.lit("+"), F.lit("%2B")))
-
-
 def _canonical(named: list[str], cell, file_name: Column) -> list[Column]:
     """A row's columns under canonical names. Columns without a name are dropped, missing cells are null."""
     cells = {
@@ -122,55 +117,28 @@ def parsed(lines: DataFrame, headers: list[str]) -> DataFrame:
     return _as_transactions(rows.select(F.inline(F.array(one))))
 
 
-def _lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    lines = spark.read.option("pathGlobFilter", pattern).text(folder)
-    return lines.select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("start"),
-        _decoded(F.col("_metadata.file_name")).alias("file_name"),
-    ).where(F.trim("value") != "")
-
-
 def read_exports(
     spark: SparkSession,
     folder: str,
     year: str | None = None,
     pattern: str = "*.csv",
-    multiline: bool = False,
+    multiline: bool = True,
 ) -> DataFrame:
     """The transactions of all exports in a folder, or in its subfolder for a year, in one shape.
 
-    A file with a balance column is a checking account's, any other a credit card's. ``post_date`` stays text. Lines
-    that repeat the header in a file's first block are taken for it. ``multiline`` allows line breaks within quotes, at
-    the price of unsplittable files and one more scan for each distinct header.
+    A file with a balance column is a checking account's, any other a credit card's. ``post_date`` stays text. A file's
+    first record is its header; wherever the same record stands again in the file, as in exports that were put one
+    after the other, it is taken for the header as well. Cells in quotes may hold line breaks, and files are split all the
+    same (see :mod:`cashplan.sources.records`); ``multiline=False`` takes every line for a record and saves a scan.
     """
     folder = f"{folder.rstrip('/')}/{year}" if year else folder
-    lines = _lines(spark, folder, pattern)
-    starts = lines.where("start = 0").withColumn("nth", F.monotonically_increasing_id())
-    files = written(starts.groupBy("path", "file_name").agg(F.min_by("value", "nth").alias("header")))
-    headers = sorted(row.header for row in files.select("header").distinct().collect())
-    if not headers:
+    found = records(spark, folder, pattern, multiline)
+    files = headers(found)
+    distinct = sorted(row.header for row in files.select("header").distinct().collect())
+    if not distinct:
         raise ValueError(f"no export files in {folder}")
-    if multiline:
-        return _of_each_header(spark, folder, pattern, files, headers)
-    of_file = lines.drop("file_name").join(files, "path")
-    return parsed(of_file.where((F.col("start") > 0) | (F.col("value") != F.col("header"))), headers)
-
-
-def _of_each_header(
-    spark: SparkSession, folder: str, pattern: str, files: DataFrame, headers: list[str]
-) -> DataFrame:
-    """The files of each header, read whole: all files are scanned with each header's columns, and those of others left out."""
-    frames = []
-    for header in headers:
-        names = _names(header)
-        reader = _reader(spark, True).option("pathGlobFilter", pattern).schema(_text_schema(tuple(names)))
-        rows = reader.csv(folder).select("*", F.col("_metadata.file_path").alias("_path"))
-        mine = files.where(F.col("header") == header).select(F.col("path").alias("_path"), F.col("file_name").alias("_file"))
-        joined = rows.join(mine, "_path")
-        frames.append(joined.select(*_canonical(names, lambda name: F.col(f"`{name}`"), F.col("_file"))))
-    return _as_transactions(reduce(DataFrame.unionByName, frames))
+    of_file = found.join(files, "path")
+    return parsed(of_file.where(F.col("value") != F.col("header")), distinct)
 
 
 def read_alike_exports(
@@ -182,5 +150,5 @@ def read_alike_exports(
     """
     reader = _reader(spark, multiline).options(enforceSchema=False, pathGlobFilter=pattern)
     rows = reader.schema(_text_schema(tuple(header))).csv(folder)
-    file_name = _decoded(F.col("_metadata.file_name"))
+    file_name = decoded(F.col("_metadata.file_name"))
     return _as_transactions(rows.select(*_canonical(header, lambda name: F.col(f"`{name}`"), file_name)))
