@@ -31,7 +31,8 @@ def publish_forecast(
 ) -> None:
     """Write the transactions, daily balance and account balance reports and the two summary lists.
 
-    The ledger is source and sink. That is safe because its entries are laid out in the checkpoint folder
+    The ledger is source and sink: it is read at one snapshot, and if another writer has replaced it when this job is done, the
+    job fails rather than overwrite what that one wrote. Reading and writing it is safe because its entries are laid out in the checkpoint folder
     before any report is written; all reports but the account balances are derived from that one copy. What is
     laid out is removed at the end.
     """
@@ -42,6 +43,7 @@ def publish_forecast(
 def _publish_forecast(
     store: TableStore, as_of: date, opening_account: str, days_back: int, days_forward: int, threshold: int
 ) -> None:
+    ledger_read = store.snapshot(schemas.TRANSACTIONS_REPORT)
     rules = typed.schedule(store.read(schemas.INCOME_EXPENSE, force_update=True, numbered=True))
     snapshots = typed.account_balances(store.read(schemas.ACCOUNT_DATE_BALANCES, force_update=True, numbered=True))
     details = typed.account_details(store.read(schemas.ACCOUNT_DETAILS, force_update=True, numbered=True))
@@ -59,7 +61,7 @@ def _publish_forecast(
     store.write(typed.at_edge(balances.wide_report(snapshots, details)), schemas.ACCOUNT_BALANCES_REPORT)
     store.write(typed.at_edge(alerts), schemas.SUMMARY_ALERTS)
     store.write(typed.at_edge(forecast.first_labels(entries)), schemas.SUMMARY_LABELS)
-    store.write(transactions_report(forecast.run_up(entries, opening)), schemas.TRANSACTIONS_REPORT)
+    store.write(transactions_report(forecast.run_up(entries, opening)), schemas.TRANSACTIONS_REPORT, after=ledger_read)
 
 
 def publish_rules(store: TableStore, force_update: bool = False) -> None:

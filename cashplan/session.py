@@ -56,6 +56,21 @@ def job(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def files_of(spark: SparkSession, paths: list[str]) -> tuple[tuple[str, int, int], ...]:
+    """Path, size and time of change (milliseconds) of the files at the paths, or in those of them that are folders."""
+    found = []
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(target):
+            continue
+        listed = files.listFiles(target, True)
+        while listed.hasNext():
+            one = listed.next()
+            found.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, in whatever store it is."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

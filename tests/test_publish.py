@@ -6,7 +6,7 @@ import pytest
 from cashplan import schemas, session
 from cashplan.operators import typed
 from cashplan.plans import publish
-from cashplan.sources.tables import TableStore
+from cashplan.sources.tables import TableStore, WriteConflict
 from helpers import D, income_expense, m, rows, text_frame
 
 AS_OF = D("2024-01-10")
@@ -207,3 +207,85 @@ def test_catalog_tables(spark, tmp_path):
         assert store.read("cash.Numbers").count() == 4
     finally:
         spark.sql("DROP DATABASE cash CASCADE")
+
+
+def test_a_reader_that_began_before_a_write_finishes(spark, store):
+    store.write(spark.range(1000).repartition(4), "Numbers")
+    begun = store.read("Numbers").repartition(3)
+    store.write(spark.range(5), "Numbers")
+    assert begun.count() == 1000 and store.read("Numbers").count() == 5
+
+
+def test_of_two_writers_one_fails_cleanly(spark, store, tmp_path):
+    store.write(spark.range(3), "Numbers")
+    other = TableStore(spark, str(tmp_path), store.file_format)
+    mine, theirs = store.snapshot("Numbers"), other.snapshot("Numbers")
+    other.write(spark.range(7), "Numbers", after=theirs)
+    folders = sorted(p.name for p in tmp_path.iterdir())
+    with pytest.raises(WriteConflict, match="Numbers"):
+        store.write(spark.range(9), "Numbers", after=mine)
+    assert store.read("Numbers").count() == 7
+    assert sorted(p.name for p in tmp_path.iterdir()) == folders
+    assert [p.name for p in (tmp_path / "Numbers.snapshots").iterdir() if p.suffix == ".new"] == []
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    """Each commit has a number of its own, and as many writes come through as there are commits."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    stores = [TableStore(spark, str(tmp_path)) for _ in range(4)]
+    start = stores[0].snapshot("Numbers")
+
+    def write(i):
+        try:
+            stores[i].write(spark.range(i + 1), "Numbers", after=start)
+            return i + 1
+        except WriteConflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        written = [n for n in pool.map(write, range(4)) if n]
+    assert len(written) == 1 and stores[0].read("Numbers").count() == written[0]
+
+
+def test_another_stores_write_is_seen(spark, store, tmp_path):
+    store.write(spark.range(2), "Numbers")
+    kept = store.read("Numbers", persist=True)
+    assert store.read("Numbers") is kept and kept.is_cached
+    TableStore(spark, str(tmp_path), store.file_format).write(spark.range(6), "Numbers")
+    assert store.read("Numbers").count() == 6 and not kept.is_cached
+
+
+def test_files_that_others_write_are_seen(spark, tmp_path):
+    spark.range(4).write.parquet(str(tmp_path / "Foreign"))
+    store = TableStore(spark, str(tmp_path))
+    kept = store.read("Foreign")
+    assert kept.count() == 4 and store.read("Foreign") is kept
+    spark.range(3).write.mode("append").parquet(str(tmp_path / "Foreign"))
+    assert store.read("Foreign").count() == 7
+    store.write(store.read("Foreign").limit(1), "Foreign")
+    assert store.read("Foreign").count() == 1 and spark.read.parquet(str(tmp_path / "Foreign")).count() == 7
+
+
+def test_old_snapshots_go_with_later_writes(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path), keep_hours=0)
+    for n in (1, 2, 3):
+        store.write(spark.range(n), "Numbers")
+    assert len(list(tmp_path.glob("Numbers-*"))) == 1 and store.read("Numbers").count() == 3
+    assert store.snapshot("Numbers").number == 3
+    kept = TableStore(spark, str(tmp_path))
+    kept.write(spark.range(4), "Numbers")
+    assert len(list(tmp_path.glob("Numbers-*"))) == 2
+
+
+def test_catalog_tables_are_read_anew_when_their_files_change(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS cash2 LOCATION '{tmp_path}/cash2'")
+    one, other = TableStore(spark), TableStore(spark)
+    try:
+        one.write(spark.range(3), "cash2.Numbers")
+        kept = one.read("cash2.Numbers")
+        assert one.read("cash2.Numbers") is kept
+        other.write(spark.range(4), "cash2.Numbers")
+        assert one.read("cash2.Numbers") is not kept and one.read("cash2.Numbers").count() == 4
+    finally:
+        spark.sql("DROP DATABASE cash2 CASCADE")
