@@ -25,16 +25,23 @@ def present(name: str) -> Column:
     return F.nullif(F.trim(text(name)), F.lit(""))
 
 
+def _decimal(name: str, kind, digits: int, message: str) -> Column:
+    """The cell as a decimal; what has parts beyond its last digit raises, as a cast would round them in silence."""
+    cell, shown = F.col(f"`{name}`"), text(name)
+    # a power of ten hides the digits, so there the values are compared
+    hidden = shown.rlike("[eE]") & (cell.cast("double") != cell.cast(kind).cast("double"))
+    finer = shown.rlike(rf"\.\d{{{digits}}}\d*[1-9]") | hidden
+    return F.when(finer, F.raise_error(F.concat(F.lit(f"{name} {message}: "), shown))).otherwise(cell.cast(kind))
+
+
 def money(name: str) -> Column:
     """An amount in whole cents; smaller parts raise, as rounding one amount would put sums out."""
-    exact = exact_money(name)
-    message = F.concat(F.lit(f"{name} is not in whole cents: "), text(name))
-    return F.when(exact == exact.cast(MONEY), exact.cast(MONEY)).when(exact.isNotNull(), F.raise_error(message))
+    return _decimal(name, MONEY, 2, "is not in whole cents")
 
 
 def exact_money(name: str) -> Column:
-    """An amount that may have been worked out, to eight digits."""
-    return F.col(f"`{name}`").cast(EXACT_MONEY)
+    """An amount that may have been worked out, to eight digits; more raise."""
+    return _decimal(name, EXACT_MONEY, 8, "has more than eight digits")
 
 
 def exact_money_or_zero(name: str) -> Column:

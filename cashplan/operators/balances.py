@@ -13,7 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cashplan.operators.numbering import numbered
+
 TOTAL = "Total"
+#: Columns of a block of the wide report.
+BLOCK_WIDTH = 1024
 
 
 def _date_slots(balances: DataFrame) -> DataFrame:
@@ -189,21 +193,56 @@ def wide_cells(balances: DataFrame, details: DataFrame, total_of: str = "columns
 
 
 def wide_report(
-    balances: DataFrame, details: DataFrame, total_of: str = "columns", columns: list[str] | None = None
+    balances: DataFrame,
+    details: DataFrame,
+    total_of: str = "columns",
+    columns: list[str] | None = None,
+    accounts: bool = True,
 ) -> DataFrame:
     """One row per date with the columns of :func:`wide_cells`, for a sink that needs them side by side.
 
     A wide schema must be known ahead: unless ``columns`` names them, a job looks the names up when this is
-    called, and the driver holds one name per column. Balances are doubles here.
+    called, and the driver holds one name per column. A cell of a column that ``columns`` does not name raises.
+    ``accounts=False`` leaves out the columns of single accounts. Balances are doubles here. A report with more columns
+    than a row should have is that of :func:`wide_blocks`.
     """
     cells = wide_cells(balances, details, total_of)
+    if not accounts:
+        cells = cells.where("Place > 0")
     if columns is None:
         places = cells.select("Column", "Place", "Seen").distinct().orderBy("Place", "Seen", "Column")
         columns = [row.Column for row in places.toLocalIterator()]
+    else:
+        unknown = F.raise_error(F.concat(F.lit("not among the columns of the wide report: "), F.col("Column")))
+        known = F.when(F.col("Column").isin(columns), F.col("Column")).otherwise(unknown)
+        cells = cells.withColumn("Column", known)
     exact = cells.withColumn("Balance", F.col("Balance").cast("double"))  # summed up already
     return exact.groupBy("Date").pivot("Column", columns).agg(F.sum("Balance"))
 
 
+def wide_directory(cells: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
+    """``Column``, ``Place`` and ``Seen`` of the wide report's columns, with the ``Block`` and the ``Slot`` (from 0) of each."""
+    columns = cells.select("Column", "Place", "Seen").distinct()
+    placed = numbered(columns, F.col("Place"), F.col("Seen"), F.col("Column"), name="_Index")
+    index = F.col("_Index") - 1
+    return placed.withColumns({"Block": F.floor(index / width), "Slot": (index % width).cast("int")}).drop("_Index")
+
+
+def wide_blocks(cells: DataFrame, directory: DataFrame) -> DataFrame:
+    """The wide report in blocks of columns: ``Date``, ``Block`` and ``Balances``, an array by ``Slot``, null where a column has
+    no cell on that date.
+
+    No column has a name in the schema, so the report may have any number of them: what a row holds is bounded by the
+    directory's width, and no name reaches the driver.
+    """
+    sizes = directory.groupBy("Block").agg(F.count(F.lit(1)).cast("int").alias("_Size"))
+    placed = cells.join(directory.select("Column", "Block", "Slot"), "Column")
+    rows = placed.groupBy("Date", "Block").agg(F.map_from_entries(F.collect_list(F.struct("Slot", "Balance"))).alias("_Cells"))
+    slots = F.sequence(F.lit(0), F.col("_Size") - 1)
+    balances = F.transform(slots, lambda slot: F.element_at(F.col("_Cells"), slot))
+    return rows.join(sizes, "Block").select("Date", "Block", balances.alias("Balances"))
+
+
 def current_balances(balances: DataFrame) -> DataFrame:
     """Each account's balance on its latest date; listed twice on it, the first row counts."""
     order = F.struct("Date", -F.col("Row_Id"))

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashplan.functions import cells
 from cashplan.functions.dates import expand, on_or_after, spread, with_calendar_parts
+from cashplan.operators.numbering import numbered
 from cashplan.schemas import BIWEEKLY, MONTHLY, ONCELY, YEARLY
 
 # The planner's calendar.
@@ -126,7 +127,16 @@ def planned_budget(
     return with_calendar_parts(due).select(*CALENDAR_COLUMNS, "Type", "Account_Name", *_VALIDITY, "Row_Id")
 
 
+def _plan_order() -> list[Column]:
+    kind = F.array_position(F.array(*map(F.lit, PLAN_KINDS)), F.col("Type"))
+    return [F.asc_nulls_last("Date"), F.desc_nulls_last("Amount"), kind, F.col("Row_Id")]
+
+
 def in_plan_order(plan: DataFrame) -> DataFrame:
     """By date, larger amounts first; equal ones by kind, then in the order of the rules."""
-    kind = F.array_position(F.array(*map(F.lit, PLAN_KINDS)), F.col("Type"))
-    return plan.orderBy(F.asc_nulls_last("Date"), F.desc_nulls_last("Amount"), kind, "Row_Id")
+    return plan.orderBy(*_plan_order())
+
+
+def with_plan_position(plan: DataFrame) -> DataFrame:
+    """The plan with each row's ``Position`` in the order of :func:`in_plan_order`, which survives storing."""
+    return numbered(plan, *_plan_order())

@@ -244,6 +244,40 @@ _WIDE_TOTALS = f"""SELECT * FROM (
   ON Col IN ('Total_automobile', 'Total_building', 'Total_furniture', 'Total_household', 'Total_machinery', 'Total')
   USING CAST(sum(Balance) AS DOUBLE) GROUP BY Date)"""
 
+_WIDE_BLOCKS = f"""{_WIDE_CELLS},
+directory AS (
+  SELECT Col, row_number() OVER (ORDER BY Place, Seen, Col) - 1 AS i FROM (SELECT DISTINCT Col, Place, Seen FROM wide))
+SELECT CAST(Date AS TIMESTAMP) AS Date, i // 1024 AS Block,
+  string_agg(CAST(CAST(Balance AS DECIMAL(28,2)) AS VARCHAR), ',' ORDER BY i) AS Balances
+FROM wide JOIN directory USING (Col) GROUP BY ALL"""
+
+# the kinds in the order of PLAN_KINDS
+_KIND_RANK = "CASE Type WHEN 'monthly' THEN 1 WHEN 'yearly' THEN 2 WHEN 'oncely' THEN 3 ELSE 4 END"
+
+_PUBLISHED = "\nUNION ALL ".join(
+    f"""SELECT '{name}' AS Section, Type, Account_Name, CAST(Amount AS DOUBLE) AS Amount FROM fx_schedule WHERE Type = '{kind}'"""
+    for name, kind in (
+        ("Monthly_Budgets", "monthly"),
+        ("Yearly_Budgets", "yearly"),
+        ("One_Time_Budgets", "oncely"),
+        ("Bi_Weekly_Budgets", "biweekly"),
+    )
+)
+
+_EXPORTS_READ = f"""WITH {_BANK}
+SELECT account_type, post_date, type, CAST(amount AS DOUBLE) AS amount,
+  CASE WHEN description LIKE '%3' THEN description || chr(10) || '"second" line, of two'
+    WHEN description LIKE '%44' THEN '"' || description || '"' || chr(10) || chr(10) ELSE description END AS description,
+  CASE WHEN amount > 0 THEN 'income' ELSE 'expense' END AS income_or_expense
+FROM fx_bank
+WHERE amount IS NULL OR NOT (account_type = 'checking' AND amount < 0 OR account_type = 'credit_card' AND amount > 0)"""
+
+_DATES_INFERRED = """
+SELECT o_orderkey AS Row_Id, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS Month_First,
+  CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS Day_First, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS Year_First,
+  CASE WHEN o_orderkey % 10 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS Month_Name
+FROM orders"""
+
 
 _BANK_CLASSIFIED = _sql(
     [_BANK],
@@ -293,6 +327,7 @@ FROM part""",
         ),
         "balances_wide": _WIDE,
         "balances_wide_totals": _WIDE_TOTALS,
+        "balances_wide_blocks": _WIDE_BLOCKS,
         "balances_by_sub_category": _sql(
             [
                 _BALANCES,
@@ -420,9 +455,17 @@ FROM (SELECT unnest(generate_series(min(CAST(o_orderdate AS DATE)), max(CAST(o_o
             _TO_PLAN, ("Type", "Account_Name", "Date", *_VALID), "FROM fortnights"
         ),
         "planned_budget": _sql(_TO_PLAN, _PLAN_COLUMNS, "FROM plan"),
+        "planned_budget_order": _sql(
+            _TO_PLAN,
+            _PLAN_COLUMNS,
+            f", row_number() OVER (ORDER BY Date, Amount DESC NULLS LAST, {_KIND_RANK}, Row_Id) AS Position FROM plan",
+        ),
         "planned_budget_window": _sql(
             _TO_PLAN, _PLAN_COLUMNS, "FROM plan WHERE Date BETWEEN DATE '2000-10-01' AND DATE '2000-10-31'"
         ),
+        "rules_published": f"WITH {_SCHEDULE}\n{_PUBLISHED}",
+        "typed_dates_inferred": _DATES_INFERRED,
+        "exports_read": _EXPORTS_READ,
         "bank_canonical": _BANK_CLASSIFIED,
         "bank_classified": _BANK_CLASSIFIED,
     }

@@ -4,17 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cashplan.functions import cells
+from cashplan.functions.date_formats import with_inferred_dates
 from cashplan.operators import balances, bank, budget, forecast, occurrences, typed
 from cashplan.plans import views
-from cashplan.schemas import BIWEEKLY, EVERY_X_DAYS, KINDS, MONTHLY, ONCELY, YEARLY
-from cashplan.session import written
-from cashplan.sources.bank_exports import parsed
+from cashplan.plans.publish import publish_rules
+from cashplan.schemas import (
+    BI_WEEKLY_BUDGETS,
+    BIWEEKLY,
+    EVERY_X_DAYS,
+    INCOME_EXPENSE,
+    KINDS,
+    MONTHLY,
+    MONTHLY_BUDGETS,
+    ONCELY,
+    ONE_TIME_BUDGETS,
+    YEARLY,
+    YEARLY_BUDGETS,
+)
+from cashplan.session import fresh_path, written
+from cashplan.sources.bank_exports import parsed, read_exports
+from cashplan.sources.tables import TableStore
 
 AS_OF = date(1999, 1, 1)
 OPENING_ACCOUNT = "acct_3"
@@ -140,9 +156,40 @@ SEGMENTS = ["automobile", "building", "furniture", "household", "machinery"]
 
 
 def _wide_totals(snapshots: DataFrame, details: DataFrame) -> DataFrame:
-    """The wide report's columns of known names: the test tables have five categories."""
+    """The wide report's totals, of known names: the test tables have five categories, and a sixth would raise."""
     names = [f"{balances.TOTAL}_{segment}" for segment in SEGMENTS]
-    return balances.wide_report(snapshots, details, columns=[*names, balances.TOTAL])
+    return balances.wide_report(snapshots, details, columns=[*names, balances.TOTAL], accounts=False)
+
+
+def _wide_blocks(snapshots: DataFrame, details: DataFrame) -> DataFrame:
+    """The blocks of the wide report, their balances as text."""
+    cells_laid = written(balances.wide_cells(snapshots, details))
+    blocks = balances.wide_blocks(cells_laid, balances.wide_directory(cells_laid))
+    shown = F.transform("Balances", lambda balance: balance.cast("decimal(28,2)").cast("string"))
+    return blocks.select("Date", "Block", F.array_join(shown, ",").alias("Balances"))
+
+
+def _exports_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Export files, written from the tables and read back; files have names of their own."""
+    folder = fresh_path(spark)
+    views.write_exports(spark, sf, folder)
+    return bank.classified(read_exports(spark, folder)).drop("file_name")
+
+
+def _rules_published(spark: SparkSession, sf: str) -> DataFrame:
+    """What the planner's job writes to a store, read back."""
+    store = TableStore(spark, fresh_path(spark))
+    store.write(views.income_expense(spark, sf), INCOME_EXPENSE)
+    publish_rules(store)
+    sections = (
+        store.read(name).select(F.lit(name).alias("Section"), "Type", "Account_Name", F.col("Amount").cast("double").alias("Amount"))
+        for name in (MONTHLY_BUDGETS, YEARLY_BUDGETS, ONE_TIME_BUDGETS, BI_WEEKLY_BUDGETS)
+    )
+    return reduce(DataFrame.unionByName, sections)
+
+
+def _dates_inferred(spark: SparkSession, sf: str) -> DataFrame:
+    return with_inferred_dates(views.dated_text(spark, sf), ["Month_First", "Day_First", "Year_First", "Month_Name"])
 
 
 _QUERIES: dict[str, Query] = {
@@ -156,6 +203,7 @@ _QUERIES: dict[str, Query] = {
     "balances_filled": _detailed(balances.filled_with_details),
     "balances_wide": _detailed(balances.wide_cells),
     "balances_wide_totals": _detailed(_wide_totals),
+    "balances_wide_blocks": _detailed(_wide_blocks),
     "balances_by_sub_category": _detailed(balances.by_sub_category),
     "current_balance": lambda s, sf: balances.current_balances(views.balances(s, sf)),
     "emergency_fund": lambda s, sf: occurrences.emergency_fund(views.schedule(s, sf)),
@@ -183,7 +231,11 @@ _QUERIES: dict[str, Query] = {
     "plan_rules_biweekly": _plan(budget.biweekly_rules),
     "plan_biweekly_occurrences": _plan(budget.biweekly_occurrences),
     "planned_budget": _plan(budget.planned_budget),
+    "planned_budget_order": _plan(lambda rules: budget.with_plan_position(budget.planned_budget(rules))),
     "planned_budget_window": _plan(lambda rules: budget.planned_budget(rules, *WINDOW)),
+    "rules_published": _rules_published,
+    "typed_dates_inferred": _dates_inferred,
+    "exports_read": _exports_read,
     "bank_canonical": lambda s, sf: bank.classified(
         parsed(views.bank_lines(s, sf), [views.CHECKING_HEADER, views.CARD_HEADER])
     ),

@@ -207,3 +207,35 @@ def bank_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         """CAST(CASE WHEN l_linenumber = 7 THEN NULL WHEN l_returnflag = 'R' THEN -l_extendedprice
                 WHEN l_discount = 0 THEN 0 ELSE l_extendedprice END AS DECIMAL(18,2)) AS amount""",
     )
+
+
+def write_exports(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The same transactions as export files of both shapes; some descriptions hold line breaks and quotes."""
+    rows = bank_transactions(spark, sf_dir).withColumn("description", F.expr(BROKEN_DESCRIPTION))
+    checking = rows.where("account_type = 'checking'").selectExpr(
+        "'DEBIT' AS Details", "post_date AS `Posting Date`", "description AS Description", "amount AS Amount", "type AS Type",
+        "'1.00' AS Balance", "'' AS `Check or Slip #`",
+    )
+    card = rows.where("account_type = 'credit_card'").selectExpr(
+        "post_date AS `Transaction Date`", "post_date AS `Post Date`", "description AS Description", "'Food' AS Category",
+        "type AS Type", "amount AS Amount", "'' AS Memo",
+    )
+    for shape in (checking, card):
+        as_is = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        shape.write.mode("append").options(header=True, quote='"', escape='"', **as_is).csv(folder)
+
+
+#: Descriptions as they stand in the export files.
+BROKEN_DESCRIPTION = """CASE WHEN description LIKE '%3' THEN concat(description, '\n', '"second" line, of two')
+  WHEN description LIKE '%44' THEN concat('"', description, '"\n\n') ELSE description END"""
+
+
+def dated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates of orders as four people would write them, some cells blank."""
+    return _table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS Row_Id",
+        "date_format(o_orderdate, 'MM/dd/yyyy') AS Month_First",
+        "date_format(o_orderdate, 'd.M.yyyy') AS Day_First",
+        "concat(' ', date_format(o_orderdate, 'yyyy/M/d')) AS Year_First",
+        "if(o_orderkey % 10 = 0, '', date_format(o_orderdate, 'd-MMM-yyyy')) AS Month_Name",
+    )

@@ -15,15 +15,27 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: the one that the cluster names in ``spark.checkpoint.dir``.
 
-    Where no folder is named it is one below ``spark.sql.warehouse.dir``, which executors share as well.
+    Where no folder is named it is one below ``spark.sql.warehouse.dir``; if that is on the driver's machine, and executors
+    are on others, this raises.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/cashplan-checkpoints")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not named and warehouse.startswith(("file:", "/")) and not sc.master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir is not set, and executors may not share {warehouse}")
+        sc.setCheckpointDir(named or f"{warehouse}/cashplan-checkpoints")
     return sc.getCheckpointDir()
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed with the job that asked for it."""
+    path = f"{checkpoint_dir(spark)}/cashplan-{uuid.uuid4().hex}"
+    if _jobs:
+        _jobs[-1].append(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: its rows stay put, and its lineage ends there.
 
@@ -31,10 +43,8 @@ def written(df: DataFrame) -> DataFrame:
     skip row groups by their statistics.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/cashplan-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
-    if _jobs:
-        _jobs[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

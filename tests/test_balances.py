@@ -169,3 +169,36 @@ def test_an_account_in_two_groups_counts_once_towards_the_total(spark):
     ]
     assert rows(bal.wide_report(df, kinds), "Total_k1", "Total_k2", "Total") == [(2.0, 4.0, 15.0)]
     assert rows(bal.wide_report(df, kinds, total_of="accounts"), "Total") == [(9.0,)]
+
+
+def test_columns_that_leave_cells_out_raise(spark):
+    df = balances(spark, *SNAPSHOTS)
+    kinds = details(spark, ("a", "cash", "s"), ("b", "debt", "s"))
+    with pytest.raises(Exception, match="not among the columns of the wide report: Total_debt"):
+        bal.wide_report(df, kinds, columns=["Total_cash", "Total"], accounts=False).collect()
+    totals = bal.wide_report(df, kinds, columns=["Total_debt", "Total_cash", "Total"], accounts=False)
+    assert rows(totals)[-1] == (D("2024-01-05"), 7.0, 5.0, 25.5)
+    assert bal.wide_report(df, kinds, accounts=False).columns == ["Date", "Total_cash", "Total_debt", "Total"]
+
+
+def test_blocks_hold_the_wide_report(spark):
+    df = balances(spark, *SNAPSHOTS)
+    kinds = details(spark, ("b", "debt", "s"), ("a", "cash", "s"), ("x", "unused", "s"), ("b", "cash", "s"))
+    cells = bal.wide_cells(df, kinds)
+    directory = bal.wide_directory(cells, width=4)
+    names = ["a", "b", "c", "Total_debt", "Total_cash", "Total"]
+    assert rows(directory, "Block", "Slot", "Column") == [(i // 4, i % 4, name) for i, name in enumerate(names)]
+    blocks = {(r.Date, r.Block): [float(x) for x in r.Balances] for r in bal.wide_blocks(cells, directory).collect()}
+    wide = {r.Date: [r[name] for name in names] for r in bal.wide_report(df, kinds).collect()}
+    assert blocks == {(day, block): values[4 * block : 4 * block + 4] for day, values in wide.items() for block in (0, 1)}
+
+
+def test_a_hundred_thousand_accounts(spark):
+    """More columns than a row should have: 98 blocks and no name in the schema."""
+    df = spark.range(100_000).selectExpr(
+        "id AS Row_Id", "DATE '2024-01-01' AS Date", "concat('a', id) AS Account_Name", "CAST(id AS DECIMAL(18,2)) AS Balance"
+    )
+    cells = bal.wide_cells(df, details(spark, ("a7", "cash", "s")))
+    blocks = bal.wide_blocks(cells, bal.wide_directory(cells))
+    sizes = [len(r.Balances) for r in blocks.select("Balances").collect()]
+    assert len(sizes) == 98 and sum(sizes) == 100_002 and max(sizes) == bal.BLOCK_WIDTH

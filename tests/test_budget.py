@@ -176,3 +176,15 @@ def test_plan_equals_asking_every_day(spark, drawn, first, length):
     days = [first + timedelta(days=i) for i in range(length + 1)]
     planned = [d for d in days if d >= pl.CALENDAR_START]
     assert got == sorted((f"n{i}", d) for i, r in enumerate(drawn) for d in planned if naive(r, d))
+
+
+def test_positions_are_those_of_the_order(spark):
+    rules = plan_schedule(
+        spark,
+        *({"Type": kind, "When": when, "Account_Name": f"{kind}{i}", "Amount": str(-i % 3)} for i in range(6) for kind, when in (("monthly", "5"), ("oncely", "1/5/2024"))),
+    )
+    plan = pl.planned_budget(rules, D("2024-01-01"), D("2024-03-31"))
+    columns = ["Date", "Amount", "Type", "Account_Name"]
+    want = [tuple(r) for r in pl.in_plan_order(plan).select(*columns).collect()]
+    placed = pl.with_plan_position(plan.repartition(5)).orderBy("Position").select("Position", *columns).collect()
+    assert [tuple(r)[1:] for r in placed] == want and [r.Position for r in placed] == list(range(1, len(want) + 1))

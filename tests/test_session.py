@@ -1,5 +1,7 @@
 from types import SimpleNamespace
 
+import pytest
+
 from cashplan import session
 from helpers import rows
 
@@ -35,3 +37,9 @@ def test_written_rows_come_back_typed(spark):
     back = session.written(df)
     assert back.dtypes == df.dtypes and rows(back) == rows(df)
     assert "cashplan-" in back.inputFiles()[0]
+
+
+def test_a_warehouse_on_the_drivers_machine_is_no_shared_folder():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(fake("spark://host:7077", "file:/home/warehouse"))
+    assert session.checkpoint_dir(fake("local[2]", "file:/home/warehouse")).startswith("file:/home/warehouse")

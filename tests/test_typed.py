@@ -3,6 +3,7 @@ from decimal import Decimal
 import pytest
 
 from cashplan import schemas
+from cashplan.functions import cells
 from cashplan.operators import occurrences, typed
 from helpers import D, income_expense, m, plan_schedule, rows, schedule, text_frame
 
@@ -95,3 +96,18 @@ def test_details_read_dates_leniently(spark):
         ("a", m(0), 0.04, None),
         ("b", m(7), 0.0, D("2003-01-02")),
     ]
+
+
+@pytest.mark.parametrize("cell", ["0.000000001", "1.123456789", "-3.0000000010", "1e-9", "12.5E-10"])
+def test_digits_beyond_the_eighth_raise(spark, cell):
+    df = spark.createDataFrame([(cell,)], "Balance string")
+    for read in (cells.exact_money, cells.money, cells.exact_money_or_zero, cells.money_or_zero):
+        with pytest.raises(Exception, match="Balance"):
+            df.select(read("Balance").alias("b")).collect()
+
+
+@pytest.mark.parametrize("cell, cents", [("1.10000000000", "1.10"), ("-2", "-2.00"), ("1.5e1", "15.00"), ("25E-2", "0.25"), (" 7.25 ", "7.25")])
+def test_zeros_beyond_the_last_digit_are_none(spark, cell, cents):
+    df = spark.createDataFrame([(cell,)], "Balance string")
+    row = df.select(cells.money("Balance").alias("m"), cells.exact_money("Balance").alias("e")).first()
+    assert str(row.m) == cents and row.e == row.m
