@@ -45,13 +45,18 @@ def new_name(df: DataFrame, wanted: str) -> str:
 
 
 class Cache(dict):
-    """A dict that works out what it lacks, and starts anew when it has grown to its limit."""
+    """A dict that works out what it lacks, and starts anew when it has grown to its limit.
 
-    def __init__(self, work_out, limit: int = 200_000):
+    Strings longer than ``longest`` are worked out each time, so that the limit bounds the bytes kept as well.
+    """
+
+    def __init__(self, work_out, limit: int = 200_000, longest: int = 1 << 62):
         super().__init__()
-        self.work_out, self.limit = work_out, limit
+        self.work_out, self.limit, self.longest = work_out, limit, longest
 
     def __missing__(self, key):
+        if isinstance(key, str) and len(key) > self.longest:
+            return self.work_out(key)
         if len(self) >= self.limit:
             self.clear()
         value = self[key] = self.work_out(key)

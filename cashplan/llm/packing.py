@@ -9,6 +9,7 @@ equal lengths does not meet one packer, and a task that is run again gives every
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashplan.llm.common import Cache, slices, texts
-from cashplan.llm.tokens import PIECES_KEPT, compiled
+from cashplan.llm.tokens import LONGEST_PIECE_KEPT, PIECES_KEPT, compiled, piece_of
 from cashplan.session import written
 
 CAPACITY = 1024
@@ -65,28 +66,44 @@ class Packer:
 
 @lru_cache(maxsize=1)
 def _ids(path: str) -> Cache:
-    """Ids of text pieces as bytes, by the tokenizer's library; worked out once for each piece."""
+    """Ids of text pieces as bytes, by the tokenizer's library; worked out once for each piece, named by its key."""
     tokenizer = compiled(path)
     shown = {byte: char for char, byte in tokenizer.byte_of.items()}
     tokenize = tokenizer.library.model.tokenize
 
-    def ids(piece: str) -> bytes:
-        found = tokenize(piece.encode().decode("latin-1").translate(shown))
-        return np.array([token.id for token in found], "<u4").tobytes()
+    def ids(key: int | str) -> bytes:
+        found = tokenize(piece_of(key).encode().decode("latin-1").translate(shown))
+        return array("I", [token.id for token in found]).tobytes()
 
-    return Cache(ids, PIECES_KEPT)
+    return Cache(ids, PIECES_KEPT, LONGEST_PIECE_KEPT)
 
 
-def token_ids(docs: list[str], path: str) -> list[bytes]:
+def _plain_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
+    """The ids of texts without special tokens: those of the distinct pieces, gathered in the order of all pieces."""
+    of = _ids(path).__getitem__
+    for distinct, pieces, stops in compiled(path).distinct_pieces(texts):
+        found = list(map(of, distinct))
+        table = np.frombuffer(b"".join(found), "<u4")
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        starts = np.cumsum(lengths) - lengths
+        of_piece = lengths[pieces]
+        after = np.cumsum(of_piece)
+        at = np.repeat(starts[pieces] - after + of_piece, of_piece)
+        at += np.arange(len(at))
+        flat = table[at]
+        after = np.concatenate([[0], after])[stops]
+        for start, stop in zip([0, *after.tolist()], after.tolist(), strict=False):
+            yield flat[start:stop]
+
+
+def token_ids(docs: list[str], path: str) -> list[np.ndarray]:
     """The ids of each text, as unsigned little-endian 32-bit numbers."""
-    tokenizer, of = compiled(path), _ids(path).__getitem__
-    parts = [tokenizer.parts(text) for text in docs]
-    pieces = tokenizer.pieces([x for some in parts for x in some if isinstance(x, str)])
+    parts = [compiled(path).parts(text) for text in docs]
+    plain = _plain_ids([x for some in parts for x in some if isinstance(x, str)], path)
     return [
-        b"".join(
-            np.array([x], "<u4").tobytes() if isinstance(x, int) else b"".join(map(of, next(pieces)))
-            for x in some
-        )
+        next(plain)
+        if len(some) == 1
+        else np.concatenate([np.array([x], "<u4") if isinstance(x, int) else next(plain) for x in some])
         for some in parts
     ]
 
@@ -99,16 +116,18 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _cutter(path: str, capacity: int, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             found = token_ids([text or "" for text in batch.column("text").to_pylist()], path)
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
-                ids += end
-                for piece, (start, stop) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((doc_id, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
+                for piece, (start, stop) in enumerate(cut(len(ids) + 1, capacity)):
+                    crc = zlib.crc32(ids[start:stop])
+                    if stop > len(ids):
+                        crc = zlib.crc32(end, crc)
+                    rows.append((doc_id, piece, start, stop - start, crc))
             doc, piece, start, length, crc = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [

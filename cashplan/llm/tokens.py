@@ -36,6 +36,9 @@ CHUNK = 256
 CHARS_AT_ONCE = 1 << 21
 TRANSITIONS_KEPT = 1_000_000
 PIECES_KEPT = 600_000
+LONGEST_PIECE_KEPT = 64
+#: Bytes of a piece that fit into a number of 64 bits beside their count.
+SHORT = 7
 _END_CODE = 0x110000
 
 
@@ -144,7 +147,7 @@ class Tokenizer:
         self.begins = {token[:n] for token in self.token_id for n in range(1, len(token) + 1)}
         self.whole = Cache(lambda token: self.merged(token) == [token], 100_000)
         self.apart = Cache(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], 500_000)
-        self.tokens_of = Cache(self.count_piece, PIECES_KEPT)
+        self.tokens_of = Cache(self.count_piece, PIECES_KEPT, LONGEST_PIECE_KEPT)
         self._forget()
 
     def _bytes(self, token: str) -> bytes:
@@ -203,19 +206,49 @@ class Tokenizer:
 
     def pieces(self, texts: list[str]) -> Iterator[list[str]]:
         """The pieces of each text, special tokens not looked for."""
-        group: list[str] = []
-        chars = 0
-        for text in texts:
-            group.append(text)
-            chars += len(text)
-            if chars >= CHARS_AT_ONCE:
-                yield from self._split(group)
-                group, chars = [], 0
-        yield from self._split(group)
-
-    def _split(self, texts: list[str]) -> Iterator[list[str]]:
-        if not texts:
-            return
+        for group in _groups(texts):
+            _, bounds, ends = self._bounds(group)
+            first = begin = 0
+            for text, end in zip(group, ends.tolist(), strict=True):
+                last_bound = int(np.searchsorted(bounds, end))
+                cuts = (bounds[first : last_bound + 1] - begin).tolist()
+                yield list(map(text.__getitem__, map(slice, cuts, cuts[1:])))
+                first, begin = last_bound + 1, end + 1
+
+    def distinct_pieces(self, texts: list[str]) -> Iterator[tuple[list[int | str], np.ndarray, np.ndarray]]:
+        """For groups of texts: their distinct pieces, which of them each piece is, and where each text's pieces end.
+
+        Pieces are cut out of one buffer and numbered by Arrow, so only the distinct ones become Python objects. One of up to
+        seven bytes is a number, which :func:`piece_of` turns back.
+        """
+        for group in _groups(texts):
+            codes, bounds, ends = self._bounds(group)
+            size = (codes >= 0x80).astype(np.int8)
+            size += codes >= 0x800
+            size += codes >= 0x10000
+            size += 1
+            size[ends] = 0
+            starts = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[bounds]
+            is_text = size[bounds] > 0  # the end of a text is a bound as well
+            stops = np.cumsum(is_text)[np.searchsorted(bounds, ends)]
+            data = "".join(group).encode()
+            starts = starts[is_text]
+            lengths = np.diff(starts, append=len(data))
+            eight = np.ndarray((len(data),), "<u8", data + bytes(8), strides=(1,))[starts]  # the bytes from each start on
+            short = lengths <= SHORT
+            kept = lengths[short].astype(np.uint64)
+            keys = (eight[short] & ((np.uint64(1) << (kept << np.uint64(3))) - np.uint64(1))) | (kept << np.uint64(56))
+            numbers = pa.array(keys).dictionary_encode()
+            offsets = np.append(starts, len(data))
+            all_ = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
+            strings = all_.filter(pa.array(~short)).dictionary_encode()
+            pieces = np.empty(len(starts), np.int32)
+            pieces[short] = numbers.indices
+            pieces[~short] = strings.indices.to_numpy() + len(numbers.dictionary)
+            yield numbers.dictionary.to_pylist() + strings.dictionary.to_pylist(), pieces, stops
+
+    def _bounds(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The code points of all texts, an end after each; where pieces (and ends) start; and where the ends are."""
         codes = np.concatenate(
             [part for text in texts for part in (np.frombuffer(text.encode("utf-32-le"), "<u4"), _END_ARRAY)]
         )
@@ -236,14 +269,7 @@ class Tokenizer:
             symbols[quotes[np.isin(one, _ENDINGS_1)]] = CONTRACTION_2
             pair = np.isin(one.astype(np.int64) << 32 | two, _ENDINGS_2)
             symbols[quotes[pair]] = CONTRACTION_3
-        bounds = np.flatnonzero(piece_starts(symbols))
-        first = 0
-        begin = 0
-        for text, end in zip(texts, ends.tolist(), strict=True):
-            last_bound = int(np.searchsorted(bounds, end))
-            cuts = (bounds[first : last_bound + 1] - begin).tolist()
-            yield list(map(text.__getitem__, map(slice, cuts, cuts[1:])))
-            first, begin = last_bound + 1, end + 1
+        return codes, np.flatnonzero(piece_starts(symbols)), ends
 
     def parts(self, text: str) -> list[str | int]:
         """A text cut at its special tokens: strings, and the ids of special tokens."""
@@ -267,6 +293,27 @@ class Tokenizer:
 
 
 _END_ARRAY = np.array([_END_CODE], "<u4")
+
+
+def piece_of(key: int | str) -> str:
+    """The piece that :meth:`Tokenizer.distinct_pieces` names so."""
+    return key if isinstance(key, str) else (key & (1 << 56) - 1).to_bytes(SHORT, "little")[: key >> 56].decode()
+
+
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in groups of some characters, so that few are numbers at a time."""
+    group: list[str] = []
+    chars = 0
+    for text in texts:
+        group.append(text)
+        chars += len(text)
+        if chars >= CHARS_AT_ONCE:
+            yield group
+            group, chars = [], 0
+    if group:
+        yield group
+
+
 # The endings that the splitter cuts off after an apostrophe.
 _ENDINGS_1 = [ord(c) for c in "stmd"]
 _ENDINGS_2 = [ord(a) << 32 | ord(b) for a, b in ("re", "ve", "ll")]

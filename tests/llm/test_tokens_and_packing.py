@@ -13,6 +13,7 @@ pytest.importorskip("public_tokenizers")
 HARD = [
     "", "<|endoftext|>", "a<|endoftext|><|endoftext|> b <|endoftext", "don't I'll we've 'tis 's 're 'r '", "x''re 'd'm",
     "a  b   c\n\n d\n\n", "　 x y", "x \t\n y", "!'s ''s", "é 🙂🙂 12³ ٣", "a" * 3000, " " * 300 + "x", "\n" * 77,
+    "\0", "a\0b\0\0", "abcdef abcdefg abcdefgh", "éééa éééé", "\0" * 7, "x" * 65 + " " + "x" * 65,
 ]
 
 
@@ -115,3 +116,18 @@ def test_packing_is_whole(compiled, make_docs, odd_docs, no_docs):
     odd = packing.packed(odd_docs, tokenizer_path()).collect()
     assert sum(r.doc_id == 1 for r in odd) == 2 and sum(r.length for r in odd if r.doc_id == 2) == 1
     assert packing.packed(no_docs, tokenizer_path()).count() == 0
+
+
+def test_distinct_pieces_are_the_pieces(compiled, monkeypatch):
+    monkeypatch.setattr(tokens, "CHARS_AT_ONCE", 40)
+    texts = [t for t in HARD if "<|endoftext|>" not in t] * 2
+    want, got = list(compiled.pieces(texts)), []
+    for keys, at, stops in compiled.distinct_pieces(texts):
+        assert len(set(keys)) == len(keys)
+        got += [[tokens.piece_of(keys[i]) for i in at[a:b]] for a, b in zip([0, *stops], stops)]
+    assert got == want
+
+
+def test_long_pieces_are_not_kept(compiled):
+    cache = packing.Cache(len, 10, 3)
+    assert [cache["ab"], cache["abcd"], cache["abc"]] == [2, 4, 3] and set(cache) == {"ab", "abc"}
