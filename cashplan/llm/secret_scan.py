@@ -52,6 +52,8 @@ MORE = (
 )
 RULES = BASE + MORE
 
+#: Steps from match to match that running sums take in a row.
+STEPS_AT_ONCE = 128
 _SPANS = "array<struct<start:int,stop:int>>"
 LEDGER = f"blob binary, findings array<struct<rule:string,version:int,spans:{_SPANS}>>"
 
@@ -101,27 +103,60 @@ def _scanned(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return out.select("blob", F.array_compact(F.array(*findings)).alias("findings"))
 
 
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it: a lambda's argument is a value, while a
+    column named within a lambda is worked out again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _spans(rule: Rule) -> Column:
+    """The spans of a rule's matches: places are running sums of the lengths of gaps and matches.
+
+    An array that grows by one element is copied each time, so sums run over chunks of steps first, and then within
+    each chunk.
+    """
     matches, gaps = F.col(f"match_{rule.name}"), F.col(f"gap_{rule.name}")
     kept = F.col(f"group_{rule.name}") if rule.group else matches
-    steps = F.transform(
-        matches,
-        lambda match, i: F.struct(
-            F.length(gaps[i]).alias("gap"),
-            F.length(match).alias("length"),
-            (F.length(kept[i]) >= rule.least).alias("keep"),
+    lengths = F.transform(
+        F.arrays_zip(matches.alias("match"), gaps.alias("gap"), kept.alias("kept")),
+        lambda step: F.struct(
+            F.length(step["gap"]).alias("gap"),
+            F.coalesce(F.length(step["match"]), F.lit(0)).alias("length"),
+            F.coalesce(F.length(step["kept"]) >= rule.least, F.lit(False)).alias("keep"),
         ),
-    )
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+    )  # what follows the last match is a gap too; it has no match and is not kept
+
+    def chunked(steps: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1)), F.lit(STEPS_AT_ONCE))
+        return F.transform(starts, lambda at: F.slice(steps, at, STEPS_AT_ONCE))
+
+    def length_of(chunk: Column) -> Column:
+        return F.aggregate(chunk, F.lit(0), lambda done, step: done + step["gap"] + step["length"])
+
+    def places(chunks: Column) -> Column:
+        """Where each chunk starts, and where the last one ends."""
+        zero = F.array(F.lit(0))
+        return F.aggregate(
+            F.transform(chunks, length_of), zero, lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n))
+        )
 
     def add(done: Column, step: Column) -> Column:
         start = done["at"] + step["gap"]
         stop = start + step["length"]
-        span = F.struct(start.alias("start"), stop.alias("stop"))
-        spans = F.when(step["keep"], F.concat(done["spans"], F.array(span))).otherwise(done["spans"])
+        span = F.array(F.struct(start.alias("start"), stop.alias("stop")))
+        spans = F.when(step["keep"], F.concat(done["spans"], span)).otherwise(done["spans"])
         return F.struct(stop.alias("at"), spans.alias("spans"))
 
-    return F.aggregate(steps, empty, add, lambda done: done["spans"])
+    def spans_of(placed: Column) -> Column:
+        empty = F.struct(placed["at"].alias("at"), F.array().cast(_SPANS).alias("spans"))
+        return F.when(placed["chunk"].isNull(), F.array().cast(_SPANS)).otherwise(
+            F.aggregate(placed["chunk"], empty, add, lambda done: done["spans"])
+        )
+
+    def of_chunks(chunks: Column) -> Column:
+        return F.flatten(F.transform(F.arrays_zip(chunks.alias("chunk"), places(chunks).alias("at")), spans_of))
+
+    return _with(lengths, lambda steps: _with(chunked(steps), of_chunks))
 
 
 def new_findings(
@@ -129,16 +164,14 @@ def new_findings(
 ) -> DataFrame:
     """Ledger rows for the (blob, rule, rule version) pairs of ``versions`` (``text``) that ``ledger`` lacks.
 
-    A null text is the empty blob. A text that many rows share is moved once per task and scanned once.
+    A null text is the empty blob. A text that many rows share is moved once per task and scanned once. With a ledger, only
+    hashes are compared with it; then the texts of the blobs that are due are moved, and no others where the list of these is
+    small enough for Spark to broadcast it.
     """
     keys = F.array(*(F.lit(rule.key) for rule in rules))
-    blobs = (
-        versions.select(_text().alias("text"))
-        .withColumn("blob", _blob(F.col("text")))
-        .groupBy("blob")
-        .agg(F.first("text").alias("text"))
-    )
+    addressed = versions.select(_text().alias("text")).withColumn("blob", _blob(F.col("text")))
     if ledger is None:
+        blobs = addressed.groupBy("blob").agg(F.first("text").alias("text"))
         return _scanned(blobs.withColumn("due", keys), rules)
     known = (
         ledger.select("blob", F.explode("findings").alias("found"))
@@ -146,8 +179,10 @@ def new_findings(
         .agg(F.collect_set(F.concat_ws(":", "found.rule", F.col("found.version").cast("string"))).alias("known"))
     )
     missing = F.array_except(keys, F.coalesce("known", F.array().cast("array<string>")))
-    due = blobs.join(known, "blob", "left").withColumn("due", missing).drop("known")
-    return _scanned(due.where(F.size("due") > 0), rules)
+    hashes = addressed.select("blob").distinct().join(known, "blob", "left").select("blob", missing.alias("due"))
+    due = written(hashes.where(F.size("due") > 0))
+    blobs = addressed.join(due.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+    return _scanned(blobs.join(due, "blob"), rules)
 
 
 def _is_of(rule: Rule):
@@ -168,7 +203,7 @@ def by_path(
         ledger.select("blob", F.filter("findings", is_current).alias("findings"))
         .where(F.size("findings") > 0)
         .groupBy("blob")
-        .agg(F.flatten(F.collect_list("findings")).alias("findings"))
+        .agg(F.array_distinct(F.flatten(F.collect_list("findings"))).alias("findings"))  # two writers may have found the same
     )
     order = F.create_map(*(x for i, rule in enumerate(rules) for x in (F.lit(rule.name), F.lit(i))))
     base = F.array(*(F.lit(rule.name) for rule in BASE))
@@ -226,7 +261,8 @@ def scan(versions: DataFrame, ledger_path: str | None = None, rules: tuple[Rule,
 
     Reads ``doc_id`` and ``text`` only. With ``ledger_path`` the ledger in that folder is read, if there is one, and
     added to; without, the scan starts with an empty ledger, kept in the shared folder for this scan. A null text is empty;
-    repeated rows each come back; ids may be null; an empty table gives an empty one. Places count code points.
+    repeated rows each come back; ids may be null; an empty table gives an empty one. Texts of any length are scanned whole, in
+    time that grows with their length and their matches. Places count code points.
     """
     versions = versions.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if ledger_path is None:

@@ -1,10 +1,14 @@
 """Secrets, personal data and benchmark windows."""
 
 import hashlib
+import math
 import random
 import re
+import time
 from datetime import date
 
+import pytest
+
 from cashplan.llm import decontamination, pii, secret_scan
 
 RULES = [
@@ -62,6 +66,38 @@ def test_the_ledger_grows_by_what_is_unseen(spark, make_docs, tmp_path):
     assert sorted(rules) == sorted([["access", "assign", "hex"]] * 2 + [["jwt", "pem"]] * 2 + [["access", "assign", "hex", "jwt", "pem"]])
 
 
+def test_two_writers_of_one_ledger_count_once(spark, make_docs, tmp_path):
+    path = str(tmp_path / "ledger")
+    docs = make_docs([(1, "token=abcdefghijklmnop"), (2, "plain")])
+    for _ in range(2):  # neither saw the other's rows
+        secret_scan.new_findings(docs).write.mode("append").parquet(path)
+    rows = secret_scan.scan(docs, path).orderBy("doc_id").collect()
+    assert [(r.n_assign, r.spans) for r in rows] == [(1, "assign:0:22"), (0, "")]
+    assert secret_scan.read_ledger(spark, path).count() == 4
+
+
+def test_what_the_ledger_has_is_not_moved(spark, make_docs, tmp_path):
+    """With all blobs known, texts meet a broadcast list of none of them where they are read."""
+    path = str(tmp_path / "ledger")
+    docs = make_docs([(i, f"text {i}") for i in range(20)])
+    secret_scan.new_findings(docs).write.parquet(path)
+    fresh = secret_scan.new_findings(docs, secret_scan.read_ledger(spark, path))
+    assert fresh.count() == 0
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_secret_scan_of_many_matches(make_docs):
+    """A checksum list of 1 MB; what it takes grows with its length."""
+    lines = [f"{i:020x}" + (" token=" + "k" * 12 if i % 3 == 0 else "") for i in range(40_000)]
+    text = "\n".join(lines)
+    want = plain_spans(text)
+    started = time.perf_counter()
+    row = secret_scan.scan(make_docs([(1, text)])).first()
+    assert time.perf_counter() - started < 60
+    assert row.spans.split(",") == want and (row.n_hex, row.n_assign) == (40_000, 13_334)
+
+
 def test_secret_scan_is_native_and_takes_odd_rows(odd_docs, no_docs):
     rows = secret_scan.scan(odd_docs).collect()
     assert len(rows) == 8 and all(r.spans == "" for r in rows)
@@ -110,6 +146,68 @@ def test_pseudonyms_keep_format_and_validity():
                 ) or kind == "date"
 
 
+@pytest.mark.parametrize("n", [64, 65, 110, 112, 1000, 100_000])
+def test_names_of_any_length(n):
+    rng = random.Random(n)
+    name = "".join(rng.choices("abcXYZ019_", k=n))
+    there, back = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, undo=True)
+    text = f"to {name}@x.org, {name[:-1]}@x.org"
+    fresh, counts = there.replace(text)
+    assert counts["email"] == 2 and back.replace(fresh)[0] == text and there.replace(text)[0] == fresh
+    form = str.maketrans("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
+    assert fresh.translate(form) == text.translate(form)
+    # the last sign changes the first ones
+    other = there.replace(f"{name[:-1]}{'q' if name[-1] != 'q' else 'r'}@x.org")[0]
+    assert n == 64 or other[:20] != fresh[3:23]
+
+
+def test_long_names_are_one_to_one(monkeypatch):
+    """All names of a short format, in blocks of two signs."""
+    monkeypatch.setattr(pii, "SIGNS_AT_ONCE", 2)
+    there = pii.Pseudonyms(KEY)
+    names = [f"{i:04d}" for i in range(10_000)]
+    found = [there._signs("t", name) for name in names]
+    assert sorted(found) == names and found != names
+
+
+def plain_feistel(key, tweak, n, x):
+    """The permutation by its definition: digits to a base of about the root of n, added to in turn by keyed digests."""
+    base = math.isqrt(n - 1) + 1
+    other = -(-n // base)
+    secret = hashlib.blake2b(tweak.encode(), key=hashlib.blake2b(key, digest_size=32).digest()).digest()
+
+    def f(i, half, size):
+        return int.from_bytes(hashlib.blake2b(half.to_bytes(32, "big") + bytes([i]), key=secret, digest_size=32).digest(), "big") % size
+
+    while True:
+        a, b = x // other, x % other
+        for i in range(10):
+            a, b = (a, (b + f(i, a, other)) % other) if i % 2 else ((a + f(i, b, base)) % base, b)
+        x = a * other + b
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
+def test_permutations_against_a_plain_feistel_network(n):
+    table = [plain_feistel(KEY, "t", n, x) for x in range(n)]
+    assert sorted(table) == list(range(n)) and [pii.Permutation(KEY, "t", n)(x) for x in range(n)] == table
+
+
+def test_report_of_numbers_against_plain_pseudonyms(make_docs):
+    """Social security and telephone numbers of a report, by brute force."""
+    rows = [(i, f"{100 + i}-{10 + i}-{1000 + i} or ({200 + i}) 555-{1000 + i}") for i in range(40)]
+    for row in pii.report(make_docs(rows), KEY).collect():
+        i, x = row.doc_id, int(f"{100 + row.doc_id}{10 + row.doc_id}{1000 + row.doc_id}")
+        while True:
+            x = plain_feistel(KEY, "ssn", 10**9, x)
+            if x // 10**6 not in (0, 666) and x // 10**6 < 900 and x // 10**4 % 100 and x % 10**4:
+                break
+        y = f"{plain_feistel(KEY, 'phone ', 10**10, int(f'{200 + i}555{1000 + i}')):010d}"
+        assert row.text == f"{x // 10**6:03d}-{x // 10**4 % 100:02d}-{x % 10**4:04d} or ({y[:3]}) {y[3:6]}-{y[6:]}"
+        assert (row.n_ssn, row.n_phone) == (1, 1)
+
+
 def test_dates_stay_one_to_one():
     p = pii.Pseudonyms(KEY)
     days = [date(2001, m, d) for m in range(1, 13) for d in range(1, 29)]
