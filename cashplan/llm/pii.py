@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from cashplan.llm.common import slices, texts
 
 ROUNDS = 10
+#: Signs that are permuted as one number; their halves fit into the 32 bytes that a round hashes.
+SIGNS_AT_ONCE = 64
 KINDS = ("email", "iban", "card", "date", "ssn", "ip", "phone")
 
 _PATTERN = re.compile(
@@ -84,14 +86,34 @@ class Pseudonyms:
         return self.permutation(tweak, n)(x, self.undo, allowed)
 
     def _signs(self, tweak: str, text: str) -> str:
-        """Letters and digits permuted among those of their kind, all places at once; other signs stay."""
+        """Letters and digits permuted among those of their kind, all places at once; other signs stay.
+
+        A text of more than ``SIGNS_AT_ONCE`` signs is permuted in blocks: the first one under a digest of the rest, each other one
+        under a digest of that outcome, then the first one once more under a digest of the others' outcome. Every place
+        depends on all others, and the work grows with the length.
+        """
+        if len(text) <= SIGNS_AT_ONCE:
+            return self._block(tweak, text)
+        first, rest = text[:SIGNS_AT_ONCE], text[SIGNS_AT_ONCE:]
+        tweak = f"{tweak} {len(text)}"
+        first = self._block(f"{tweak} first {_digest(rest)}", first, keep=False)
+        of_first = _digest(first)
+        rest = "".join(
+            self._block(f"{tweak} {at} {of_first}", rest[at : at + SIGNS_AT_ONCE], keep=False)
+            for at in range(0, len(rest), SIGNS_AT_ONCE)
+        )
+        return self._block(f"{tweak} first {_digest(rest)}", first, keep=False) + rest
+
+    def _block(self, tweak: str, text: str, keep: bool = True) -> str:
+        """A few signs as one number, permuted. Permutations of tweaks that come but once are not kept."""
         signs = [next((s for s in _SIGNS if c in s), c) for c in text]
         n = prod(map(len, signs))
         x = 0
         for c, s in zip(text, signs, strict=True):
             x = x * len(s) + s.index(c)
-        form = "".join(s[0] for s in signs)
-        x, out = self._number(f"{tweak} {form}", x, n), []
+        tweak = f"{tweak} {''.join(s[0] for s in signs)}"
+        x = self._number(tweak, x, n) if keep else Permutation(self.key, tweak, n)(x, self.undo)
+        out = []
         for s in reversed(signs):
             x, at = divmod(x, len(s))
             out.append(s[at])
@@ -171,6 +193,10 @@ class Pseudonyms:
         return (text and _PATTERN.sub(pseudonym, text)), counts
 
 
+def _digest(text: str) -> str:
+    return blake2b(text.encode(), digest_size=32).hexdigest()
+
+
 def _fill(form: str, signs: str, is_place: Callable[[str], bool] = str.isdigit) -> str:
     """The signs in the places of a form, what else it has in between."""
     rest = iter(signs)
@@ -235,7 +261,7 @@ def report(docs: DataFrame, key: bytes) -> DataFrame:
     """One row per document: ``doc_id``, ``text`` with pseudonyms, and ``n_<kind>`` for what was replaced.
 
     Reads ``doc_id`` and ``text`` only. Null texts stay null and empty ones empty. Repeated rows each come back, ids may be
-    null, an empty table gives an empty one. Candidates that are not valid (a card number with a wrong check digit,
+    null, an empty table gives an empty one. Texts, and names in them, may be of any length. Candidates that are not valid (a card number with a wrong check digit,
     the 31st of February) stay as they are. There is no shuffle and no table of pseudonyms: a value's pseudonym follows
     from the key.
     """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,9 @@ from cashplan.llm import (
 from cashplan.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
-KEY = b"a key that a deployment would take from its secret store"
+#: For tests and trials only: whoever has it can undo the pseudonyms. A deployment sets ``PII_KEY``.
+TEST_KEY = b"a key that a deployment would take from its secret store"
+PII_KEY = "spark.cashplan.pii.key"
 QUERY_EVERY = 50
 
 
@@ -35,6 +38,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The key of the pseudonyms, from the session's setting ``PII_KEY``; unset, the test key, with a warning."""
+    named = spark.conf.get(PII_KEY, None)
+    if not named:
+        warnings.warn(f"{PII_KEY} is not set: pseudonyms by the test key can be undone by anyone", stacklevel=2)
+    return named.encode() if named else TEST_KEY
+
+
 def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,7 +64,7 @@ def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"), KEY)
+    return pii.report(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from cashplan.llm import pii, quality
-from cashplan.llm.queries import KEY
+from cashplan.llm.queries import TEST_KEY
 from test_scans import plain_hits
 from test_simhash import plain_fingerprint, roots
 from test_tokens_and_packing import packed_rows
@@ -65,7 +65,7 @@ def test_stages_against_plain_python(spark, corpus):
     single = {i: text for i, text in good if least[root[prints[text]]] == i}
     hits = {i: plain_hits(text, benchmark) for i, text in single.items()}
     clean = {i: text for i, text in single.items() if not (hits[i][1] and 20 * hits[i][1] >= hits[i][0])}
-    fresh = {i: pii.Pseudonyms(KEY).replace(text)[0] for i, text in clean.items()}
+    fresh = {i: pii.Pseudonyms(TEST_KEY).replace(text)[0] for i, text in clean.items()}
     wants = [good, list(single.items()), list(clean.items()), list(fresh.items())]
 
     for (_, stage), want in zip(corpus_pipeline.STAGES[:4], wants, strict=True):
