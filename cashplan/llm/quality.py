@@ -28,6 +28,9 @@ TOKENS_KEPT = 400_000
 #: The bound of what is learnt from: labelled documents of each label.
 PER_LABEL = 600
 FOLDS, HELD_OUT = 3, 1
+LONGEST_TOKEN_KEPT = 64
+#: Cosines that agree to this many digits are equal, however many documents are multiplied at once.
+COSINE_DIGITS = 5
 _SIGNS = ".,;:!?|*&%$#@+-=_/\\<>[]{}\"'()"
 _RUNS = (
     (re.compile(r"[^\W\d_]+"), lambda run: "A" if run[0].isupper() else "a"),
@@ -54,7 +57,7 @@ def _of_token(token: str) -> int:
         start, _, stop = token.partition(bare)
         shape = f"{start[:2]}{'A' if bare.isupper() else 'a'}{stop[:2]}"
     else:
-        shape = _shape(token[:64])
+        shape = _shape(token)
     bare = bare.lower()
     word = f"word {bare}" if len(bare) <= 4 else f"end {bare[-3:]}"
     return _slot(f"shape {shape}") * FEATURES + _slot(word)
@@ -64,7 +67,7 @@ class Reader:
     """Texts to features; what tokens come to is kept."""
 
     def __init__(self):
-        self.slots = Cache(_of_token, TOKENS_KEPT)
+        self.slots = Cache(_of_token, TOKENS_KEPT, LONGEST_TOKEN_KEPT)
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Slots and how often each occurs."""
@@ -107,15 +110,19 @@ class Model:
         return (found / (np.linalg.norm(found) or 1.0)).astype(np.float32)
 
     def scores(self, features: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The labels of the nearest labelled vectors, weighted by cosine."""
+        """The labels of the nearest labelled vectors, weighted by cosine; those that tie for the last places share them."""
         if not len(self.labels) or not features:
             return np.full(len(features), self.prior)
-        cosine = np.array([self.vector(*x) for x in features]) @ self.vectors.T
+        cosine = np.round(np.array([self.vector(*x) for x in features]) @ self.vectors.T, COSINE_DIGITS)
         n = min(NEIGHBOURS, len(self.labels))
-        nearest = np.argpartition(-cosine, n - 1, axis=1)[:, :n]
-        weight = np.maximum(np.take_along_axis(cosine, nearest, axis=1), 0).astype(float) ** 4
-        total = weight.sum(axis=1)
-        voted = (weight * self.labels[nearest]).sum(axis=1) / np.where(total > 0, total, 1)
+        last = np.partition(cosine, len(self.labels) - n, axis=1)[:, [len(self.labels) - n]]
+        row, near = np.nonzero(cosine >= last)
+        weight = np.maximum(cosine[row, near], 0).astype(float) ** 4
+        ties = cosine[row, near] == last[row, 0]
+        tied = np.bincount(row[ties], minlength=len(cosine))
+        weight[ties] *= ((n - np.bincount(row[~ties], minlength=len(cosine))) / tied)[row[ties]]
+        total = np.bincount(row, weight, len(cosine))
+        voted = np.bincount(row, weight * self.labels[near], len(cosine)) / np.where(total > 0, total, 1)
         return np.clip(np.where(total > 0, voted, self.prior), 0.0, 1.0)
 
 
@@ -167,6 +174,11 @@ def learnable(labels: DataFrame, label: str, per_label: int) -> DataFrame:
     return one.where(hash01("doc_id") < share).orderBy(hash01("doc_id"), "doc_id").limit(4 * per_label)
 
 
+def one_text_each(docs: DataFrame, *others: str) -> DataFrame:
+    """Of rows that share a ``doc_id`` one text, the same one in every run; ``others`` must be alike in these rows."""
+    return docs.groupBy("doc_id", *others).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def decompose(
     sample: list[tuple[int, np.ndarray, np.ndarray]], weight: np.ndarray, directions: int = DIRECTIONS
 ) -> Model:
@@ -196,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
     for slot, many in seen.items():
         weight[slot] = np.log((n + 1.0) / (many + 1.0)) + 1
     picked = learnable(labels, label, per_label)
-    sample = docs.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sample = one_text_each(docs.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi"))
     of = {row.doc_id: row.label for row in picked.collect()}
     rows = {0: [], 1: []}
     found = sample.mapInArrow(_counted, "doc_id long, slots binary, counts binary").collect()
@@ -213,8 +225,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on).
 
     Scores read the text alone. A null or empty text, one unlike any labelled document, and a model without labels give
-    the share of label 1 in what was learnt from (0.5 without labels). Repeated rows each come back, ids may be null
-    (not held out), an empty table gives an empty one. There is no shuffle.
+    the share of label 1 in what was learnt from (0.5 without labels). Labelled texts at one cosine (to five digits) that tie
+    for the last places among the nearest share these, whatever their order. Repeated rows each come back, ids may be null
+    (not held out), an empty table gives an empty one. Texts and tokens of any length are read whole. There is no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
