@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashplan.llm.common import Cache, id_crc32, slices, texts
-from cashplan.llm.quality import FOLDS, HELD_OUT, learnable
+from cashplan.llm.quality import FOLDS, HELD_OUT, learnable, one_text_each
 from cashplan.session import written
 
 #: The chain's categories in order, with the words of the weak labels; the last one is the label.
@@ -36,11 +37,14 @@ LEAST_CHI_SQUARE = 12.0
 INNER_FOLDS = 3
 PENALTY = 1e-4
 PREFIXES = (4, 5, 6, 7, 8)
+LONGEST_WORD = 24
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def features_of(word: str) -> tuple[str, ...]:
-    return (word[:24], *(f"{word[:n]}-" for n in PREFIXES if len(word) > n))
+    """The word (a long one by its digest) and its beginnings."""
+    whole = word if len(word) <= LONGEST_WORD else f"{word[:LONGEST_WORD]}:{blake2b(word.encode(), digest_size=16).hexdigest()}"
+    return (whole, *(f"{word[:n]}-" for n in PREFIXES if len(word) > n))
 
 
 def words(text: str | None) -> set[str]:
@@ -78,7 +82,7 @@ class Chain:
     weights: list[np.ndarray] = field(default_factory=list)
 
     def columns(self) -> Cache:
-        return Cache(lambda word: [self.column[f] for f in features_of(word) if f in self.column])
+        return Cache(lambda word: [self.column[f] for f in features_of(word) if f in self.column], longest=64)
 
     def rows(self, documents: list[set[str]], columns: Cache) -> np.ndarray:
         out = np.zeros((len(documents), len(self.column)))
@@ -157,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     Features are counted and chosen by Spark; the driver gets the chosen ones, and which of them each document has.
     """
     picked = learnable(labels, label, per_label)
-    of_sample = texts(docs).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    of_sample = one_text_each(texts(docs).join(F.broadcast(picked), "doc_id"), "label")
     sample = written(
         of_sample.select("doc_id", "label", "text").mapInArrow(
             _features, "doc_id long, label int, weak array<boolean>, features array<string>"
@@ -179,7 +183,8 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, a probability ``p_<category>`` each and ``toxic`` (last one >= 0.5).
 
     Reads ``doc_id`` and ``text`` only. A null or empty text has the models' base rates; a chain that had one label only
-    gives zeros. Repeated rows each come back, ids may be null, an empty table gives an empty one. There is no shuffle.
+    gives zeros. Texts and words of any length are read whole; texts with the same words tie in all probabilities. Repeated rows
+    each come back, ids may be null, an empty table gives an empty one. There is no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{category}" for category in chain.categories]

@@ -112,6 +112,33 @@ def test_quality_votes_are_those_of_the_nearest(labelled):
     assert model.scores([reader.counts(text)])[0] == pytest.approx((weight * model.labels[nearest]).sum() / weight.sum(), abs=1e-4)
 
 
+def test_votes_of_ties_do_not_depend_on_the_order():
+    """Forty labelled vectors at one cosine, half of them with label 1."""
+    vectors = np.tile(np.array([[0.6, 0.8]], np.float32), (40, 1))
+    labels = np.repeat([1.0, 0.0], 20)
+    for order in (slice(None), slice(None, None, -1)):
+        model = quality.Model(np.ones(quality.FEATURES), np.eye(quality.FEATURES, 2, dtype=np.float32), vectors[order], labels[order], 0.5)
+        assert model.scores([(np.array([0, 1]), np.array([3.0, 1.0]))])[0] == pytest.approx(0.5)
+    # one nearer vector, and the places that it leaves are shared by the others
+    vectors[7] = [1.0, 0.0]
+    model = quality.Model(np.ones(quality.FEATURES), np.eye(quality.FEATURES, 2, dtype=np.float32), vectors, labels, 0.5)
+    others = (quality.NEIGHBOURS - 1) * 0.6**4
+    want = (1 + others * 19 / 39) / (1 + others)
+    assert model.scores([(np.array([0]), np.array([1.0]))])[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_long_tokens_and_words_are_read_to_their_end():
+    assert quality._of_token("a1" * 40 + "b") != quality._of_token("a1" * 40 + "!b")
+    one, two = "x" * 24 + "yes", "x" * 24 + "no"
+    assert toxicity.features_of(one)[0] != toxicity.features_of(two)[0] and toxicity.features_of(one[:24])[0] == one[:24]
+
+
+def test_a_rerun_learns_the_same_of_rows_that_share_an_id(spark, make_docs):
+    docs = make_docs([(1, "b"), (1, "a"), (1, None), (2, "c")])
+    first = sorted(map(tuple, quality.one_text_each(docs.repartition(3)).collect()))
+    assert first == sorted(map(tuple, quality.one_text_each(docs.orderBy("text").coalesce(1)).collect())) and len(first) == 2
+
+
 def test_toxicity_on_what_is_held_out(labelled, odd_docs, no_docs):
     docs, labels = labelled
     chain = toxicity.fit(docs, labels)
