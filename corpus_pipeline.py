@@ -1,6 +1,7 @@
 """A training corpus from raw documents: good ones, one of each group of near-duplicates, clean, pseudonymous, packed.
 
-Each stage takes what the one before it kept. The first four return the columns of ``documents``, the last one the packed
+Each stage takes what the one before it kept. Null and empty texts, repeated rows, null ids and columns named as results are
+taken as the stages' operators say; an empty table gives an empty one. The first four return the columns of ``documents``, the last one the packed
 pieces. Each stage's result is written to the shared folder and read again, so that a lost executor costs no more than
 its stage.
 """
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cashplan.llm import decontamination, packing, pii, quality, simhash
 from cashplan.llm.common import table
-from cashplan.llm.queries import KEY, tokenizer_path
+from cashplan.llm.queries import pii_key, tokenizer_path
 from cashplan.session import written
 
 
@@ -33,7 +34,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gets pseudonyms; ``n_chars`` follows the text."""
-    changed = pii.pseudonymized(docs, KEY)
+    changed = pii.pseudonymized(docs, pii_key(spark))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return changed
