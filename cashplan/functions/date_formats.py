@@ -6,6 +6,7 @@ formats left. Distinct cells are found with a partial aggregate, so a table is p
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,9 +33,26 @@ class DateFormatError(ValueError):
     """A column's cells agree on no format, or on several that read them differently."""
 
 
+# What the letters of a format stand for in a cell.
+_FIELDS = {"yyyy": r"\d{4}", "MMM": r"[A-Za-z]{3}", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
+
+
+def shape(form: str) -> str:
+    """A pattern of the cells that a format may read."""
+    return "^" + re.sub(r"[A-Za-z]+|[^A-Za-z]", lambda part: _fields(part[0]) if part[0].isalpha() else re.escape(part[0]), form) + "$"
+
+
+def _fields(letters: str) -> str:
+    return "".join(_FIELDS[run[0]] for run in re.finditer(r"(.)\1*", letters))
+
+
 def bits(cell: Column, formats: tuple[str, ...] = FORMATS) -> Column:
-    """A number with bit i set if format i reads the cell."""
-    reads = (F.when(F.try_to_date(cell, form).isNotNull(), 1 << i).otherwise(0) for i, form in enumerate(formats))
+    """A number with bit i set if format i reads the cell. The parser is asked only where the shape is right, as its refusals
+    are dear."""
+    reads = (
+        F.when(cell.rlike(shape(form)) & F.try_to_date(cell, form).isNotNull(), 1 << i).otherwise(0)
+        for i, form in enumerate(formats)
+    )
     return reduce(Column.bitwiseOR, reads)
 
 

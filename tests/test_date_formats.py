@@ -49,3 +49,8 @@ def test_every_format_reads_what_it_writes(spark):
     for i, form in enumerate(date_formats.FORMATS):
         shown = day.selectExpr(f'date_format(d, "{form}") AS Date')
         assert shown.select(date_formats.bits(shown.Date).alias("b")).first().b >> i & 1
+
+
+def test_shapes_of_formats():
+    assert date_formats.shape("yyyyMMdd") == r"^\d{4}\d{2}\d{2}$"
+    assert date_formats.shape("d.M.yyyy") == r"^\d{1,2}\.\d{1,2}\.\d{4}$"
