@@ -4,7 +4,7 @@ A line break belongs to a cell if the quotes before it in its file are odd in nu
 two). So a first scan counts, for each split, its lines with an odd number of quotes. A running sum over the splits of a
 file, one row each, tells which splits start within quotes, and which line of which earlier split opened them. In the
 second scan lines of splits without such quotes are records as they stand; only in the others, lines are looked at in
-order, and only lines of records that go over several of them are moved to be joined.
+order, laid out once with the place that their record starts at, and lines of one record are joined.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def records(spark: SparkSession, folder: str, pattern: str = "*.csv", multiline:
         broken = states.where("odd > 0 OR inside = 1")
         if not broken.isEmpty():
             plain = all_lines.join(broken, _SPLIT, "left_anti")
-            found = _in_broken_splits(all_lines, broken)
+            found = written(_in_broken_splits(all_lines, broken).select("value", *columns, "at", "home", "home_at", "alone"))
             parts.append(found.where("alone").select("value", *columns, "at"))
             of_one = F.sort_array(F.collect_list(F.struct("start", "at", "value")))
             joined = (
