@@ -349,6 +349,15 @@ FROM part""",
             ("Account_Name", "Date", "Balance"),
             "FROM latest",
         ),
+        "balances_as_of": f"""WITH {_BALANCES},
+asked AS (
+  SELECT o_orderkey AS Question, 'acct_' || CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE o_orderkey % 200 END AS Account_Name,
+    DATE '2023-12-30' + CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) % 40 AS INTEGER) AS Date
+  FROM orders)
+SELECT Question, a.Account_Name, CAST(a.Date AS TIMESTAMP) AS Date, CAST(max(b.Date) AS TIMESTAMP) AS Balance_Date,
+  CAST(max_by(Balance, b.Date) AS DOUBLE) AS Balance
+FROM asked a LEFT JOIN fx_balances b ON b.Account_Name = a.Account_Name AND b.Date <= a.Date
+GROUP BY Question, a.Account_Name, a.Date""",
         "emergency_fund": f"""WITH {_SCHEDULE}
 SELECT CAST(coalesce(sum(Cost), 0) * 6 AS DOUBLE) AS Emergency_Fund_Amount FROM fx_schedule WHERE Priority = 1""",
         "occ_oncely": _occ("oncely"),

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from cashplan.functions import cells
 from cashplan.functions.date_formats import with_inferred_dates
-from cashplan.operators import balances, bank, budget, forecast, occurrences, typed
+from cashplan.operators import as_of, balances, bank, budget, forecast, occurrences, typed
 from cashplan.plans import views
 from cashplan.plans.publish import publish_rules
 from cashplan.schemas import (
@@ -206,6 +206,9 @@ _QUERIES: dict[str, Query] = {
     "balances_wide_blocks": _detailed(_wide_blocks),
     "balances_by_sub_category": _detailed(balances.by_sub_category),
     "current_balance": lambda s, sf: balances.current_balances(views.balances(s, sf)),
+    "balances_as_of": lambda s, sf: as_of.balances_as_of(
+        views.balance_questions(s, sf), views.balances(s, sf), row_id="Question"
+    ),
     "emergency_fund": lambda s, sf: occurrences.emergency_fund(views.schedule(s, sf)),
     "occ_oncely": _occurrences(ONCELY),
     "occ_yearly": _occurrences(YEARLY),

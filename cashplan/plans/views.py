@@ -209,6 +209,15 @@ def bank_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def balance_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An account's balance on a day, asked once for each order; a third of them ask for one account."""
+    return _table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS Question",
+        "concat('acct_', if(o_orderkey % 3 = 0, 3, o_orderkey % 200)) AS Account_Name",
+        "date_add(DATE '2023-12-30', datediff(o_orderdate, DATE '1995-01-01') % 40) AS Date",
+    )
+
+
 def write_exports(spark: SparkSession, sf_dir: str, folder: str) -> None:
     """The same transactions as export files of both shapes; some descriptions hold line breaks and quotes."""
     rows = bank_transactions(spark, sf_dir).withColumn("description", F.expr(BROKEN_DESCRIPTION))
