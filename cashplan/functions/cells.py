@@ -73,6 +73,58 @@ def percent(name: str) -> Column:
     return F.when(digits == "", F.lit(0.0)).otherwise(digits.cast("double")) / 100
 
 
+def _unless_blank(name: str, fault: Column) -> Column:
+    return F.when(text(name) == "", F.lit(None).cast("string")).otherwise(fault)
+
+
+def _decimal_fault(name: str, kind, digits: int) -> Column:
+    shown = text(name)
+    hidden = shown.rlike("[eE]") & (shown.try_cast("double") != shown.try_cast(kind).cast("double"))
+    finer = shown.rlike(rf"\.\d{{{digits}}}\d*[1-9]") | hidden
+    return (
+        F.when(shown.isNull(), F.lit(None).cast("string"))
+        .when(shown.try_cast(kind).isNull(), F.lit("not a number"))
+        .when(finer, F.lit("too many digits"))
+    )
+
+
+def money_fault(name: str) -> Column:
+    """What :func:`money` would raise for, as text, null where it would not; so the others of this kind."""
+    return _decimal_fault(name, MONEY, 2)
+
+
+def money_or_zero_fault(name: str) -> Column:
+    return _unless_blank(name, money_fault(name))
+
+
+def exact_money_fault(name: str) -> Column:
+    return _decimal_fault(name, EXACT_MONEY, 8)
+
+
+def exact_money_or_zero_fault(name: str) -> Column:
+    return _unless_blank(name, exact_money_fault(name))
+
+
+def integer_fault(name: str) -> Column:
+    cell = text(name)
+    return F.when(cell.isNull(), F.lit("missing")).when(cell.try_cast("int").isNull(), F.lit("not a whole number"))
+
+
+def integer_or_zero_fault(name: str) -> Column:
+    return _unless_blank(name, integer_fault(name))
+
+
+def percent_fault(name: str) -> Column:
+    digits = F.replace(text(name), F.lit("%"), F.lit(""))
+    return F.when((digits != "") & digits.try_cast("double").isNull(), F.lit("not a percentage"))
+
+
+def day_fault(name: str) -> Column:
+    cell = present(name)
+    bad = cell.isNotNull() & F.try_to_date(cell, DAY_FORMAT).isNull() & cell.try_cast("date").isNull()
+    return F.when(bad, F.lit("not a date"))
+
+
 def day(name: str) -> Column:
     """Date in ``M/d/yyyy`` or ISO form, null when blank; other text raises."""
     cell = present(name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from cashplan.schemas import TRANSACTIONS_REPORT
+
 _KIND = "CASE {key} % 5 WHEN 0 THEN 'oncely' WHEN 1 THEN 'yearly' WHEN 2 THEN 'monthly' WHEN 3 THEN 'biweekly' ELSE 'everyXDays' END"
 
 # Exact types inside; money as DECIMAL, dates as DATE. TS and DBL below convert at the edge.
@@ -349,6 +351,19 @@ FROM part""",
             ("Account_Name", "Date", "Balance"),
             "FROM latest",
         ),
+        "cells_rejected": f"""WITH {_LEDGER},
+faulty AS (
+  SELECT Row_Id, Amount_Paid <> 0 AS Paid,
+    CASE WHEN Row_Id % 11 = 0 THEN 'soon' WHEN Row_Id % 13 = 0 THEN ' ' ELSE strftime(Date, '%m/%d/%Y') END AS Day,
+    CASE WHEN Row_Id % 7 = 0 THEN 'ten' WHEN Row_Id % 9 = 0 THEN Amount || '5' ELSE Amount::VARCHAR END AS Sum
+  FROM fx_ledger),
+cells AS (
+  SELECT Row_Id, 'Date' AS "Column", 'not a date' AS Fault, Day AS Cell FROM faulty WHERE Day = 'soon'
+  UNION ALL SELECT Row_Id, 'Amount', 'not a number', Sum FROM faulty WHERE Sum = 'ten'
+  UNION ALL SELECT Row_Id, 'Amount', 'too many digits', Sum FROM faulty WHERE Row_Id % 9 = 0 AND Row_Id % 7 <> 0
+  UNION ALL SELECT Row_Id, 'Amount_Paid', 'not a number', '-' FROM faulty WHERE Row_Id % 17 = 0
+  UNION ALL SELECT Row_Id, 'Date', 'unpaid without a date', Day FROM faulty WHERE Day = ' ' AND NOT Paid AND Row_Id % 17 <> 0)
+SELECT '{TRANSACTIONS_REPORT}' AS "Table", * FROM cells""",
         "balances_as_of": f"""WITH {_BALANCES},
 asked AS (
   SELECT o_orderkey AS Question, 'acct_' || CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE o_orderkey % 200 END AS Account_Name,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashplan import schemas
-from cashplan.operators import balances, bank, budget, forecast, occurrences, typed
+from cashplan.operators import balances, bank, budget, faults, forecast, occurrences, typed
 from cashplan.sources.bank_exports import read_exports
 from cashplan.session import job
 from cashplan.sources.tables import TableStore
@@ -32,7 +32,8 @@ def publish_forecast(
     """Write the transactions, daily balance and account balance reports and the two summary lists.
 
     The ledger is source and sink: it is read at one snapshot, and if another writer has replaced it when this job is done, the
-    job fails rather than overwrite what that one wrote. Reading and writing it is safe because its entries are laid out in the checkpoint folder
+    job fails rather than overwrite what that one wrote. Cells that cannot be read end the job before any report is written:
+    ``BadCells`` counts all of them, and they stand in the table ``Rejected_Cells``. Reading and writing it is safe because its entries are laid out in the checkpoint folder
     before any report is written; all reports but the account balances are derived from that one copy. What is
     laid out is removed at the end.
     """
@@ -44,10 +45,16 @@ def _publish_forecast(
     store: TableStore, as_of: date, opening_account: str, days_back: int, days_forward: int, threshold: int
 ) -> None:
     ledger_read = store.snapshot(schemas.TRANSACTIONS_REPORT)
-    rules = typed.schedule(store.read(schemas.INCOME_EXPENSE, force_update=True, numbered=True))
-    snapshots = typed.account_balances(store.read(schemas.ACCOUNT_DATE_BALANCES, force_update=True, numbered=True))
-    details = typed.account_details(store.read(schemas.ACCOUNT_DETAILS, force_update=True, numbered=True))
-    ledger = typed.ledger(store.read(schemas.TRANSACTIONS_REPORT, force_update=True, numbered=True))
+    read = {name: store.read(name, force_update=True, numbered=True) for name in faults.OF_TABLE}
+    try:
+        laid = faults.checked(read, {schemas.INCOME_EXPENSE: faults.due_without_amount(as_of, days_back, days_forward)})
+    except faults.BadCells as bad:
+        store.write(bad.cells, schemas.REJECTED_CELLS)
+        raise
+    rules = typed.schedule(laid[schemas.INCOME_EXPENSE])
+    snapshots = typed.account_balances(laid[schemas.ACCOUNT_DATE_BALANCES])
+    details = typed.account_details(laid[schemas.ACCOUNT_DETAILS])
+    ledger = typed.ledger(laid[schemas.TRANSACTIONS_REPORT])
 
     opening = balances.current_balance(snapshots, opening_account)
     entries = forecast.in_order(forecast.entries_to_date(ledger, rules, as_of, days_back, days_forward))

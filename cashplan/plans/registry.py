@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from cashplan.functions import cells
 from cashplan.functions.date_formats import with_inferred_dates
-from cashplan.operators import as_of, balances, bank, budget, forecast, occurrences, typed
+from cashplan.operators import as_of, balances, bank, budget, faults, forecast, occurrences, typed
 from cashplan.plans import views
 from cashplan.plans.publish import publish_rules
 from cashplan.schemas import (
@@ -25,6 +25,7 @@ from cashplan.schemas import (
     MONTHLY_BUDGETS,
     ONCELY,
     ONE_TIME_BUDGETS,
+    TRANSACTIONS_REPORT,
     YEARLY,
     YEARLY_BUDGETS,
 )
@@ -188,6 +189,14 @@ def _rules_published(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, sections)
 
 
+def _ledger_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    try:
+        faults.checked({TRANSACTIONS_REPORT: views.faulty_ledger_text(spark, sf)})
+    except faults.BadCells as bad:
+        return bad.cells
+    return faults.no_cells(spark)
+
+
 def _dates_inferred(spark: SparkSession, sf: str) -> DataFrame:
     return with_inferred_dates(views.dated_text(spark, sf), ["Month_First", "Day_First", "Year_First", "Month_Name"])
 
@@ -198,6 +207,7 @@ _QUERIES: dict[str, Query] = {
     "typed_balances": lambda s, sf: typed.account_balances(views.balances_text(s, sf)),
     "typed_details": lambda s, sf: typed.account_details(views.details_text(s, sf)),
     "typed_ledger": lambda s, sf: typed.ledger(views.ledger_text(s, sf)),
+    "cells_rejected": _ledger_rejected,
     "parse_percent": _percent,
     "ffill": lambda s, sf: balances.forward_filled(views.balances(s, sf)),
     "balances_filled": _detailed(balances.filled_with_details),

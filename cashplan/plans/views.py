@@ -176,6 +176,17 @@ def ledger_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def faulty_ledger_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with cells that cannot be read: dates that are none, amounts in words or finer than a cent."""
+    return ledger_text(spark, sf_dir).withColumns(
+        {
+            "Date": F.expr("CASE WHEN Row_Id % 11 = 0 THEN 'soon' WHEN Row_Id % 13 = 0 THEN ' ' ELSE Date END"),
+            "Amount": F.expr("CASE WHEN Row_Id % 7 = 0 THEN 'ten' WHEN Row_Id % 9 = 0 THEN concat(Amount, '5') ELSE Amount END"),
+            "Amount_Paid": F.expr("CASE WHEN Row_Id % 17 = 0 THEN '-' ELSE Amount_Paid END"),
+        }
+    )
+
+
 # Headers as banks write them, of a checking account (its lines end in a comma) and of a credit card.
 CHECKING_HEADER = "Details,Posting Date,Description,Amount,Type,Balance,Check or Slip #,"
 CARD_HEADER = "Transaction Date,Post Date,Description,Category,Type,Amount,Memo"

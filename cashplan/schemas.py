@@ -23,6 +23,9 @@ ONE_TIME_BUDGETS = "One_Time_Budgets"
 BI_WEEKLY_BUDGETS = "Bi_Weekly_Budgets"
 TRANSACTIONS = "Transactions"
 
+#: The cells that a job could not read.
+REJECTED_CELLS = "Rejected_Cells"
+
 # The kinds of recurring rule, in the order in which a day's occurrences are listed.
 ONCELY = "oncely"
 YEARLY = "yearly"

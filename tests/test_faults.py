@@ -1,0 +1,102 @@
+"""All faults at once, and the same cells that the strict readers raise for."""
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from cashplan import schemas
+from cashplan.functions import cells
+from cashplan.operators import faults, typed
+from cashplan.plans.publish import publish_forecast
+from cashplan.sources.tables import TableStore
+from helpers import D, RULE, income_expense, rows, text_frame
+
+CELLS = [None, "", " ", "1", " 2.50 ", "-3.005", "1e-3", "2.5e1", "ten", "NaN", "Infinity", "1" * 40, "0.123456789", "3.0", "5%", "%", "1/2/2003", "2003-01-02", "2/30/2003", "soon"]
+MONTHLY = {"Type": "monthly", "When": "5", "Account_Name": "Rent"}
+READERS = ["money", "money_or_zero", "exact_money", "exact_money_or_zero", "integer", "integer_or_zero", "percent", "day"]
+
+
+@pytest.mark.parametrize("reader", READERS)
+def test_faults_are_what_the_strict_readers_raise_for(spark, reader):
+    table = spark.createDataFrame(list(enumerate(CELLS)), "Row_Id int, Cell string")
+    fault = {r[0]: r[1] for r in table.select("Row_Id", getattr(cells, f"{reader}_fault")("Cell")).collect()}
+    for i, cell in enumerate(CELLS):
+        one = table.where(F.col("Row_Id") == i).select(getattr(cells, reader)("Cell"))
+        try:
+            one.collect()
+            raised = False
+        except PySparkException:
+            raised = True
+        assert raised == (fault[i] is not None), (cell, fault[i])
+
+
+def balances_text(spark, *records):
+    names = ["Date", "Account_Name", "Balance"]
+    return text_frame(spark, schemas.ACCOUNT_DATE_BALANCES_TEXT, [dict(zip(names, r)) for r in records])
+
+
+def test_several_kinds_of_fault_in_one_report(spark):
+    rules = income_expense(spark, {"Amount": "ten", "AfterDays": None}, {"Maturity Date": "someday"}, {}, {"Limit": " "}, MONTHLY | {"Amount": None}, MONTHLY | {"Amount": None, "Maturity Date": "1/1/2001"})
+    known = balances_text(spark, ("1/1/2024", "a", "1"), ("2024-01-01", "a", "2"), ("x", "a", "1"), ("1/1/2024", "b", "y"), ("1/1/2024", "a", "2"))
+    with pytest.raises(faults.BadCells) as bad:
+        also = {schemas.INCOME_EXPENSE: faults.due_without_amount(D("2024-01-01"), 5, 60)}
+        faults.checked({schemas.INCOME_EXPENSE: rules, schemas.ACCOUNT_DATE_BALANCES: known}, also)
+    rule, balance = schemas.INCOME_EXPENSE, schemas.ACCOUNT_DATE_BALANCES
+    assert bad.value.counts == {
+        (balance, "Balance", "not a number"): 1,
+        (balance, "Balance", "repeats account and date"): 2,
+        (balance, "Date", "not a date"): 1,
+        (rule, "AfterDays", "missing"): 1,
+        (rule, "Amount", "missing"): 1,
+        (rule, "Amount", "not a number"): 1,
+        (rule, "Limit", "not a number"): 1,
+        (rule, "Maturity Date", "not a date"): 1,
+    }
+    assert bad.value.samples[rule, "Amount", "missing"] == [5]  # the sixth rule has matured
+    assert bad.value.samples[balance, "Balance", "repeats account and date"] == [2, 5]
+    assert bad.value.cells.count() == 9 and "Amount not a number: 1, as in rows [1]" in str(bad.value)
+    assert sorted(bad.value.cells.columns) == ["Cell", "Column", "Fault", "Row_Id", "Table"]
+
+
+def test_samples_are_bounded_and_counts_are_whole(spark):
+    many = balances_text(spark, *((f"1/{i + 1}/2024", "a", "bad") for i in range(20)))
+    with pytest.raises(faults.BadCells) as bad:
+        faults.checked({schemas.ACCOUNT_DATE_BALANCES: many})
+    kind = (schemas.ACCOUNT_DATE_BALANCES, "Balance", "not a number")
+    assert bad.value.counts == {kind: 20} and bad.value.samples[kind] == [1, 2, 3, 4, 5]
+
+
+def test_sound_tables_come_back_whole_and_are_scanned_once(spark):
+    rules = income_expense(spark, {}, {"Type": "monthly"}).withColumn("Note", F.lit("x"))
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    watched = rules.mapInArrow(seen, rules.schema)
+    laid = faults.checked({schemas.INCOME_EXPENSE: watched})[schemas.INCOME_EXPENSE]
+    assert rows(typed.schedule(laid)) == rows(typed.schedule(rules)) and read.value == 2
+    empty = faults.checked({name: spark.createDataFrame([], schema) for name, schema in {
+        schemas.INCOME_EXPENSE: schemas.INCOME_EXPENSE_TEXT, schemas.ACCOUNT_DATE_BALANCES: schemas.ACCOUNT_DATE_BALANCES_TEXT}.items()})
+    assert all(table.count() == 0 for table in empty.values())
+
+
+def test_a_job_ends_before_it_writes_and_leaves_the_rejected_cells(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    store.write(income_expense(spark, RULE | {"Amount": "ten", "Type": "monthly", "When": "5"}), schemas.INCOME_EXPENSE)
+    store.write(balances_text(spark, ("1/1/2024", "Bank", "1")), schemas.ACCOUNT_DATE_BALANCES)
+    details = {"Account_Name": "Bank", "Limit": "much", "Interest Rate": "", "Maturity Date": "n/a"}
+    store.write(text_frame(spark, schemas.ACCOUNT_DETAILS_TEXT, [details]), schemas.ACCOUNT_DETAILS)
+    entry = {"Date": "", "Account_Name": "x", "Type": "monthly", "Amount": "1", "Amount_Paid": "", "Date_Paid": ""}
+    store.write(text_frame(spark, schemas.TRANSACTIONS_REPORT_TEXT, [entry]), schemas.TRANSACTIONS_REPORT)
+    with pytest.raises(faults.BadCells):
+        publish_forecast(store, D("2024-01-01"), "Bank")
+    found = {(r.Table, r.Column, r.Fault) for r in store.read(schemas.REJECTED_CELLS).collect()}
+    assert found == {
+        (schemas.INCOME_EXPENSE, "Amount", "not a number"),
+        (schemas.ACCOUNT_DETAILS, "Limit", "not a number"),
+        (schemas.TRANSACTIONS_REPORT, "Date", "unpaid without a date"),
+    }
+    assert not (tmp_path / schemas.DAILY_BALANCE_REPORT).exists()
