@@ -4,8 +4,9 @@ Categories are predicted one after the other by logistic models of the words in
 probabilities of the categories before it. While learning, those are out-of-fold: a document's earlier probabilities come
 from models that did not see it, so the later models learn how far the earlier ones can be trusted.
 
-The table has one toxicity label. The chain's earlier categories are weak labels made from it: a labelled-toxic
-document that has one of a category's words. The last category is the label itself.
+The table has one toxicity label, which is the chain's last category. The earlier ones are learnt from the labelled
+rows: the toxic documents of the sample, described by the features that tell them from others, fall into ``GROUPS`` kinds
+by spherical k-means; the kind with most documents comes first. No word is named anywhere.
 """
 
 from __future__ import annotations
@@ -24,12 +25,10 @@ from cashplan.llm.common import Cache, id_crc32, slices, texts
 from cashplan.llm.quality import FOLDS, HELD_OUT, learnable, one_text_each
 from cashplan.session import written
 
-#: The chain's categories in order, with the words of the weak labels; the last one is the label.
-CATEGORIES = {
-    "insult": {"idiot", "moron", "stupid", "clown", "loser"},
-    "contempt": {"worthless", "pathetic", "disgusting", "trash", "scum"},
-    "toxic": set(),
-}
+#: Kinds of toxic documents, the chain's earlier categories.
+GROUPS = 2
+CATEGORIES = [*(f"kind{i + 1}" for i in range(GROUPS)), "toxic"]
+KMEANS_ROUNDS = 30
 #: The bound of what is learnt from: labelled documents of each label.
 PER_LABEL = 2000
 FEATURES = 1024
@@ -101,82 +100,135 @@ class Chain:
         return rows[:, -len(self.weights) :]
 
 
-def telling_features(sample: DataFrame, limit: int = FEATURES) -> list[str]:
-    """Of ``label`` and ``features``, the features that tell label 1 from 0 best, by chi-square with a correction for
-    small counts, at most ``limit``."""
-    sizes = sample.agg(F.expr("count_if(label = 1)").alias("ones"), F.expr("count_if(label = 0)").alias("zeros")).first()
-    n = float(sizes.ones + sizes.zeros)
-    a, b = F.col("ones").cast("double"), F.col("zeros").cast("double")
-    c, d = sizes.ones - a, sizes.zeros - b
-    off = F.greatest(F.lit(0.0), F.abs(a * d - b * c) - n / 2)
-    spread = F.greatest(F.lit(1.0), (a + b) * (c + d) * (a + c) * (b + d))
-    counted = (
-        sample.select("label", F.explode("features").alias("feature"))
-        .groupBy("feature")
-        .agg(F.expr("count_if(label = 1)").alias("ones"), F.expr("count_if(label = 0)").alias("zeros"))
-        .where("ones + zeros >= 3")
-        .withColumn("chi_square", n * off * off / spread)
-        .where(F.col("chi_square") >= LEAST_CHI_SQUARE)
+def telling_features(sample: DataFrame, limit: int = FEATURES) -> list[list[str]]:
+    """Of ``label``, ``fold`` and ``features``, the features that tell label 1 from 0 best, by chi-square with a correction
+    for small counts, at most ``limit``: first those of the whole sample, then those of the sample without each fold."""
+
+    def ones(without: int | None, label: int) -> str:
+        return f"count_if(label = {label}" + ("" if without is None else f" AND fold <> {without}") + ")"
+
+    parts = [None, *range(INNER_FOLDS)]
+    columns = [F.expr(ones(part, label)).alias(f"n{label}_{i}") for i, part in enumerate(parts) for label in (1, 0)]
+    sizes = sample.agg(*columns).first()
+    counted = sample.select("label", "fold", F.explode("features").alias("feature")).groupBy("feature").agg(*columns)
+    scores = {}
+    for i in range(len(parts)):
+        all_ones, all_zeros = sizes[f"n1_{i}"], sizes[f"n0_{i}"]
+        n = float(all_ones + all_zeros)
+        a, b = F.col(f"n1_{i}").cast("double"), F.col(f"n0_{i}").cast("double")
+        c, d = all_ones - a, all_zeros - b
+        off = F.greatest(F.lit(0.0), F.abs(a * d - b * c) - n / 2)
+        spread = F.greatest(F.lit(1.0), (a + b) * (c + d) * (a + c) * (b + d))
+        scores[f"chi_square_{i}"] = F.when(a + b >= 3, n * off * off / spread).otherwise(0.0)
+    telling = written(
+        counted.withColumns(scores).select("feature", *scores).where(F.greatest(*scores) >= LEAST_CHI_SQUARE)
     )
-    return [row.feature for row in counted.orderBy(F.desc("chi_square"), "feature").limit(limit).collect()]
+    return [
+        [row.feature for row in telling.where(F.col(by) >= LEAST_CHI_SQUARE).orderBy(F.desc(by), "feature").limit(limit).collect()]
+        for by in scores
+    ]
 
 
-def learn(rows: np.ndarray, target: np.ndarray, weak: np.ndarray, features: list[str]) -> Chain:
-    """The chain of labelled documents: presence of the features, labels, and which weak labels each one's words earn."""
+def kinds(rows: np.ndarray, target: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """The kind of each row, 0 for the one with most rows, -1 for rows of label 0 and those without a telling feature.
+
+    Features count by how much likelier they are with label 1. Centres start at the row with most weight and at those least
+    like the centres so far; equal ones go to the first row.
+    """
+    of = np.full(len(rows), -1)
+    ones, zeros = rows[target > 0], rows[target == 0]
+    likelier = np.log((ones.sum(0) + 0.5) / (len(ones) + 1)) - np.log((zeros.sum(0) + 0.5) / (len(zeros) + 1))
+    weighted = ones * np.maximum(0.0, likelier)
+    length = np.linalg.norm(weighted, axis=1)
+    described = length > 0
+    points = weighted[described] / length[described, None]
+    if not len(points):
+        return of
+    centres = points[[length[described].argmax()]]
+    while len(centres) < min(groups, len(points)):
+        centres = np.vstack([centres, points[[np.round(points @ centres.T, 9).max(axis=1).argmin()]]])
+    nearest = np.zeros(len(points), int)
+    for nth in range(KMEANS_ROUNDS):
+        before, nearest = nearest, np.round(points @ centres.T, 9).argmax(axis=1)
+        for i in range(len(centres)):
+            if (nearest == i).any():
+                total = points[nearest == i].sum(0)
+                centres[i] = total / np.linalg.norm(total)
+        if nth and (before == nearest).all():
+            break
+    sizes = np.bincount(nearest, minlength=len(centres))
+    place = np.empty(len(centres), int)
+    place[np.argsort(-sizes, kind="stable")] = np.arange(len(centres))
+    of[np.flatnonzero(target > 0)[described]] = place[nearest]
+    return of
+
+
+def _model(rows: np.ndarray, target: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """A logistic model of the ``used`` columns, the others having weight 0; never likely where nothing has the label."""
+    weight = np.zeros(rows.shape[1] + 1)
+    if not target.any():
+        weight[-1] = -30.0
+        return weight
+    weight[np.append(used, True)] = logistic(rows[:, used], target)
+    return weight
+
+
+def learn(rows: np.ndarray, target: np.ndarray, fold: np.ndarray, features: list[str], used: np.ndarray) -> Chain:
+    """The chain of labelled documents.
+
+    ``rows`` has the presence of ``features``; ``used`` which of them the models of the whole sample read, and in further rows
+    which those read that do not see a fold. Kinds are of the whole sample.
+    """
     chain = Chain()
     if not len(target) or target.min() == target.max():
         return chain
     chain.column = {feature: i for i, feature in enumerate(features)}
-    fold = np.arange(len(target)) % INNER_FOLDS
-    for has_word in weak.T:
-        category = target * has_word
-        chain.weights.append(logistic(rows, category))
+    kind = kinds(rows[:, used[0]], target)
+    for category in [*((kind == i).astype(float) for i in range(GROUPS)), target]:
+        chain.weights.append(_model(rows, category, used[0]))
         apart = np.empty(len(target))
         for i in range(INNER_FOLDS):
-            weight = logistic(rows[fold != i], category[fold != i])
+            weight = _model(rows[fold != i], category[fold != i], used[1 + i])
             apart[fold == i] = _sigmoid(rows[fold == i] @ weight[:-1] + weight[-1])
         rows = np.hstack([rows, apart[:, None]])
+        used = np.hstack([used, np.ones((len(used), 1), bool)])
     return chain
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 64):
         found = [words(text) for text in batch.column("text").to_pylist()]
-        weak = [[not of or bool(document & of) for of in CATEGORIES.values()] for document in found]
         features = [sorted({f for word in document for f in features_of(word)}) for document in found]
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("label"),
-                pa.array(weak, pa.list_(pa.bool_())),
-                pa.array(features, pa.list_(pa.string())),
-            ],
-            ["doc_id", "label", "weak", "features"],
+            [batch.column("doc_id"), batch.column("label"), pa.array(features, pa.list_(pa.string()))],
+            ["doc_id", "label", "features"],
         )
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = PER_LABEL) -> Chain:
     """Learns from the documents that have one of about ``per_label`` labels of each kind; a third of the ids is held out.
 
-    Features are counted and chosen by Spark; the driver gets the chosen ones, and which of them each document has.
+    Features are counted and chosen by Spark, for each inner fold from the others; the driver gets the chosen ones, and which
+    of them each document has.
     """
     picked = learnable(labels, label, per_label)
     of_sample = one_text_each(texts(docs).join(F.broadcast(picked), "doc_id"), "label")
-    sample = written(
-        of_sample.select("doc_id", "label", "text").mapInArrow(
-            _features, "doc_id long, label int, weak array<boolean>, features array<string>"
-        )
-    )
-    features = telling_features(sample)
-    chosen = F.array_intersect("features", F.lit(features) if features else F.array().cast("array<string>"))
-    found = sample.select("label", "weak", chosen.alias("features")).orderBy("doc_id").collect()
+    found = of_sample.select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, features array<string>")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(INNER_FOLDS)).cast("int")
+    sample = written(found.withColumn("fold", fold))
+    chosen = telling_features(sample)
+    features = sorted({feature for part in chosen for feature in part})
     column = {feature: i for i, feature in enumerate(features)}
-    rows = np.zeros((len(found), len(features)))
-    for row, document in zip(rows, found, strict=True):
+    used = np.zeros((len(chosen), len(features)), bool)
+    for row, part in zip(used, chosen, strict=True):
+        row[[column[feature] for feature in part]] = True
+    mine = F.array_intersect("features", F.lit(features) if features else F.array().cast("array<string>"))
+    documents = sample.select("label", "fold", mine.alias("features")).orderBy("doc_id").collect()
+    rows = np.zeros((len(documents), len(features)))
+    for row, document in zip(rows, documents, strict=True):
         row[[column[feature] for feature in document.features]] = 1
-    target = np.array([document.label for document in found], float)
-    weak = np.array([document.weak for document in found], bool).reshape(len(found), len(CATEGORIES))
-    return learn(rows, target, weak, features)
+    target = np.array([document.label for document in documents], float)
+    return learn(rows, target, np.array([document.fold for document in documents], int), features, used)
 
 
 def scored(docs: DataFrame, chain: Chain) -> DataFrame:

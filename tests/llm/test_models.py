@@ -1,5 +1,7 @@
 """Language, quality, toxicity and search."""
 
+import math
+import operator
 import random
 import zlib
 
@@ -72,7 +74,7 @@ def labelled(spark, make_docs):
         if junk:
             words = [f"{w.upper()}!!" if i % 2 else f"{w}***" for w in words]
         if rude:
-            words[rng.randrange(40)] = rng.choice(["idiot", "moron", "trash", "scum"])
+            words[rng.randrange(40)] = rng.choice([["glonk", "vrimmel"], ["zapfod", "quorbis"]][i % 8 > 0])
         rows.append((i, " ".join(words)))
         labels.append((i, int(not junk), int(rude)))
     labels += [(0, 1, 1), (None, 1, 0), (7, None, None), (1, 1, 0)]  # a conflict, nulls and a repeated row
@@ -144,14 +146,80 @@ def test_toxicity_on_what_is_held_out(labelled, odd_docs, no_docs):
     chain = toxicity.fit(docs, labels)
     assert len(chain.weights) == len(toxicity.CATEGORIES)
     assert [len(w) for w in chain.weights] == [len(chain.column) + 1 + i for i in range(len(chain.weights))]
-    rows = toxicity.scored(docs, chain).collect()
+    rows, text = toxicity.scored(docs, chain).collect(), {r.doc_id: r.text for r in docs.collect()}
     assert accuracy(rows, labels, "toxic", "toxic") > 0.97
-    insults = [r.p_insult for r in rows if r.held_out and r.p_toxic > 0.5]
-    assert min(insults) < 0.5 < max(insults)
+    kind = {w: {(r.p_kind1 > 0.5) for r in rows if r.toxic and w in text[r.doc_id]} for w in ("glonk", "vrimmel", "zapfod", "quorbis")}
+    # rude words of two sorts that never share a document with each other: each word's documents are of one kind
+    assert all(len(found) == 1 for found in kind.values()) and len(set(map(frozenset, kind.values()))) == 2
     assert toxicity.scored(odd_docs, chain).count() == 8 and toxicity.scored(no_docs, chain).count() == 0
     assert {r.toxic for r in toxicity.scored(odd_docs, toxicity.fit(no_docs, labels)).collect()} == {0}
 
 
+def plain_logistic(rows, target, penalty=1e-4):
+    """Newton steps in plain Python, the equations solved by elimination."""
+    rows = [[*row, 1.0] for row in rows]
+    n, width, share = len(rows), len(rows[0]), sum(target) / len(target)
+    of = [0.5 / share if t else 0.5 / (1 - share) for t in target]
+    ridge = [penalty * n] * (width - 1) + [1e-9]
+    weight = [0.0] * width
+    for _ in range(12):
+        p = [1 / (1 + math.exp(-max(-30.0, min(30.0, sum(map(operator.mul, row, weight)))))) for row in rows]
+        left = [[sum((of[r] * p[r] * (1 - p[r]) + 1e-6) * rows[r][i] * rows[r][j] for r in range(n)) + (ridge[i] if i == j else 0) for j in range(width)] for i in range(width)]
+        right = [sum(rows[r][i] * of[r] * (p[r] - target[r]) for r in range(n)) + ridge[i] * weight[i] for i in range(width)]
+        for i in range(width):
+            top = max(range(i, width), key=lambda r: abs(left[r][i]))
+            left[i], left[top], right[i], right[top] = left[top], left[i], right[top], right[i]
+            for r in range(i + 1, width):
+                by = left[r][i] / left[i][i]
+                left[r] = [x - by * y for x, y in zip(left[r], left[i])]
+                right[r] -= by * right[i]
+        step = [0.0] * width
+        for i in reversed(range(width)):
+            step[i] = (right[i] - sum(left[i][j] * step[j] for j in range(i + 1, width))) / left[i][i]
+        weight = [w - x for w, x in zip(weight, step)]
+        if max(map(abs, step)) < 1e-6:
+            break
+    return weight
+
+
+def test_the_chain_is_that_of_plain_python():
+    """Models, out-of-fold probabilities and the columns that each fold may read."""
+    rng = random.Random(4)
+    rows = [[float(rng.random() < 0.4) for _ in range(4)] for _ in range(90)]
+    target = [float(rng.random() < (0.8 if r[0] or r[1] else 0.1)) for r in rows]
+    fold = [rng.randrange(3) for _ in rows]
+    used = np.array([[1, 1, 1, 0], [1, 1, 0, 0], [1, 0, 1, 1], [0, 1, 1, 1]], bool)
+    chain = toxicity.learn(np.array(rows), np.array(target), np.array(fold), list("abcd"), used)
+    kind = toxicity.kinds(np.array(rows)[:, used[0]], np.array(target)).tolist()
+    assert {k for k, t in zip(kind, target) if not t} == {-1} and kind.count(0) >= kind.count(1) > 0
+    rows, masks = [list(r) for r in rows], [list(u) for u in used.tolist()]
+    for weight, category in zip(chain.weights, [[float(k == 0) for k in kind], [float(k == 1) for k in kind], target]):
+        def fitted(mask, keep):
+            if not any(category[r] for r in keep):  # never likely
+                return [0.0] * len(mask) + [-30.0]
+            found = iter(plain_logistic([[x for x, m in zip(rows[r], mask) if m] for r in keep], [category[r] for r in keep]))
+            return [next(found) if m else 0.0 for m in [*mask, True]]
+
+        assert weight == pytest.approx(fitted(masks[0], range(90)), abs=1e-9)
+        by_fold = [fitted(masks[1 + i], [r for r in range(90) if fold[r] != i]) for i in range(3)]
+        for r in range(90):
+            rows[r].append(1 / (1 + math.exp(-(sum(map(operator.mul, rows[r], by_fold[fold[r]])) + by_fold[fold[r]][-1]))))
+        masks = [[*m, True] for m in masks]
+
+
+def test_features_are_chosen_without_the_fold(spark, make_docs):
+    """A word that tells the labels apart in one fold only is none of the features that its models read."""
+    make_docs([])
+    rows = [(i % 2, f, ["rude"] * (i % 2) + ["only"] * (i % 2 and f == 1)) for f in range(3) for i in range(60)]
+    chosen = toxicity.telling_features(spark.createDataFrame(rows, "label int, fold int, features array<string>"))
+    assert [sorted(part) for part in chosen] == [["only", "rude"], ["only", "rude"], ["rude"], ["only", "rude"]]
+
+
+def test_kinds_of_no_telling_row():
+    assert toxicity.kinds(np.zeros((3, 2)), np.array([1.0, 0.0, 1.0])).tolist() == [-1, -1, -1]
+    assert sorted(toxicity.kinds(np.array([[1.0], [0.0]]), np.array([1.0, 0.0])).tolist()) == [-1, 0]
+
+
 def plain_top_k(rows, asked, k=5):
     def score(a, b):
         return sum(int(np.floor(256.0 * x)) * int(np.floor(256.0 * y)) for x, y in zip(a, b, strict=False))
