@@ -182,7 +182,6 @@ def learn(rows: np.ndarray, target: np.ndarray, fold: np.ndarray, features: list
     chain = Chain()
     if not len(target) or target.min() == target.max():
         return chain
-    chain.column = {feature: i for i, feature in enumerate(features)}
     kind = kinds(rows[:, used[0]], target)
     for category in [*((kind == i).astype(float) for i in range(GROUPS)), target]:
         chain.weights.append(_model(rows, category, used[0]))
@@ -192,6 +191,10 @@ def learn(rows: np.ndarray, target: np.ndarray, fold: np.ndarray, features: list
             apart[fold == i] = _sigmoid(rows[fold == i] @ weight[:-1] + weight[-1])
         rows = np.hstack([rows, apart[:, None]])
         used = np.hstack([used, np.ones((len(used), 1), bool)])
+    # what only the models of a fold read has weight 0
+    read = np.flatnonzero(used[0, : len(features)])
+    chain.column = {features[at]: i for i, at in enumerate(read)}
+    chain.weights = [np.concatenate([weight[read], weight[len(features) :]]) for weight in chain.weights]
     return chain
 
 

@@ -192,6 +192,7 @@ def test_the_chain_is_that_of_plain_python():
     chain = toxicity.learn(np.array(rows), np.array(target), np.array(fold), list("abcd"), used)
     kind = toxicity.kinds(np.array(rows)[:, used[0]], np.array(target)).tolist()
     assert {k for k, t in zip(kind, target) if not t} == {-1} and kind.count(0) >= kind.count(1) > 0
+    assert chain.column == {"a": 0, "b": 1, "c": 2}
     rows, masks = [list(r) for r in rows], [list(u) for u in used.tolist()]
     for weight, category in zip(chain.weights, [[float(k == 0) for k in kind], [float(k == 1) for k in kind], target]):
         def fitted(mask, keep):
@@ -200,7 +201,8 @@ def test_the_chain_is_that_of_plain_python():
             found = iter(plain_logistic([[x for x, m in zip(rows[r], mask) if m] for r in keep], [category[r] for r in keep]))
             return [next(found) if m else 0.0 for m in [*mask, True]]
 
-        assert weight == pytest.approx(fitted(masks[0], range(90)), abs=1e-9)
+        want = fitted(masks[0], range(90))
+        assert want.pop(3) == 0 and weight == pytest.approx(want, abs=1e-9)  # the fourth feature is the folds' only
         by_fold = [fitted(masks[1 + i], [r for r in range(90) if fold[r] != i]) for i in range(3)]
         for r in range(90):
             rows[r].append(1 / (1 + math.exp(-(sum(map(operator.mul, rows[r], by_fold[fold[r]])) + by_fold[fold[r]][-1]))))
