@@ -413,6 +413,11 @@ SELECT CAST(coalesce(sum(Cost), 0) * 6 AS DOUBLE) AS Emergency_Fund_Amount FROM
             (*_ENTRY, "Row_Id", "Source_Rank", "Kind_Rank", "Running_Balance", "Position"),
             "FROM forecast",
         ),
+        "forecast_from_last": _sql(
+            _TO_FORECAST,
+            (*_ENTRY, "Row_Id", "Source_Rank", "Kind_Rank", "Running_Balance", "Position"),
+            "FROM forecast",
+        ),
         "label_dates": _sql(_TO_FORECAST, ("Date", "Label_Item", "Label_Amount"), "FROM labels"),
         "ending_daily_balance": _sql(_TO_FORECAST, ("Date", "Running_Balance"), "FROM ending"),
         "alert_dates": _sql(_TO_FORECAST, ("Date", "Running_Balance"), "FROM alerts"),
@@ -487,6 +492,11 @@ FROM (SELECT unnest(generate_series(min(CAST(o_orderdate AS DATE)), max(CAST(o_o
         "planned_budget_window": _sql(
             _TO_PLAN, _PLAN_COLUMNS, "FROM plan WHERE Date BETWEEN DATE '2000-10-01' AND DATE '2000-10-31'"
         ),
+        "planned_budget_on_days": _sql(
+            _TO_PLAN,
+            _PLAN_COLUMNS,
+            "FROM plan WHERE Date IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_totalprice > 400000)",
+        ),
         "rules_published": f"WITH {_SCHEDULE}\n{_PUBLISHED}",
         "typed_dates_inferred": _DATES_INFERRED,
         "exports_read": _EXPORTS_READ,

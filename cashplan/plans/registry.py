@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from cashplan.functions import cells
 from cashplan.functions.date_formats import with_inferred_dates
-from cashplan.operators import as_of, balances, bank, budget, faults, forecast, occurrences, typed
+from cashplan.operators import as_of, balances, bank, budget, faults, forecast, ladder, occurrences, stored_plan, typed
 from cashplan.plans import views
 from cashplan.plans.publish import publish_rules
 from cashplan.schemas import (
@@ -92,6 +92,23 @@ def _forecast(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _forecast_from_last(spark: SparkSession, sf: str) -> DataFrame:
+    """The forecast of the day, made from the one of the day before by what has changed between them."""
+    store, name = TableStore(spark, fresh_path(spark)), "Forecast"
+    ledger, rules = views.ledger(spark, sf), views.schedule(spark, sf)
+    before = written(forecast.entries_to_date(ledger, rules, AS_OF - timedelta(days=1)))
+    ladder.build(store, before, name)
+    ladder.update(store, name, *ladder.changes_between(before, written(_entries(spark, sf))))
+    return ladder.read(store, name, _opening(spark, sf))
+
+
+def _plan_on_order_days(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stored plan has on the days of large orders."""
+    store, name = TableStore(spark, fresh_path(spark)), "Planned_Budget"
+    stored_plan.store_plan(store, budget.planned_budget(views.planner_schedule(spark, sf)), name)
+    return stored_plan.on_days(store, name, views.large_order_days(spark, sf))
+
+
 def _daily(spark: SparkSession, sf: str, entries: DataFrame | None = None) -> DataFrame:
     return forecast.ending_daily_balance(entries or _entries(spark, sf), _opening(spark, sf))
 
@@ -232,6 +249,7 @@ _QUERIES: dict[str, Query] = {
     "dedup_keep_first": _entries,
     "running_balance": _running_balance,
     "forecast": _forecast,
+    "forecast_from_last": _forecast_from_last,
     "label_dates": lambda s, sf: forecast.label_dates(_entries(s, sf)),
     "ending_daily_balance": lambda s, sf: _daily(s, sf).drop("Label_Count"),
     "alert_dates": _alerts,
@@ -246,6 +264,7 @@ _QUERIES: dict[str, Query] = {
     "planned_budget": _plan(budget.planned_budget),
     "planned_budget_order": _plan(lambda rules: budget.with_plan_position(budget.planned_budget(rules))),
     "planned_budget_window": _plan(lambda rules: budget.planned_budget(rules, *WINDOW)),
+    "planned_budget_on_days": _plan_on_order_days,
     "rules_published": _rules_published,
     "typed_dates_inferred": _dates_inferred,
     "exports_read": _exports_read,

@@ -229,6 +229,12 @@ def balance_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def large_order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of orders of over 400,000, one row an order."""
+    orders = _table(spark, sf_dir, "orders").where("o_totalprice > 400000")
+    return orders.selectExpr("CAST(o_orderdate AS DATE) AS Date")
+
+
 def write_exports(spark: SparkSession, sf_dir: str, folder: str) -> None:
     """The same transactions as export files of both shapes; some descriptions hold line breaks and quotes."""
     rows = bank_transactions(spark, sf_dir).withColumn("description", F.expr(BROKEN_DESCRIPTION))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -77,18 +78,21 @@ class TableStore:
             kept.persist()
         return kept if not numbered or ROW_ID in kept.columns else with_row_ids(kept)
 
-    def write(self, df: DataFrame, name: str, after: Snapshot | None = None) -> None:
+    def write(
+        self, df: DataFrame, name: str, after: Snapshot | None = None, partition_by: Sequence[str] = ()
+    ) -> None:
         """Replace the table.
 
         ``after`` is the snapshot that the rows were made from; if another one has been committed since, the write fails. By
-        default it is the one that is there when the write begins.
+        default it is the one that is there when the write begins. ``partition_by`` names the columns that the table's
+        folders are named by, which readers prune by.
         """
         if self.root is None:
-            df.write.mode("overwrite").saveAsTable(name)
+            df.write.mode("overwrite").partitionBy(*partition_by).saveAsTable(name)
         else:
             after = after or self.snapshot(name)
             fresh = f"{name}-{uuid.uuid4().hex}"
-            writer = df.write.format(self.file_format)
+            writer = df.write.format(self.file_format).partitionBy(*partition_by)
             if self.file_format == "csv":
                 writer = writer.options(**{k: v for k, v in _CSV.items() if k != "multiLine"})
             try:
@@ -113,8 +117,18 @@ class TableStore:
         last = max(self._commits(name), default=None)
         if last is None:
             return Snapshot(0, name, files_of(self.spark, [self._path(name)]))
-        number, path = last[0], last[1]
-        return Snapshot(number, self.spark.read.text(path).first().value)
+        return self._committed(last)
+
+    def snapshots(self, name: str) -> list[Snapshot]:
+        """The snapshots of a folder table that are kept, in the order of their commits."""
+        return [self._committed(commit) for commit in sorted(self._commits(name))]
+
+    def read_at(self, name: str, snapshot: Snapshot) -> DataFrame:
+        """The table as it was at one of its snapshots."""
+        return self._load(name, snapshot)
+
+    def _committed(self, commit: tuple[int, str, int]) -> Snapshot:
+        return Snapshot(commit[0], self.spark.read.text(commit[1]).first().value)
 
     def _path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
