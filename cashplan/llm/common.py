@@ -54,10 +54,14 @@ class Cache(dict):
         super().__init__()
         self.work_out, self.limit, self.longest = work_out, limit, longest
 
-    def __missing__(self, key):
+    def keep(self, key, value) -> None:
         if isinstance(key, str) and len(key) > self.longest:
-            return self.work_out(key)
+            return
         if len(self) >= self.limit:
             self.clear()
-        value = self[key] = self.work_out(key)
+        self[key] = value
+
+    def __missing__(self, key):
+        value = self.work_out(key)
+        self.keep(key, value)
         return value

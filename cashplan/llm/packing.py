@@ -28,6 +28,9 @@ END_ID = 2
 OPEN = 1024
 PIECES_PER_PACKER = 1 << 17
 
+#: Texts whose pieces are looked up together, as one piece is then looked up once for all of them.
+TEXTS_AT_ONCE = 512
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -64,25 +67,47 @@ class Packer:
         return sequence, self.capacity - free
 
 
-@lru_cache(maxsize=1)
-def _ids(path: str) -> Cache:
-    """Ids of text pieces as bytes, by the tokenizer's library; worked out once for each piece, named by its key."""
-    tokenizer = compiled(path)
-    shown = {byte: char for char, byte in tokenizer.byte_of.items()}
-    tokenize = tokenizer.library.model.tokenize
+class _Ids:
+    """Ids of text pieces as bytes, by the tokenizer's library; worked out once for each piece, named by its key.
+
+    Pieces not known yet are put in the library's characters all at once.
+    """
+
+    def __init__(self, path: str):
+        tokenizer = compiled(path)
+        self.shown = {byte: char for char, byte in tokenizer.byte_of.items()}
+        self.tokenize = tokenizer.library.model.tokenize
+        self.kept = Cache(lambda key: self._worked_out([key])[0], PIECES_KEPT, LONGEST_PIECE_KEPT)
+
+    def _worked_out(self, keys: list[int | str]) -> list[bytes]:
+        apart = b"\xff"  # a byte that no text in UTF-8 has
+        shown = apart.join(map(str.encode, map(piece_of, keys))).decode("latin-1").translate(self.shown)
+        tokenize = self.tokenize
+        return [
+            array("I", [token.id for token in tokenize(piece)]).tobytes()
+            for piece in shown.split(self.shown[apart[0]])
+        ]
+
+    def __call__(self, keys: list[int | str]) -> list[bytes]:
+        found = list(map(self.kept.get, keys))
+        if lacking := [i for i, ids in enumerate(found) if ids is None]:
+            new = [keys[i] for i in lacking]
+            for i, key, ids in zip(lacking, new, self._worked_out(new), strict=True):
+                found[i] = ids
+                self.kept.keep(key, ids)
+        return found
 
-    def ids(key: int | str) -> bytes:
-        found = tokenize(piece_of(key).encode().decode("latin-1").translate(shown))
-        return array("I", [token.id for token in found]).tobytes()
 
-    return Cache(ids, PIECES_KEPT, LONGEST_PIECE_KEPT)
+@lru_cache(maxsize=1)
+def _ids(path: str) -> _Ids:
+    return _Ids(path)
 
 
 def _plain_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
     """The ids of texts without special tokens: those of the distinct pieces, gathered in the order of all pieces."""
-    of = _ids(path).__getitem__
+    of = _ids(path)
     for distinct, pieces, stops in compiled(path).distinct_pieces(texts):
-        found = list(map(of, distinct))
+        found = of(distinct)
         table = np.frombuffer(b"".join(found), "<u4")
         lengths = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         starts = np.cumsum(lengths) - lengths
@@ -119,7 +144,7 @@ def _cutter(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, TEXTS_AT_ONCE):
             rows = []
             found = token_ids([text or "" for text in batch.column("text").to_pylist()], path)
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,10 @@ SPACE_LAST, BLANK_LAST, CONTRACTION_2, CONTRACTION_3, END = range(5, 10)
 NONE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_BLANKS, ONE_MORE, TWO_MORE = range(8)
 STATES, SYMBOLS = 8, 10
 CHUNK = 256
+#: Symbols after which the state nearly always no longer depends on the one before them.
+TAIL = 8
 CHARS_AT_ONCE = 1 << 21
+CODES_AT_ONCE = 1 << 12
 TRANSITIONS_KEPT = 1_000_000
 PIECES_KEPT = 600_000
 LONGEST_PIECE_KEPT = 64
@@ -70,12 +73,24 @@ def _splitter() -> tuple[np.ndarray, np.ndarray]:
 AFTER, STARTS = _splitter()
 
 
-def states_at_chunks(symbols: np.ndarray) -> np.ndarray:
-    """The splitter's state before each row of a (chunks, length) array that is one text, cut up."""
+def _maps(symbols: np.ndarray) -> np.ndarray:
+    """What each row of symbols does to each of the states."""
     flat = AFTER.ravel()
     maps = np.broadcast_to(np.arange(STATES), (len(symbols), STATES)).copy()
     for column in symbols.T.astype(np.intp) * STATES:
         maps = flat[column[:, None] + maps]
+    return maps
+
+
+def states_at_chunks(symbols: np.ndarray) -> np.ndarray:
+    """The splitter's state before each row of a (chunks, length) array that is one text, cut up.
+
+    Where the last symbols of a chunk lead all states to the same one, so does the chunk; only others are run whole.
+    """
+    maps = _maps(symbols[:, -TAIL:])
+    open_ = np.flatnonzero((maps != maps[:, :1]).any(axis=1))
+    if len(open_):
+        maps[open_] = _maps(symbols[open_])
     step = 1
     while step < len(maps):  # map i becomes what chunks i - 2 * step + 1 to i do in a row
         maps[step:] = np.take_along_axis(maps[step:], maps[:-step], axis=1)
@@ -110,10 +125,12 @@ def character_classes(pre_tokenizer) -> np.ndarray:
         return BLANK
 
     classes = np.full(_END_CODE + 1, OTHER, np.uint8)
-    everything = "".join(chr(i) for i in range(128, _END_CODE) if not 0xD800 <= i < 0xE000)
-    codes = np.frombuffer(everything.encode("utf-32-le"), "<u4")
-    for _, (start, stop) in pre_tokenizer.pre_tokenize_str(everything):
-        classes[codes[start:stop]] = kind(everything[start])
+    codes = np.concatenate([np.arange(128, 0xD800, dtype="<u4"), np.arange(0xE000, _END_CODE, dtype="<u4")])
+    for first in range(0, len(codes), CODES_AT_ONCE):  # the library's time grows faster than the text
+        some = codes[first : first + CODES_AT_ONCE]
+        text = some.tobytes().decode("utf-32-le")
+        for _, (start, stop) in pre_tokenizer.pre_tokenize_str(text):
+            classes[some[start:stop]] = kind(text[start])
     for code in range(128):
         classes[code] = kind(chr(code))
     return classes
@@ -141,15 +158,25 @@ class Tokenizer:
         self.library = Library.from_file(path)
         self.classes = character_classes(self.library.pre_tokenizer)
         self.byte_of = _byte_of()
-        self.token_id = {self._bytes(token): i for token, i in spec["model"]["vocab"].items()}
-        pairs = [x if isinstance(x, list) else x.split(" ") for x in spec["model"]["merges"]]
-        self.rank = {(self._bytes(a), self._bytes(b)): i for i, (a, b) in enumerate(pairs)}
-        self.begins = {token[:n] for token in self.token_id for n in range(1, len(token) + 1)}
+        self.model = spec["model"]
         self.whole = Cache(lambda token: self.merged(token) == [token], 100_000)
         self.apart = Cache(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], 500_000)
         self.tokens_of = Cache(self.count_piece, PIECES_KEPT, LONGEST_PIECE_KEPT)
         self._forget()
 
+    @cached_property
+    def token_id(self) -> dict[bytes, int]:
+        return {self._bytes(token): i for token, i in self.model["vocab"].items()}
+
+    @cached_property
+    def rank(self) -> dict[tuple[bytes, bytes], int]:
+        pairs = [x if isinstance(x, list) else x.split(" ") for x in self.model["merges"]]
+        return {(self._bytes(a), self._bytes(b)): i for i, (a, b) in enumerate(pairs)}
+
+    @cached_property
+    def begins(self) -> set[bytes]:
+        return {token[:n] for token in self.token_id for n in range(1, len(token) + 1)}
+
     def _bytes(self, token: str) -> bytes:
         return bytes(map(self.byte_of.__getitem__, token))
 

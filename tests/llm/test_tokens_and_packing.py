@@ -1,5 +1,6 @@
 import random
 import zlib
+from array import array
 from itertools import product
 
 import numpy as np
@@ -131,3 +132,34 @@ def test_distinct_pieces_are_the_pieces(compiled, monkeypatch):
 def test_long_pieces_are_not_kept(compiled):
     cache = packing.Cache(len, 10, 3)
     assert [cache["ab"], cache["abcd"], cache["abc"]] == [2, 4, 3] and set(cache) == {"ab", "abc"}
+
+
+def test_a_chunk_is_run_whole_only_where_its_last_symbols_leave_its_state_open(monkeypatch):
+    rng = np.random.default_rng(3)
+    chunks = np.full((400, tokens.CHUNK), tokens.LETTER, np.uint8)
+    chunks[100:200] = rng.integers(0, tokens.SYMBOLS, (100, tokens.CHUNK))
+    chunks[200:300] = tokens.CONTRACTION_2
+    chunks[300:] = rng.choice([tokens.OTHER, tokens.CONTRACTION_2, tokens.CONTRACTION_3], (100, tokens.CHUNK))
+    state, want = tokens.NONE, []
+    for chunk in chunks:
+        want.append(state)
+        for symbol in chunk:
+            state = tokens.AFTER[symbol, state]
+    read, maps = [], tokens._maps
+    monkeypatch.setattr(tokens, "_maps", lambda some: read.append(some.shape) or maps(some))
+    assert tokens.states_at_chunks(chunks).tolist() == want
+    assert read[0] == (400, tokens.TAIL) and all(whole < 300 for whole, _ in read[1:])
+
+
+def test_packing_compiles_no_merges_and_knows_pieces_from_before():
+    path = tokenizer_path()
+    tokenizer = tokens.Tokenizer(path)
+    assert not {"rank", "begins", "token_id"} & vars(tokenizer).keys()
+    ids = packing._Ids(path)
+    asked = []
+    ids.tokenize = lambda piece: asked.append(piece) or tokenizer.library.model.tokenize(piece)
+    long = "é" * 70
+    want = [array("I", tokenizer.library.encode(x, add_special_tokens=False).ids).tobytes() for x in ("ÿ", " the", long)]
+    key = int.from_bytes("ÿ".encode(), "little") | 2 << 56
+    assert ids([key, " the", long]) == want
+    assert ids([long, key]) == [want[2], want[0]] and len(asked) == 4  # the long one is not kept
