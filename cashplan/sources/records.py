@@ -4,11 +4,17 @@ A line break belongs to a cell if the quotes before it in its file are odd in nu
 two). So a first scan counts, for each split, its lines with an odd number of quotes. A running sum over the splits of a
 file, one row each, tells which splits start within quotes, and which line of which earlier split opened them. In the
 second scan lines of splits without such quotes are records as they stand; only in the others, lines are looked at in
-order, laid out once with the place that their record starts at, and lines of one record are joined.
+order, by the task that reads them, and records are laid out once. Only parts of records that go over a split's (or an
+Arrow batch's) bounds are moved.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,9 +52,9 @@ def _odd() -> Column:
 
 def _states(all_lines: DataFrame) -> DataFrame:
     """How each split starts: ``inside`` quotes (1) or not (0), and the split and line (``open_start``, ``open_at``) that opened
-    them; ``odd`` counts its lines with an odd number of quotes. One row a split."""
-    flagged = all_lines.select(*_SPLIT, "nth", _odd().alias("odd"))
-    splits = flagged.groupBy(*_SPLIT).agg(
+    them; ``odd`` counts its lines with an odd number of quotes. One row a split, numbered (``split``) when written."""
+    flagged = all_lines.select(*_SPLIT, "file_name", "nth", _odd().alias("odd"))
+    splits = flagged.groupBy(*_SPLIT, "file_name").agg(
         F.min("nth").alias("first"),
         F.sum("odd").alias("odd"),
         F.max(F.when(F.col("odd") == 1, F.col("nth"))).alias("last_odd"),
@@ -57,8 +63,10 @@ def _states(all_lines: DataFrame) -> DataFrame:
     some = F.col("odd") > 0
     return splits.select(
         *_SPLIT,
+        "file_name",
+        F.monotonically_increasing_id().alias("split"),
         "odd",
-        (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).alias("inside"),
+        (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).cast("int").alias("inside"),
         F.last(F.when(some, F.col("start")), ignorenulls=True).over(before).alias("open_start"),
         F.last(F.col("last_odd") - F.col("first"), ignorenulls=True).over(before).alias("open_at"),
     )
@@ -70,27 +78,54 @@ def _raise_if_open(states: DataFrame) -> None:
         raise ValueError(f"a quote in {left_open.path} is never closed")
 
 
+def _gatherer():
+    """A function that workers need not import this package for."""
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines, which come in the order of their splits, to records; one that goes on beyond a batch or its split stays in parts."""
+        here = None
+        for batch in batches:
+            split, nth, odd = (batch.column(name).to_numpy() for name in ("split", "nth", "odd"))
+            bounds = [0, *(np.flatnonzero(np.diff(split)) + 1).tolist(), len(split)] if len(split) else []
+            for begin, end in zip(bounds, bounds[1:], strict=False):
+                if here != split[begin]:
+                    here, first, next_nth = split[begin], nth[begin], nth[begin]
+                    inside, home, home_at = (batch.column(name)[begin].as_py() for name in ("inside", "open_start", "open_at"))
+                    start = batch.column("start")[begin].as_py()
+                if nth[begin] != next_nth or (np.diff(nth[begin:end]) != 1).any():
+                    raise ValueError("lines of a split do not come in their order")
+                next_nth = nth[end - 1] + 1
+                after = (np.cumsum(odd[begin:end], dtype=np.int64) + inside) % 2
+                starts = np.flatnonzero(np.concatenate([[inside], after[:-1]]) == 0)
+                bounds_of = np.concatenate([[0], starts[starts > 0], [end - begin]])  # of records, and of a first part
+                at = nth[begin:end][bounds_of[:-1]] - first
+                homes, homes_at = np.full(len(at), start), at.copy()
+                whole = np.ones(len(at), bool)
+                if inside:
+                    homes[0], homes_at[0], whole[0] = home, home_at, False
+                inside = int(after[-1])
+                whole[-1] &= not inside
+                home, home_at = homes[-1], homes_at[-1]
+                lines_of = pa.LargeListArray.from_arrays(
+                    pa.array(bounds_of, pa.int64()), batch.column("value").slice(begin, end - begin).cast(pa.large_string())
+                )
+                columns = [pc.binary_join(lines_of, pa.scalar("\n", pa.large_string())).cast(pa.string()), pa.array(np.full(len(at), here))]
+                columns += [pa.array(x) for x in (at, homes, homes_at, whole)]
+                yield pa.RecordBatch.from_arrays(columns, ["value", "split", "at", "home", "home_at", "whole"])
+
+    return gathered
+
+
 def _in_broken_splits(all_lines: DataFrame, broken: DataFrame) -> DataFrame:
-    """The lines of splits with quotes across lines, each with the place of the line that its record starts in."""
-    split = Window.partitionBy(*_SPLIT).orderBy("nth")
-    before = split.rowsBetween(Window.unboundedPreceding, -1)
-    placed = all_lines.withColumn("odd_line", _odd()).join(broken, _SPLIT)
-    placed = placed.withColumns(
-        {
-            "at": F.row_number().over(split).cast("long") - 1,
-            "within": (F.col("inside") + F.coalesce(F.sum("odd_line").over(before), F.lit(0))) % 2,
-        }
-    )
-    until = split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = F.last(F.when(F.col("within") == 0, F.col("at")), ignorenulls=True).over(until)
-    homed = placed.withColumn("own", own)
-    return homed.withColumns(
-        {
-            "home": F.when(F.col("own").isNotNull(), F.col("start")).otherwise(F.col("open_start")),
-            "home_at": F.coalesce("own", "open_at"),
-            "alone": (F.col("within") == 0) & (F.col("odd_line") == 0),
-        }
+    """The records of splits with quotes across lines, gathered where they are read; the few that do not end in the batch or
+    split that they start in are in parts, each with the place of the line that its record starts in."""
+    of_split = F.broadcast(broken.drop("odd", "file_name"))  # one row a split; lines stay where they are, in their order
+    placed = all_lines.withColumn("odd", _odd().cast("int")).join(of_split, _SPLIT)
+    columns = ["value", "split", "nth", "odd", "inside", "start", "open_start", "open_at"]
+    gathered = placed.select(*columns).mapInArrow(
+        _gatherer(), "value string, split long, at long, home long, home_at long, whole boolean"
     )
+    return written(gathered).join(F.broadcast(broken.select("split", "path", "file_name", "start")), "split")
 
 
 def records(spark: SparkSession, folder: str, pattern: str = "*.csv", multiline: bool = True) -> DataFrame:
@@ -109,11 +144,11 @@ def records(spark: SparkSession, folder: str, pattern: str = "*.csv", multiline:
         broken = states.where("odd > 0 OR inside = 1")
         if not broken.isEmpty():
             plain = all_lines.join(broken, _SPLIT, "left_anti")
-            found = written(_in_broken_splits(all_lines, broken).select("value", *columns, "at", "home", "home_at", "alone"))
-            parts.append(found.where("alone").select("value", *columns, "at"))
+            found = _in_broken_splits(all_lines, broken)
+            parts.append(found.where("whole").select("value", *columns, "at"))
             of_one = F.sort_array(F.collect_list(F.struct("start", "at", "value")))
             joined = (
-                found.where("NOT alone").groupBy("path", "file_name", "home", "home_at").agg(of_one.alias("lines"))
+                found.where("NOT whole").groupBy("path", "file_name", "home", "home_at").agg(of_one.alias("lines"))
             )
             parts.append(
                 joined.select(
@@ -131,6 +166,10 @@ def records(spark: SparkSession, folder: str, pattern: str = "*.csv", multiline:
 
 
 def headers(all_records: DataFrame) -> DataFrame:
-    """``path`` and ``header`` of each file, its first record, laid out in the shared folder."""
-    first = all_records.where("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
-    return written(first)
+    """``path`` and ``header`` of each file, its first record, laid out in the shared folder.
+
+    The first place of each file comes first, as numbers are aggregated where they are read, and texts are not.
+    """
+    found = all_records.where("start = 0")
+    places = written(found.groupBy("path").agg(F.min("at").alias("at")))
+    return written(found.join(F.broadcast(places), ["path", "at"]).select("path", F.col("value").alias("header")))

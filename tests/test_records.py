@@ -4,6 +4,7 @@ import csv
 import io
 import random
 
+import pyarrow as pa
 import pytest
 
 from cashplan.sources import bank_exports, records
@@ -90,3 +91,40 @@ def test_jobs_do_not_grow_with_the_headers(spark, tmp_path):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
     assert jobs(12) <= jobs(2) + 1
+
+
+def test_records_across_lines_are_gathered_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Neither lines nor headers are sorted or moved, but for the parts of records that go over bounds."""
+    (tmp_path / "card.csv").write_text(f"{CARD}\n" + "01/01/2024,01/02/2024,\"a\n\nb\",F,Sale,-1,\n" * 50)
+    plans, laid = [], records.written
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return laid(df)
+
+    monkeypatch.setattr(records, "written", written)
+    found = records.records(spark, str(tmp_path))
+    assert found.where("value LIKE '%a\n\nb%'").count() == 50
+    assert [r.header for r in records.headers(found).collect()] == [CARD]
+    of_lines = [plan for plan in plans if "MapInArrow" in plan]
+    assert len(of_lines) == 1 and "Window" not in of_lines[0] and "Exchange hashpartitioning" not in of_lines[0]
+    assert not any("SortAggregate" in plan or "min_by" in plan for plan in plans)
+
+
+def test_records_that_go_over_a_batch_stay_in_parts():
+    def batch(values, nth, split, inside):
+        n = len(values)
+        columns = {"value": values, "nth": range(nth, nth + n), "split": [split] * n, "inside": [inside] * n}
+        columns |= {"odd": [v.count('"') % 2 for v in values], "start": [split * 100] * n}
+        columns |= {"open_start": [100 if inside else None] * n, "open_at": [3 if inside else None] * n}
+        types = {"value": pa.string(), "odd": pa.int32(), "inside": pa.int32()}
+        return pa.RecordBatch.from_pydict({k: pa.array(v, types.get(k, pa.int64())) for k, v in columns.items()})
+
+    batches = [batch(["a", 'b"', ""], 7, 1, 0), batch(['c"', 'd"'], 10, 1, 0), batch(["x", 'y"', "z"], 30, 2, 1)]
+    found = [tuple(r.values()) for out in records._gatherer()(iter(batches)) for r in out.to_pylist()]
+    assert found == [
+        ("a", 1, 0, 100, 0, True), ('b"\n', 1, 1, 100, 1, False), ('c"', 1, 3, 100, 1, False), ('d"', 1, 4, 100, 4, False),
+        ('x\ny"', 2, 0, 100, 3, False), ("z", 2, 2, 200, 2, True),
+    ]
+    with pytest.raises(ValueError, match="order"):
+        list(records._gatherer()(iter([batch(["a"], 7, 1, 0), batch(["b"], 9, 1, 0)])))
