@@ -137,6 +137,19 @@ def in_plan_order(plan: DataFrame) -> DataFrame:
     return plan.orderBy(*_plan_order())
 
 
+def _coarse_plan_order() -> Column:
+    """A date and a whole amount in one number, larger amounts first; amounts beyond a billion count as that."""
+    most = 10**9
+    whole = F.when(F.col("Amount").isNotNull(), F.least(F.greatest("Amount", F.lit(-most)), F.lit(most)).cast("long"))
+    after = F.coalesce(F.lit(most) - whole, F.lit((1 << 31) - 1))
+    return F.unix_date("Date").cast("long") * F.lit(1 << 31) + after
+
+
 def with_plan_position(plan: DataFrame) -> DataFrame:
-    """The plan with each row's ``Position`` in the order of :func:`in_plan_order`, which survives storing."""
-    return numbered(plan, *_plan_order())
+    """The plan with each row's ``Position`` in the order of :func:`in_plan_order`, which survives storing.
+
+    The calendar's parts, which follow from the date, are left out of what is laid out in order.
+    """
+    parts = [name for name in CALENDAR_COLUMNS if name != "Date"]
+    placed = numbered(plan.drop(*parts), *_plan_order(), coarse=_coarse_plan_order())
+    return with_calendar_parts(placed).select(*plan.columns, "Position")

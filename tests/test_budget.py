@@ -188,3 +188,20 @@ def test_positions_are_those_of_the_order(spark):
     want = [tuple(r) for r in pl.in_plan_order(plan).select(*columns).collect()]
     placed = pl.with_plan_position(plan.repartition(5)).orderBy("Position").select("Position", *columns).collect()
     assert [tuple(r)[1:] for r in placed] == want and [r.Position for r in placed] == list(range(1, len(want) + 1))
+
+
+def test_positions_of_amounts_alike_in_part_missing_or_huge(spark):
+    """The number sorted by first never falls along the plan's order, and the calendar's parts are not laid out."""
+    amounts = ["0.01", "-0.01", "0.99", "-0.99", "1000000001", "1000000002.50", "-1000000001", "-9999999999999999.99", None, "0.99"]
+    cells = [(day, amount, kind) for day in ("2024-01-02", "1999-12-31", None) for amount in amounts for kind in pl.PLAN_KINDS]
+    plan = spark.createDataFrame([(i, *cell) for i, cell in enumerate(cells)], "Row_Id long, Date string, Amount string, Type string")
+    plan = pl.with_calendar_parts(plan.withColumns({"Date": F.col("Date").cast("date"), "Amount": F.col("Amount").cast("decimal(18,2)")}))
+    want = [r.Row_Id for r in pl.in_plan_order(plan).collect()]
+    placed = pl.with_plan_position(plan.repartition(7))
+    assert placed.columns == [*plan.columns, "Position"]
+    assert [r.Row_Id for r in placed.orderBy("Position").collect()] == want
+    coarse = [r[0] for r in pl.in_plan_order(plan).select(pl._coarse_plan_order()).collect()]
+    known = [x for x in coarse if x is not None]
+    assert known == sorted(known) and coarse[: len(known)] == known and len(known) == 80
+    scan = placed._jdf.queryExecution().optimizedPlan().toString().split("Relation")[1]
+    assert "Month_of_Year" not in scan and "Row_Id" in scan
